@@ -36,11 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: the lineage ends there, and any executor can read it.
 
+    Rows are first rebalanced into files of the advisory partition size, so that small tables don't become many
+    small files.
+
     The driver then collects its garbage, on which Spark deletes the shuffle files of what has ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kgloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.hint("rebalance").write.parquet(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
