@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_suffix_dedup, op2_jaccard_join, op5_url_filters, op6_sharding, op7_quality, op8_decontamination, op9_mixing
+from . import op1_suffix_dedup, op2_jaccard_join, op4_language, op5_url_filters, op6_sharding, op7_quality, op8_decontamination, op9_mixing
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup.query,
     "op2_jaccard_join": op2_jaccard_join.query,
+    "op4_language": op4_language.query,
     "op5_url_filters": op5_url_filters.query,
     "op6_sharding": op6_sharding.query,
     "op7_quality": op7_quality.query,
