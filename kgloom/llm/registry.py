@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import op1_suffix_dedup, op2_jaccard_join, op4_language, op5_url_filters, op6_sharding, op7_quality, op8_decontamination, op9_mixing
+from . import op1_suffix_dedup, op2_jaccard_join, op3_html, op4_language, op5_url_filters, op6_sharding, op7_quality, op8_decontamination, op9_mixing, op10_licenses
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup.query,
     "op2_jaccard_join": op2_jaccard_join.query,
+    "op3_html": op3_html.query,
     "op4_language": op4_language.query,
     "op5_url_filters": op5_url_filters.query,
     "op6_sharding": op6_sharding.query,
     "op7_quality": op7_quality.query,
     "op8_decontamination": op8_decontamination.query,
     "op9_mixing": op9_mixing.query,
+    "op10_licenses": op10_licenses.query,
 }
 
 WORDS_8 = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"""
