@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import op6_sharding, op8_decontamination, op9_mixing
+from kgloom.llm import op2_jaccard_join, op4_language, op6_sharding, op8_decontamination, op9_mixing
 from kgloom.llm.common import shared_dir
 
 STAGES = [
+    ("language ID", op4_language.stage),
+    ("n-gram Jaccard join", op2_jaccard_join.stage),
     ("benchmark decontamination", op8_decontamination.stage),
-    ("mixing", op9_mixing.stage),
+    ("mixing sources to target weights", op9_mixing.stage),
     ("sharding", op6_sharding.stage),
 ]
 
