@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
 #: Text bytes that a numpy step works on at once; a single longer text is taken whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,17 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rebalance: bool = True) -> DataFrame:
     """df written to the shared folder and read again: the lineage ends there, and any executor can read it.
 
     Rows are first rebalanced into files of the advisory partition size, so that small tables don't become many
-    small files.
+    small files; a large one may go without.
 
     The driver then collects its garbage, on which Spark deletes the shuffle files of what has ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kgloom-{uuid.uuid4().hex}"
-    df.hint("rebalance").write.parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.parquet(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,7 +88,11 @@ class Hasher:
             of = of.copy()
             of[65:91] = of[97:123]
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(of[data] * up[:-1], out=self.sums[1:])
+        np.cumsum(np.multiply(of[data], up[:-1]), out=self.sums[1:])
+
+    def every(self, width: int) -> np.ndarray:
+        """Of all slices of one width, not mixed; the high bits tell most."""
+        return (self.sums[width:] - self.sums[:-width]) * self.down[: len(self.sums) - width]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))

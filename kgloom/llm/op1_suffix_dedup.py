@@ -1,6 +1,6 @@
 """Removal of repeated substrings with suffix arrays, spread over a cluster.
 
-Every ``width``-byte string belongs to one anchor: the 16 bytes in it with the least hash, leftmost of equals. Runs
+Every ``width``-byte string belongs to one anchor: the 24 bytes in it with the least hash, leftmost of equals. Runs
 of neighbouring strings with one anchor make a piece of text; equal strings always lie in pieces of equal anchors. So
 1. pieces whose anchor occurs once in the corpus are done with;
 2. of equal pieces only the first occurrence goes on (the later ones repeat it whole);
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, Hasher, chunks, cut, texts
+from .common import CHUNK, Hasher, chunks, cut, mix, texts
 from .suffix_array import common_prefixes, eights, suffix_array
 
-WIDTH, GRAM = 100, 16
+WIDTH, GRAM = 100, 24
 #: Different pieces of one anchor that one suffix array takes; bytes of text in one array, if anchors leave the choice.
 MAX_PIECES, ARRAY_BYTES = 32_768, 2 << 20
 PLACE = np.uint64((1 << 24) - 1)
@@ -43,23 +43,24 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if n < WIDTH:
         return none, none, none, none
     h = Hasher(data)
-    gram = h.of(np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
-    least = (gram & ~PLACE) | np.arange(len(gram), dtype=np.uint64)
+    gram = h.every(GRAM)
+    least = gram & ~PLACE
+    least |= np.arange(len(gram), dtype=np.uint64)
     size, span = 1, WIDTH - GRAM + 1
     while 2 * size <= span:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     if span > size:
         least = np.minimum(least[: size - span], least[span - size :])
-    anchor = (least & PLACE).astype(np.int64)
-    edge = np.zeros(n + 1, np.int64)  # strings that would leave their text
-    np.add.at(edge, np.maximum(offsets[:-1], offsets[1:] - WIDTH + 1), 1)
-    np.add.at(edge, offsets[1:], -1)
-    fits = np.append(np.cumsum(edge)[: len(anchor)] == 0, False)
+    anchor = (least & PLACE).view(np.int64)
+    fits = np.ones(n + 1, bool)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):  # strings that would leave their text
+        fits[max(a, b - WIDTH + 1) : b] = False
+    fits = np.append(fits[: len(anchor)], False)
     new = np.append(True, anchor[1:] != anchor[:-1])
     first = np.flatnonzero(fits[:-1] & (new | ~np.append(False, fits[:-2])))
     last = np.flatnonzero(fits[:-1] & (np.append(new[1:], True) | ~fits[1:]))
-    return gram[anchor[first]], h.of(first, last + WIDTH), first, last + WIDTH
+    return mix(gram[anchor[first]]), h.of(first, last + WIDTH), first, last + WIDTH
 
 
 def segments(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -215,7 +216,7 @@ def removals(docs: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = docs.mapInArrow(piece_rows, PIECES)
     again = every.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
-    some = cut(every.join(again, "anchor"))
+    some = cut(every.join(again, "anchor"), rebalance=False)
     first = cut(some.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "pos")).alias("_first"), F.max("len").alias("len")))
     copies = some.join(first.select("anchor", "piece", "_first"), ["anchor", "piece"]).where("doc != _first.doc or pos != _first.pos").select("doc", F.col("pos").alias("begin"), (F.col("pos") + F.col("len")).alias("end"))
     count = first.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1")
