@@ -10,7 +10,8 @@ pairs of a document grow in proportion to its tokens. Tokens that occur once fil
 Document frequencies are counted over all documents on a fixed share of the hash space, which comes first in the
 order, and on all tokens of those documents whose prefix might not fit into that share. Equal sets are one class from the start. In each
 entry of the index, the least document is compared with all others (a star, not all pairs); what these links don't
-connect is compared next, but for pairs that the triangle inequality of the Jaccard distance rules out. All
+connect is compared next, but for pairs that bounds rule out, taken from sizes, from what both share with that document and
+from tokens that none of the others has. All
 comparisons are exact on the whole sets. No link between different sets is lost: pairs left out are either connected already or
 not similar.
 
@@ -178,14 +179,64 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both), pa.array(nx + ny - both)], names=["a", "b", "shared", "united"])
 
 
-def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def token_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, doc) of packed sets."""
+    for batch in batches:
+        for doc, raw in zip(batch.column("doc").to_pylist(), batch.column("tokens"), strict=True):
+            token = np.frombuffer(raw.as_buffer(), np.int64)
+            yield frame(TOKENS, token, np.full(len(token), doc))
+
+
+def packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, tokens): whole sets of some documents, each one binary value."""
+    return cut(docs.join(ids.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text").mapInArrow(packed_sets, "doc long, tokens binary"))
+
+
+def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) -> a, b, shared, united: exact sizes of intersection and union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(packed_sets, "doc long, tokens binary"))
     both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a")
     return cut(both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long, shared long, united long"))
 
 
+def enough(shared, n, m):
+    """Whether so many shared tokens make documents of n and m tokens similar."""
+    return shared * 100 >= (n + m - shared) * PERCENT
+
+
+def band(n):
+    """Sizes within 2 % or so, by number."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.02)))
+
+
+def remaining(star: DataFrame, first: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs that share a pivot, aren't connected yet and may be similar.
+
+    Two documents that share an index entry share its pivot. o is what a document shares with the pivot, u how many of
+    its tokens no other document here has. Neither these nor more than the lesser o can be shared, so a pair shares
+    min(o) + min(n - o - u) tokens at most. As a document shares n - u at most, it can only be similar to
+    documents of up to ``most`` tokens; those fall into few bands of sizes, in which pairs are sought.
+    """
+    got = first.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), F.col("shared").alias("o"))
+    label = star.join(comp, F.col("doc") == F.col("id"), "left").select("pivot", "doc", "n", F.coalesce("component_id", "doc").alias("c"))
+    open_ = label.groupBy("pivot").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("pivot")
+    rest = cut(label.join(open_, "pivot").join(got, ["pivot", "doc"], "left"))
+    here = rest.select(F.explode(F.array("doc", "pivot")).alias("doc")).distinct()
+    lone = sets.join(here, "doc").mapInArrow(token_pairs, TOKENS).groupBy("token").agg(F.count("*").alias("_k"), F.min("doc").alias("doc")).where("_k = 1").groupBy("doc").agg(F.count("*").alias("u"))
+    rest = rest.join(lone, "doc", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    rest = cut(rest.withColumn("most", F.floor((F.col("n") - F.col("u")) * (100 + PERCENT) / PERCENT) - F.col("n")))
+    up_to = F.least("most", "n")
+    small = rest.where("most >= n").withColumn("band", band(F.col("n")))
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    large = rest.where(up_to >= least).withColumn("band", F.explode(F.sequence(band(F.greatest(F.lit(1), least)), band(up_to))))
+    mixed = small.select("pivot", "band", "c").unionByName(large.select("pivot", "band", "c")).groupBy("pivot", "band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("pivot", "band")
+    large = large.select("pivot", "band", *(F.col(c).alias("_" + c) for c in ("doc", "n", "c", "o", "u", "most")))
+    inside = F.least("o", "_o") + F.least(F.col("n") - F.col("o") - F.col("u"), F.col("_n") - F.col("_o") - F.col("_u"))
+    bound = F.when(F.col("o").isNotNull() & F.col("_o").isNotNull(), inside).otherwise(F.least(F.col("n") - F.col("u"), F.col("_n") - F.col("_u")))
+    fits_ = (F.col("c") != F.col("_c")) & (F.col("n") <= F.least("_most", "_n")) & (F.col("_n") <= F.col("most"))
+    pairs = small.join(mixed, ["pivot", "band"]).join(large, ["pivot", "band"]).where(fits_ & enough(bound, F.col("n"), F.col("_n")))
+    return pairs.select(F.least("doc", "_doc").alias("a"), F.greatest("doc", "_doc").alias("b")).distinct()
+
+
 def index(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(entry, doc, n): the index over the representatives of all sets."""
     tokens = docs.select("doc_id", "text").mapInArrow(token_rows, TOKENS)
@@ -210,23 +261,13 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = cut(own.join(least, ["n", "s1", "s2"], "left").select("doc", "n", "inside", F.coalesce("rep", "doc").alias("rep")))
     entry = cut(index(docs, sets))
     pivot = entry.groupBy("entry").agg(F.min(F.struct("doc", "n")).alias("_p"), F.count("*").alias("_n")).where("_n > 1").select("entry", F.col("_p.doc").alias("pivot"), F.col("_p.n").alias("_pn"))
-    fit = lambda x, y: (F.col(x) * 100 >= F.col(y) * PERCENT) & (F.col(y) * 100 >= F.col(x) * PERCENT)
-    member = cut(entry.join(pivot, "entry"))
-    star = member.where((F.col("doc") != F.col("pivot")) & fit("n", "_pn")).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    first = compare(cut(star), docs)
+    star = cut(entry.join(pivot, "entry").where("doc != pivot").select("pivot", "_pn", "doc", "n").distinct())
+    small, large = F.least("n", "_pn"), F.greatest("n", "_pn")
+    whole = packed(docs, star.select(F.explode(F.array("pivot", "doc")).alias("doc")))
+    first = compare(star.where(enough(small, small, large)).select(F.col("pivot").alias("a"), F.col("doc").alias("b")), whole)
     similar = F.col("shared") * 100 >= F.col("united") * PERCENT
     link = first.where(similar)
-    comp = components(link)
-    # entries whose documents aren't connected yet; the pivot itself has been compared
-    label = member.join(comp, F.col("doc") == F.col("id"), "left").select("entry", "doc", "n", "pivot", F.coalesce("component_id", "doc").alias("c"))
-    label = label.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), (1 - F.col("shared") / F.col("united")).alias("d")), ["pivot", "doc"], "left")
-    open_ = label.groupBy("entry").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("entry")
-    rest = cut(label.join(open_, "entry").where("doc != pivot").select("entry", "doc", "n", "c", "d"))
-    other = rest.select(*(F.col(c).alias("_" + c) for c in ("entry", "doc", "n", "c", "d")))
-    near = F.coalesce(F.abs(F.col("d") - F.col("_d")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
-    more = rest.join(other, (F.col("entry") == F.col("_entry")) & (F.col("doc") < F.col("_doc")) & (F.col("c") != F.col("_c")) & fit("n", "_n") & near)
-    more = more.select(F.col("doc").alias("a"), F.col("_doc").alias("b")).distinct()
-    second = compare(cut(more.join(first.select("a", "b"), ["a", "b"], "left_anti")), docs)
+    second = compare(cut(remaining(star, first, components(link), whole)), whole)
     return sets, link.unionByName(second.where(similar))
 
 
