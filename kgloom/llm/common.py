@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -39,13 +40,18 @@ def cut(df: DataFrame, rebalance: bool = True) -> DataFrame:
     Rows are first rebalanced into files of the advisory partition size, so that small tables don't become many
     small files; a large one may go without.
 
-    The driver then collects its garbage, on which Spark deletes the shuffle files of what has ended.
+    The driver then collects its garbage, on which Spark deletes the shuffle files of what has ended; it waits for
+    the events of the ended job, which hold on to them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kgloom-{uuid.uuid4().hex}"
     (df.hint("rebalance") if rebalance else df).write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+    return out
 
 
 def powers(base: int, n: int) -> np.ndarray:
