@@ -215,7 +215,7 @@ def removals(docs: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
     """docs (doc_id, text) -> (doc, begin, end): byte runs, overlapping in part, that together cover all repeats."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = docs.mapInArrow(piece_rows, PIECES)
-    again = every.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
+    again = cut(every.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"))
     some = cut(every.join(again, "anchor"), rebalance=False)
     first = cut(some.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "pos")).alias("_first"), F.max("len").alias("len")))
     copies = some.join(first.select("anchor", "piece", "_first"), ["anchor", "piece"]).where("doc != _first.doc or pos != _first.pos").select("doc", F.col("pos").alias("begin"), (F.col("pos") + F.col("len")).alias("end"))

@@ -240,7 +240,7 @@ def remaining(star: DataFrame, first: DataFrame, comp: DataFrame, sets: DataFram
 def index(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(entry, doc, n): the index over the representatives of all sets."""
     tokens = docs.select("doc_id", "text").mapInArrow(token_rows, TOKENS)
-    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    often = cut(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"))
     shared = tokens.join(often, "token").groupBy("doc").agg(F.collect_list(F.struct("token", "often")).alias("tokens"))
     rep = sets.where("doc = rep and n > 0").select("doc", "n", "inside").distinct()
     return rep.join(shared, "doc").mapInArrow(entry_rows, "entry long, doc long, n long")
