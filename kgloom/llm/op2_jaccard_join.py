@@ -189,7 +189,7 @@ def token_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc, tokens): whole sets of some documents, each one binary value."""
-    return cut(docs.join(ids.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text").mapInArrow(packed_sets, "doc long, tokens binary"))
+    return cut(docs.join(ids.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text").mapInArrow(packed_sets, "doc long, tokens binary"), rebalance=False)
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ def path(url: Column) -> Column:
 
 def rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
     """The longest rule that fits, as a struct (n, rule, verdict), or null."""
+    if not rules:
+        return F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
     of = F.array(*(F.struct(F.lit(len(r)).alias("n"), F.lit(r).alias("rule"), F.lit(v).alias("verdict"), F.lit(r.partition("/")[0]).alias("h"), F.lit("/" + r.partition("/")[2]).alias("p")) for r, v in rules.items()))
     fits = F.filter(of, lambda r: ((host == r["h"]) | F.endswith(host, F.concat(F.lit("."), r["h"]))) & F.startswith(path, r["p"]))
     return F.array_max(fits)

@@ -21,7 +21,7 @@ from .common import Hasher, chunks, texts, words
 #: From so many bytes on: least and greatest ratio of raw to compressed size for whole documents.
 BANDS = ((256, 1.0, 3.5), (512, 1.1, 4.0), (1024, 1.25, 4.5), (4096, 1.35, 5.5), (16384, 1.4, 7.0))
 #: The band of each full chunk, and the share of chunks that may lie outside.
-CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE, LEVEL = 4096, (1.25, 6.0), 0.34, 3
+CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE, LEVEL = 4096, (1.4, 6.0), 0.34, 3
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_chunks_out long"
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
