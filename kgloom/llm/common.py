@@ -34,23 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame, rebalance: bool = True) -> DataFrame:
+def cut(df: DataFrame, rebalance: bool = True, free: bool = False) -> DataFrame:
     """df written to the shared folder and read again: the lineage ends there, and any executor can read it.
 
     Rows are first rebalanced into files of the advisory partition size, so that small tables don't become many
     small files; a large one may go without.
 
-    The driver then collects its garbage, on which Spark deletes the shuffle files of what has ended; it waits for
-    the events of the ended job, which hold on to them.
+    With ``free``, for what has shuffled whole texts or tokens, the driver then collects its garbage, on which Spark
+    deletes the shuffle files of what has ended; it waits for the events of the ended job, which hold on to them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kgloom-{uuid.uuid4().hex}"
     (df.hint("rebalance") if rebalance else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    if free:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        for _ in range(2):
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
     return out
 
 
@@ -149,15 +150,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     small, large = F.least(a, b), F.greatest(a, b)
     edges = cut(links.where(F.col(a) != F.col(b)).select(small.alias("v"), large.alias("u")).distinct())
-    mark = None
-    while True:
+
+    def settled() -> bool:
+        """Every node has one parent, and no parent has one."""
+        several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        return several.unionByName(edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").select("u")).isEmpty()
+
+    while not settled():
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.where("u != m").select("u", F.col("m").alias("v"))).distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         edges = cut(edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())

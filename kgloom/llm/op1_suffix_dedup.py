@@ -215,9 +215,9 @@ def removals(docs: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
     """docs (doc_id, text) -> (doc, begin, end): byte runs, overlapping in part, that together cover all repeats."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = docs.mapInArrow(piece_rows, PIECES)
-    again = cut(every.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"))
-    some = cut(every.join(again, "anchor"), rebalance=False)
-    first = cut(some.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "pos")).alias("_first"), F.max("len").alias("len")))
+    again = cut(every.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"), free=True)
+    some = cut(every.join(again, "anchor"), rebalance=False, free=True)
+    first = cut(some.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "pos")).alias("_first"), F.max("len").alias("len")), free=True)
     copies = some.join(first.select("anchor", "piece", "_first"), ["anchor", "piece"]).where("doc != _first.doc or pos != _first.pos").select("doc", F.col("pos").alias("begin"), (F.col("pos") + F.col("len")).alias("end"))
     count = first.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1")
     want = first.join(count, "anchor").select("anchor", "_n", F.col("_first.doc").alias("doc"), F.col("_first.pos").alias("pos"), "len")
@@ -232,7 +232,7 @@ def removals(docs: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
         each = cut(bytes_of(want.join(crowded.select("anchor"), "anchor")).mapInArrow(strings, "anchor long, string long, doc long, pos int"))
         least = each.groupBy("anchor", "string").agg(F.min(F.struct("doc", "pos")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
         out.append(each.join(least, ["anchor", "string"]).where("doc != _first.doc or pos != _first.pos").select("doc", F.col("pos").alias("begin"), (F.col("pos") + WIDTH).alias("end")))
-    return cut(out[0].unionByName(out[1]) if len(out) == 2 else out[0].unionByName(out[1]).unionByName(out[2]))
+    return cut(out[0].unionByName(out[1]) if len(out) == 2 else out[0].unionByName(out[1]).unionByName(out[2]), free=True)
 
 
 def dedup(docs: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:

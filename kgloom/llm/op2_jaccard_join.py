@@ -189,13 +189,13 @@ def token_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc, tokens): whole sets of some documents, each one binary value."""
-    return cut(docs.join(ids.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text").mapInArrow(packed_sets, "doc long, tokens binary"), rebalance=False)
+    return cut(docs.join(ids.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text").mapInArrow(packed_sets, "doc long, tokens binary"), rebalance=False, free=True)
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) -> a, b, shared, united: exact sizes of intersection and union."""
     both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long, shared long, united long"))
+    return cut(both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long, shared long, united long"), free=True)
 
 
 def enough(shared, n, m):
@@ -240,7 +240,7 @@ def remaining(star: DataFrame, first: DataFrame, comp: DataFrame, sets: DataFram
 def index(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(entry, doc, n): the index over the representatives of all sets."""
     tokens = docs.select("doc_id", "text").mapInArrow(token_rows, TOKENS)
-    often = cut(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"))
+    often = cut(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), free=True)
     shared = tokens.join(often, "token").groupBy("doc").agg(F.collect_list(F.struct("token", "often")).alias("tokens"))
     rep = sets.where("doc = rep and n > 0").select("doc", "n", "inside").distinct()
     return rep.join(shared, "doc").mapInArrow(entry_rows, "entry long, doc long, n long")
@@ -253,13 +253,13 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frame(SETS, ids, np.diff(at), within(token, at), s1.view(np.int64), s2.view(np.int64))
 
 
-def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, text) -> (doc, n, rep, ...) with each set's representative, its least id; and the links a, b, shared, united."""
+def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (doc_id, text) -> (doc, n, rep, ...) with each set's representative, its least id; links (a, b, shared, united) that connect all that is linked; components (id, component_id) of those."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = cut(docs.mapInArrow(set_rows, SETS))
     least = own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))
     sets = cut(own.join(least, ["n", "s1", "s2"], "left").select("doc", "n", "inside", F.coalesce("rep", "doc").alias("rep")))
-    entry = cut(index(docs, sets))
+    entry = cut(index(docs, sets), free=True)
     pivot = entry.groupBy("entry").agg(F.min(F.struct("doc", "n")).alias("_p"), F.count("*").alias("_n")).where("_n > 1").select("entry", F.col("_p.doc").alias("pivot"), F.col("_p.n").alias("_pn"))
     star = cut(entry.join(pivot, "entry").where("doc != pivot").select("pivot", "_pn", "doc", "n").distinct())
     small, large = F.least("n", "_pn"), F.greatest("n", "_pn")
@@ -267,14 +267,15 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = compare(star.where(enough(small, small, large)).select(F.col("pivot").alias("a"), F.col("doc").alias("b")), whole)
     similar = F.col("shared") * 100 >= F.col("united") * PERCENT
     link = first.where(similar)
-    second = compare(cut(remaining(star, first, components(link), whole)), whole)
-    return sets, link.unionByName(second.where(similar))
+    comp = components(link)
+    second = compare(cut(remaining(star, first, comp, whole)), whole).where(similar)
+    links = link.unionByName(second)
+    return sets, links, comp if second.isEmpty() else components(links)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, one row for each row of docs."""
-    sets, links = join(docs)
-    comp = components(links)
+    sets, _, comp = join(docs)
     return sets.join(comp, F.col("rep") == F.col("id"), "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
 
 
