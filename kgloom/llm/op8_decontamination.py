@@ -20,12 +20,17 @@ from .common import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before lower-casing.
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows of a table of test terms that may be broadcast (some 64 bytes each); a larger one is joined by shuffle.
 MAX_BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAK), lambda w: w != "")
+    """Lower-cased words; pure ASCII takes the faster function, which there does the same."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(low, BREAK), "")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -73,9 +78,13 @@ def alignments(index: DataFrame, seed: DataFrame) -> DataFrame:
     return first.join(then, ["doc", "item_id", "start"], "left_semi").unionByName(first.join(small(alone), "item_id", "left_semi").select("doc", "item_id", "start")).distinct()
 
 
-def verified(found: DataFrame, corpus: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """(doc, item_id, begin, end): runs of document words that occurrences of windows cover, by comparing words."""
-    here = found.join(corpus, "doc").join(small(items.select("item_id", F.col("words").alias("_item"))), "item_id")
+def verified(found: DataFrame, docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """(doc, item_id, begin, end): runs of document words that occurrences of windows cover, by comparing words.
+
+    Texts are joined whole and split into words afterwards, in documents with alignments only.
+    """
+    here = found.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    here = here.select("doc", "item_id", "start", words(F.col("text")).alias("words")).join(small(items.select("item_id", F.col("words").alias("_item"))), "item_id")
     n = F.size("_item")
     same = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get("words", F.col("start") + i) == F.get("_item", i), F.lit(False)))
     # the length of the run of equal words that ends at each place
@@ -108,17 +117,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     corpus = docs.select(F.col("doc_id").alias("doc"), words(F.col("text")).alias("words"))
     items = cut(benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0))
     window = cut(windows(items, width))
-    counts = cut(counted(corpus, window.select(F.explode("terms").alias("term")).distinct()))
+    counts = cut(counted(corpus, cut(window.select(F.explode("terms").alias("term")).distinct())))
     seed = cut(seeds(window, counts))
     index = cut(postings(corpus, seed.select("term").distinct()))
-    runs = verified(alignments(index, seed), corpus, items, width)
+    runs = verified(cut(alignments(index, seed)), docs, items, width)
     per = runs.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("_runs"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     return per.select("doc", covered(F.col("_runs")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
-    all_docs = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    all_docs = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
     found = hits(docs, benchmark, width)
     n = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     digest = F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256)
