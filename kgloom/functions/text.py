@@ -24,6 +24,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, rule) -> Column:
+    """rule(x) with x worked out once, however often the rule names it."""
+    return F.get(F.transform(F.array(x), rule), 0)
+
+
 def strip(x: Column | str) -> Column:
     """Without blanks at both ends."""
     return F.regexp_replace(col(x), rf"(?U)^{_B}+|{_B}+\z", "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import year_bucket
 from ..functions.dates import year
-from ..functions.text import MISSING, strip
+from ..functions.text import MISSING, let, strip
 
 #: The asked format itself, in English and Polish.
 ECHOES = ("YYYY-MM-DD", "RRRR-MM-DD")
@@ -21,11 +21,13 @@ def as_read(output: Column | str) -> Column:
 
 
 def mode(output: Column | str) -> Column:
-    x = strip(as_read(output))
-    return (
-        F.when(x.isin(*ECHOES), "literal_format_echo").when(F.rlike(x, F.lit(r"^\d{4}\z")), "year_only_no_format").when(F.rlike(x, F.lit(DATE)), "wrong_date_correct_format")
-        .when(F.length(x) > 40, "verbose_response").when(x.isin("nan", "", "None"), "empty/nan").otherwise("other_format")
-    )
+    def rule(x: Column) -> Column:
+        return (
+            F.when(x.isin(*ECHOES), "literal_format_echo").when(F.rlike(x, F.lit(r"^\d{4}\z")), "year_only_no_format").when(F.rlike(x, F.lit(DATE)), "wrong_date_correct_format")
+            .when(F.length(x) > 40, "verbose_response").when(x.isin("nan", "", "None"), "empty/nan").otherwise("other_format")
+        )
+
+    return let(strip(as_read(output)), rule)
 
 
 def tagged(graded: DataFrame) -> DataFrame:

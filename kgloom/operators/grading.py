@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import find_date, parse_date
-from ..functions.text import EMPTY_WORD, candidates, casefold, clean_place, is_empty, parse_list, similar, strip
+from ..functions.text import EMPTY_WORD, candidates, casefold, clean_place, is_empty, let, parse_list, similar, strip
 
 #: Row scores by match type.
 DOB_SCORES = {"exact_match": 1.0, "swap_match": 1.0, "year_month_match": 0.7, "year_month_swap_match": 0.7, "year_match": 0.5, "no_match": 0.0, "empty": 0.0}
@@ -26,20 +26,22 @@ def score(eval_type: Column | str, scores: dict[str, float]) -> Column:
 
 def grade_dob(df: DataFrame, gt: str = "gt", output: str = "llm_output") -> DataFrame:
     """With eval, eval_type, eval_score. Parts are compared as text; a right year alone is counted as wrong."""
-    df = df.withColumns({"_g": parse_date(gt), "_o": find_date(output)})
-    g, o = (lambda k: F.col(f"_g.{k}")), (lambda k: F.col(f"_o.{k}"))
-    swapped = (g("y") == o("y")) & (g("m") == o("d")) & (g("d") == o("m")) & (o("d") <= "12") & (o("m") <= "31")
-    kind = (
-        F.when(is_empty(output, EMPTY_WORD), "empty")
-        .when(F.col("_g").isNull() | F.col("_o").isNull(), "no_match")
-        .when((g("y") == o("y")) & (g("m") == o("m")) & (g("d") == o("d")), "exact_match")
-        .when(swapped, "swap_match")
-        .when((g("y") == o("y")) & (g("m") == o("m")), "year_month_match")
-        .when((g("y") == o("y")) & (g("m") == o("d")) & (o("d") <= "12") & (o("m") <= "31"), "year_month_swap_match")
-        .when(g("y") == o("y"), "year_match")
-        .otherwise("no_match")
-    )
-    df = df.withColumn("eval_type", kind).drop("_g", "_o")
+    def rule(s: Column) -> Column:
+        g, o = s["g"], s["o"]
+        swapped = (g["y"] == o["y"]) & (g["m"] == o["d"]) & (g["d"] == o["m"]) & (o["d"] <= "12") & (o["m"] <= "31")
+        return (
+            F.when(s["empty"], "empty")
+            .when(g.isNull() | o.isNull(), "no_match")
+            .when((g["y"] == o["y"]) & (g["m"] == o["m"]) & (g["d"] == o["d"]), "exact_match")
+            .when(swapped, "swap_match")
+            .when((g["y"] == o["y"]) & (g["m"] == o["m"]), "year_month_match")
+            .when((g["y"] == o["y"]) & (g["m"] == o["d"]) & (o["d"] <= "12") & (o["m"] <= "31"), "year_month_swap_match")
+            .when(g["y"] == o["y"], "year_match")
+            .otherwise("no_match")
+        )
+
+    both = F.struct(parse_date(gt).alias("g"), find_date(output).alias("o"), is_empty(output, EMPTY_WORD).alias("empty"))
+    df = df.withColumn("eval_type", let(both, rule))
     verdict = F.when(F.col("eval_type") == "empty", "FN").when(F.col("eval_type").isin("year_match", "no_match"), "FP").otherwise("TP")
     return df.withColumns({"eval": verdict, "eval_score": score("eval_type", DOB_SCORES)})
 
