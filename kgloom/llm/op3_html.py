@@ -30,6 +30,8 @@ from .op5_url_filters import host
 #: Importance under which a branch goes, pages of a host from which on it is judged, least share of text left.
 LOW, PAGES, LEFT = 0.2, 8, 0.25
 MAX_BROADCAST_ROWS = 100_000
+#: Elements nested deeper are put beside each other, as browsers do; longer paths are named by a hash.
+MAX_DEPTH, MAX_PATH = 512, 300
 
 # HTML's void elements, elements whose text isn't markup, and those that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,14 +51,21 @@ ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def hash64(x: str) -> int:
+    return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 class Node:
-    __slots__ = ("tag", "style", "parent", "noise", "main", "path", "parts", "kids", "n")
+    __slots__ = ("tag", "style", "parent", "noise", "main", "path", "parts", "depth")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.parent = tag, parent
         named = (attrs.get("class") or attrs.get("id") or "").split()
         self.style = tag + ("." + re.sub(r"\d+", "", named[0]) if named else "")
         self.path = f"{parent.path}/{self.style}" if parent else self.style
+        if len(self.path) > MAX_PATH:
+            self.path = f"#{hash64(self.path):x}"
+        self.depth = parent.depth + 1 if parent else 0
         said = {w.lower() for k in ("class", "id") for w in WORD.findall(attrs.get(k, ""))} if attrs else ()
         role = attrs.get("role", "").lower()
         inside = bool(parent and parent.main)
@@ -104,7 +113,7 @@ def parse(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
+        elif tag not in VOID and not (m[3] or m[6] or "").endswith("/") and node.depth < MAX_DEPTH:
             top = node
     return root
 
@@ -158,10 +167,6 @@ def extract(page: str, low: frozenset[str] = frozenset()) -> str:
     return part if len(part) >= LEFT * len(whole) else whole
 
 
-def hash64(x: str) -> int:
-    return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
 def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each page and block node of its tree: host, path, hash of child styles, hash of content."""
     for batch in batches:
@@ -169,28 +174,24 @@ def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if not page or not h:
                 continue
-            merged: dict[str, tuple[list[str], list[str]]] = {}
-            done: list[Node] = []
+            merged: dict[str, tuple[list[str], list[str], str, int]] = {}
             stack = [parse(page)]
             while stack:
                 x = stack.pop()
-                done.append(x)
-                stack += [c for c in x.parts if isinstance(c, Node) and c.tag not in RAW]
-            for x in reversed(done):
                 if x.tag in BLOCK and x.tag not in ("html", "body", "head", "br", "hr"):
-                    shape, content = merged.setdefault(x.path, ([], []))
+                    shape, content, *_ = merged.setdefault(x.path, ([], [], x.parent.path, x.depth))
                     shape.append(",".join(dict.fromkeys(c.style for c in x.parts if isinstance(c, Node))))
-                    content.append(" ".join(p for p in x.parts if isinstance(p, str)))
-            # a branch's content is its own text and that of all below it
-            for path in sorted(merged, key=len, reverse=True):
-                up = path.rpartition("/")[0]
-                if up in merged:
-                    merged[up][1].extend(merged[path][1])
-            for path, (shape, content) in merged.items():
+                    content += (p for p in x.parts if isinstance(p, str))
+                stack += [c for c in reversed(x.parts) if isinstance(c, Node) and c.tag not in RAW]
+            # a branch's content is its own text and the contents below it, by their hashes
+            for path in sorted(merged, key=lambda p: (-merged[p][3], p)):
+                shape, content, up, _ = merged[path]
                 hosts.append(h)
                 paths.append(path)
                 shapes.append(hash64(";".join(shape)))
                 contents.append(hash64(" ".join(content)))
+                if up in merged:
+                    merged[up][1].append(f"{contents[-1]:x}")
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shapes, pa.int64()), pa.array(contents, pa.int64())], names=["host", "path", "shape", "content"])
 
 

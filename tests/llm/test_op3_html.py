@@ -47,3 +47,9 @@ def test_very_long_page(spark, prose):
     body = "".join(f"<p>{prose.text(20)}</p>" for _ in range(3000))
     out = op.main_text(pages(spark, [(1, "http://l.example/", f"<article>{body}</article>")])).first()
     assert out["n_chars"] > 200_000
+
+
+def test_deep_nesting(spark):
+    html = "<div>" * 20_000 + "deep" + "<font>" * 20_000 + "<p>end"
+    out = op.main_text(pages(spark, [(i, "http://d.example/", html) for i in range(2)])).collect()
+    assert {r["text"] for r in out} == {"deep end"}
