@@ -41,16 +41,17 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, parts))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_rows: int = 20) -> DataFrame:
     """labelled (tokens, block boolean) -> rules (rule_id, antecedent, confidence, support) for block.
 
-    A rule stays if no part of it is as sure: of an antecedent and its subsets only the shortest of equal
+    A rule needs min_rows labelled URLs as well, so that a few chance ones don't make one. Of an antecedent and its subsets only the shortest of equal
     confidence is needed, which the inverted index takes care of by choosing the surest match.
     """
     baskets = labelled.select(F.array_append("tokens", F.when(F.col("block"), BLOCK).otherwise(ALLOW)).alias("items"))
-    if baskets.where("items is not null").isEmpty():
+    n = baskets.count()
+    if n < max(1, min_rows):
         return labelled.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double")
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
+    found = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / n), minConfidence=min_confidence).fit(baskets).associationRules
     found = found.where((F.col("consequent") == F.array(F.lit(BLOCK))) & ~F.array_contains("antecedent", ALLOW))
     return found.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), "antecedent", "confidence", "support")
 
@@ -62,11 +63,11 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.where("_hit = _n").groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str] = RULES, min_support: float = 0.001, min_confidence: float = 0.6) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str] = RULES, min_support: float = 0.002, min_confidence: float = 0.8, min_rows: int = 20) -> DataFrame:
     """pages (page_id, url), labels (page_id, block boolean) -> page_id, host, path, rule, verdict, confidence."""
     of = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     known = labels.select(F.col("page_id").alias("_id"), F.col("block")).where("block is not null").dropDuplicates(["_id"])
-    learnt = mine(of.join(known, F.col("page_id") == F.col("_id")).select(tokens(F.col("host"), F.col("path")).alias("tokens"), "block"), min_support, min_confidence)
+    learnt = mine(of.join(known, F.col("page_id") == F.col("_id")).select(tokens(F.col("host"), F.col("path")).alias("tokens"), "block"), min_support, min_confidence, min_rows)
     one = of.select("url", "host", "path").distinct().select("url", tokens(F.col("host"), F.col("path")).alias("tokens"))
     sure = matches(one, learnt).withColumnRenamed("url", "_url")
     got = of.withColumn("_rule", rule(F.col("host"), F.col("path"), rules)).join(sure, F.col("url") == F.col("_url"), "left")

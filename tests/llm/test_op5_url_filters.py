@@ -34,13 +34,13 @@ def test_rules_against_brute_force(spark):
 def test_mined_rules_block_what_labels_say(spark):
     urls = [f"http://{'casino' if i % 5 == 0 else 'news'}{i % 3}.spam-win.io/{'win' if i % 5 == 0 else 'x'}/{i}" for i in range(100)]
     labels = spark.createDataFrame([(i, i % 5 == 0) for i in range(80)] + [(90, None)], "page_id long, block boolean")
-    out = {r["page_id"]: r["verdict"] for r in op.judge(pages(spark, urls), labels, rules={}, min_support=0.02).collect()}
+    out = {r["page_id"]: r["verdict"] for r in op.judge(pages(spark, urls), labels, rules={}, min_support=0.02, min_rows=5).collect()}
     assert all(out[i] == ("block" if i % 5 == 0 else "allow") for i in range(100))
 
 
 def test_pruning_by_confidence(spark):
     labelled = spark.createDataFrame([(["h:a", "h:b"], i % 2 == 0) for i in range(20)], "tokens array<string>, block boolean")
-    assert op.mine(labelled, 0.1, 0.6).isEmpty() and not op.mine(labelled, 0.1, 0.5).isEmpty()
+    assert op.mine(labelled, 0.1, 0.6, 5).isEmpty() and not op.mine(labelled, 0.1, 0.5, 5).isEmpty() and op.mine(labelled, 0.1, 0.5, 11).isEmpty()
 
 
 def test_empty_and_repeated(spark):
