@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word before lower-casing.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts lower-cased words, and a word before lower-casing; as positive sets of letters, which Java matches much faster.
+BREAK, RAW_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Rows of a table of test terms that may be broadcast (some 64 bytes each); a larger one is joined by shuffle.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -81,19 +81,23 @@ def alignments(index: DataFrame, seed: DataFrame) -> DataFrame:
 def verified(found: DataFrame, docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """(doc, item_id, begin, end): runs of document words that occurrences of windows cover, by comparing words.
 
-    Texts are joined whole and split into words afterwards, in documents with alignments only.
+    A document's alignments are gathered with their items' words, so that only documents with alignments are split
+    into words, and each once.
     """
-    here = found.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
-    here = here.select("doc", "item_id", "start", words(F.col("text")).alias("words")).join(small(items.select("item_id", F.col("words").alias("_item"))), "item_id")
-    n = F.size("_item")
-    same = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get("words", F.col("start") + i) == F.get("_item", i), F.lit(False)))
-    # the length of the run of equal words that ends at each place
-    run = F.aggregate(same, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.when(x, F.element_at(acc, -1) + 1).otherwise(0)))
-    need = F.least(F.lit(width), n)
-    here = here.select("doc", "item_id", "start", n.alias("_n"), need.alias("_need"), run.alias("_run"))
-    # a run ends where the next count is 0
-    end = F.filter(F.sequence(F.lit(1), F.col("_n")), lambda i: (F.get("_run", i) >= F.col("_need")) & (F.coalesce(F.get("_run", i + 1), F.lit(0)) == 0))
-    return here.select("doc", "item_id", "start", "_run", F.explode(end).alias("_i")).select("doc", "item_id", (F.col("start") + F.col("_i") - F.get("_run", F.col("_i"))).alias("begin"), (F.col("start") + F.col("_i")).alias("end"))
+    here = found.join(small(items.select("item_id", F.col("words").alias("item"))), "item_id")
+    here = here.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("item_id", "start", "item")).alias("_at"))
+
+    def runs(w: Column, a: Column) -> Column:
+        n = F.size(a["item"])
+        same = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get(w, a["start"] + i) == F.get(a["item"], i), F.lit(False)))
+        # the length of the run of equal words that ends at each place; a run ends where the next is 0
+        length = F.aggregate(same, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.when(x, F.element_at(acc, -1) + 1).otherwise(0)))
+        ends = lambda r: F.filter(F.sequence(F.lit(1), n), lambda i: (F.get(r, i) >= F.least(F.lit(width), n)) & (F.coalesce(F.get(r, i + 1), F.lit(0)) == 0))
+        return let(length, lambda r: F.transform(ends(r), lambda i: F.struct(a["item_id"].alias("item_id"), (a["start"] + i - F.get(r, i)).alias("begin"), (a["start"] + i).alias("end"))))
+
+    every = let(words(F.col("text")), lambda w: F.flatten(F.transform("_at", lambda a: runs(w, a))))
+    found = docs.select("doc_id", "text").join(here, "doc_id").select(F.col("doc_id").alias("doc"), F.explode_outer(every).alias("r"))
+    return found.where("r is not null").select("doc", "r.item_id", "r.begin", "r.end")
 
 
 def covered(runs: Column) -> Column:
