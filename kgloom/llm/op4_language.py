@@ -146,7 +146,7 @@ def entropies(model: Model, seq: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def calibrate(model: Model, kept: list[tuple[str, str]]) -> None:
-    """The sharpness that makes the right language likeliest, and 1.75 times the greatest entropy of its right hits, as limit."""
+    """The sharpness that makes the right language likeliest, and as limit twice the entropy that one right hit in 200 exceeds."""
     raw = [t.encode("utf-8", "replace") for _, t in kept]
     seq, bounds, ok = sequences(b"".join(raw), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(int), model.ids())
     h = entropies(model, seq, bounds)
@@ -159,7 +159,7 @@ def calibrate(model: Model, kept: list[tuple[str, str]]) -> None:
         loss.append(-(z[np.arange(len(truth)), truth] - np.log(np.exp(z).sum(1)))[ok].sum())
     model.sharpness = grid[int(np.argmin(loss))]
     right = h.min(1)[ok & (h.argmin(1) == truth) & (np.diff(bounds) >= 100)]
-    model.limit = 1.75 * float(right.max()) if len(right) else 1e9
+    model.limit = 2 * float(np.quantile(right, 0.995)) if len(right) else 1e9
 
 
 def sampled(docs: DataFrame, held_out) -> list[tuple[str, str]]:
