@@ -6,7 +6,7 @@ consecutive words, or the whole of a shorter item) is sought by its rarest terms
 intersected, rarest first; what is left is compared word by word. Only DataFrame operations.
 
 Null texts have no words; an item without words has no window. Documents of one id are one document to the join
-at the end, so repeated rows each get the union of their hits. Empty tables give no hits or an empty result. Other
+at the end, so repeated rows each get the union of their hits; rows without an id have none. Empty tables give no hits or an empty result. Other
 columns are left alone.
 """
 
