@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-BLANK = r"(?U)[\s\x1c-\x1f]"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _B = r"[\s\x1c-\x1f]"
 #: Answers that count as none, by grader.
 EMPTY_NAME = ("NONE", "N/A", "NA", "NULL", "[]", "['']", '[""]')
@@ -31,7 +31,7 @@ def let(x: Column, rule) -> Column:
 
 def strip(x: Column | str) -> Column:
     """Without blanks at both ends."""
-    return F.regexp_replace(col(x), rf"(?U)^{_B}+|{_B}+\z", "")
+    return F.btrim(col(x), F.lit(BLANKS))
 
 
 def casefold(x: Column | str) -> Column:
