@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine of header lines and licence files to templates, then inheritance along directories.
 
 Every line of every text is a candidate header, and a licence file's whole text as well; each is a sparse vector of its words,
-weighted by inverse document frequency over the corpus (words outside the templates weigh like the rarest). A document's own licence is
+weighted by inverse document frequency over the corpus (words outside the templates weigh like the rarest). Lines that an exact
+bound keeps under the threshold aren't compared; how frequent a word is rules out nothing. A document's own licence is
 the template of the highest cosine, from a threshold on. A document without one takes that of the nearest directory
 above it, its own first, that holds a licence file, found by joins of paths.
 
@@ -42,8 +43,8 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
-#: Least cosine; share of documents from which on a word can't make a line a candidate; names of licence files.
-THRESHOLD, COMMON = 0.6, 0.02
+#: Least cosine; names of licence files.
+THRESHOLD = 0.6
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.\-][^/]*)?$"
 
 
@@ -77,13 +78,24 @@ class Scanner:
     def __init__(self, idf: dict[str, float]):
         self.idf, self.rarest = idf, idf[""]
         self.templates = [(name, v, self.norm(v)) for name, ts in sorted(TEMPLATES.items()) for t in ts for v in [Counter(tokens(t))]]
-        docs = math.exp(idf[""])
-        telling = [w for w in VOCABULARY if math.exp(-idf[w]) <= COMMON or docs < 100] or VOCABULARY
-        self.telling = re.compile(r"(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in sorted(telling, key=len, reverse=True)) + r")(?![a-z0-9])")
+        self.square = {w: idf[w] ** 2 for w in VOCABULARY}
 
     def norm(self, v: Counter[str]) -> float:
         return math.sqrt(sum((n * self.idf.get(w, self.rarest)) ** 2 for w, n in v.items()))
 
+    def may_reach(self, words: list[str]) -> bool:
+        """False only if a line of these words is under the threshold for every template.
+
+        A line's cosine to any template is at most sqrt(inside / (inside + outside)), the part of its squared length
+        that lies in the templates' words; repeated words outside only lengthen it further.
+        """
+        known = [w for w in words if w in self.square]
+        if not known:
+            return False
+        inside = sum(n * n * self.square[w] for w, n in Counter(known).items())
+        outside = (len(words) - len(known)) * self.rarest**2
+        return inside >= (THRESHOLD**2 - 1e-9) * (inside + outside)
+
     def score(self, text: str) -> tuple[float, str]:
         """The highest cosine and its template."""
         v = Counter(tokens(text))
@@ -99,12 +111,11 @@ class Scanner:
         """(licence, cosine, line from 0; -1 for the whole text) or nothing."""
         low = text.lower()
         best: tuple[float, str, int] = (0.0, "", 0)
-        if self.telling.search(low):
-            for i, line in enumerate(low.split("\n")):
-                if self.telling.search(line):
-                    s, name = self.score(line)
-                    if s > best[0] + 1e-12:
-                        best = (s, name, i)
+        for i, line in enumerate(low.split("\n")):
+            if self.may_reach(tokens(line)):
+                s, name = self.score(line)
+                if s > best[0] + 1e-12:
+                    best = (s, name, i)
         if whole and (of := self.score(low))[0] > best[0] + 1e-12:
             best = (*of, -1)
         return (best[1], best[0], best[2]) if best[0] >= THRESHOLD else (None, None, None)

@@ -50,3 +50,20 @@ def test_empty_and_repeated(spark):
 def test_very_long_text(spark, prose):
     text = prose.text(100_000) + "\nReleased under the MIT License."
     assert op.licenses(files(spark, [("a.txt", text)])).first()["own"] == "MIT"
+
+
+def test_frequent_licences_are_found(spark, prose):
+    """A header of most documents, all of whose words are frequent."""
+    rows = [(f"d{i}/x.txt", prose.text(30) + ("\nReleased under the MIT License.\n" if i % 5 else "\n") + prose.text(30)) for i in range(200)]
+    out = {r["id"]: (r["own"], r["license"]) for r in op.licenses(files(spark, rows)).collect()}
+    assert out == {i: ("MIT", "MIT") if i % 5 else (None, None) for i in range(200)}
+
+
+def test_bound_loses_no_line(prose):
+    known = sorted(op.VOCABULARY)
+    for _ in range(300):
+        scanner = op.Scanner({w: prose.r.choice([0.1, 0.5, 2.0, 5.0]) for w in known} | {"": 5.1})
+        name = prose.r.choice(sorted(op.TEMPLATES))
+        words = op.tokens(op.TEMPLATES[name][0])
+        words = [w for w in words if prose.r.random() < 0.8] + prose.words(prose.r.randint(0, 3)) * prose.r.randint(1, 2) + [prose.r.choice(known)] * prose.r.randint(0, 2)
+        assert scanner.may_reach(words) or scanner.score(" ".join(words))[0] < op.THRESHOLD
