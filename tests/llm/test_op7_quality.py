@@ -50,3 +50,14 @@ def test_empty_table_and_long_text(prose, docs_of):
     assert op.judge(docs_of([])).collect() == []
     out = op.judge(docs_of([(1, prose.text(40_000))])).first()
     assert out["n_words"] == 40_000 and out["kept"]
+
+
+def base64(r, n, width=60):
+    text = " ".join("".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(width)) for _ in range(n // width + 1))
+    return text[:n]
+
+
+def test_short_base64_is_rejected(prose, docs_of):
+    rows = [(i, base64(prose.r, size, width)) for i, (size, width) in enumerate((n, w) for n in (260, 400, 500, 700, 1000, 1023, 1500, 2047, 3000, 4000) for w in (8, 20, 60) if n >= 11 * w)]
+    out = op.judge(docs_of(rows)).collect()
+    assert not any(r["kept"] or r["base_failed"] for r in out)
