@@ -1,8 +1,9 @@
 """Quality rules with compression bands: zstandard ratios of whole documents and of fixed chunks.
 
-A document is kept if it passes the base rules and both its whole ratio and those of its chunks lie within the
-band for the length: above it text is repetitive, below it incompressible. Texts under the first
-length have no band. Null text counts as empty (no words, so the base rules reject it); repeated rows are each
+A document is kept if it passes the base rules and both its whole ratio and those of all its chunks lie within the
+band for the length: above it text is repetitive, below it incompressible. Every byte of a text of a chunk or more lies
+in a chunk: what follows the last full one is a chunk with the band of its length or, if too short for a band, part of
+the last full one. Texts under the first length have no band. Null text counts as empty (no words, so the base rules reject it); repeated rows are each
 judged; an empty table gives an empty result; further columns are left alone. One pass over the rows, without a
 shuffle; a task holds one Arrow batch.
 """
@@ -18,12 +19,12 @@ from pyspark.sql import DataFrame
 
 from .common import Hasher, chunks, texts, words
 
-#: From so many bytes on: least and greatest ratio of raw to compressed size for whole documents.
+#: From so many bytes on: least and greatest ratio of raw to compressed size for whole documents and shorter chunks.
 #: The least ratios lie between those of prose and of base64 in words of 8 to 60 characters (measured at most 1.14 at 320
 #: bytes, 1.19 at 448, 1.24 at 640, 1.29 at 1023, 1.33 at 2047, 1.36 at 20,000).
 BANDS = ((256, 1.15, 3.5), (320, 1.2, 3.5), (448, 1.25, 3.5), (512, 1.28, 4.0), (768, 1.32, 4.0), (1024, 1.4, 4.5), (2048, 1.5, 4.5), (4096, 1.5, 5.5), (16384, 1.5, 7.0))
-#: The band of each full chunk, and the share of chunks that may lie outside.
-CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE, LEVEL = 4096, (1.4, 6.0), 0.34, 3
+#: The band of each full chunk.
+CHUNK_BYTES, CHUNK_BAND, LEVEL = 4096, (1.5, 6.0), 3
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_chunks_out long"
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -63,6 +64,15 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def spans(size: int) -> list[tuple[int, int]]:
+    """Where the chunks of a text lie: end to end over all of it, or none if it is shorter than a chunk."""
+    edges = list(range(0, size - CHUNK_BYTES + 1, CHUNK_BYTES))
+    if edges:
+        last = edges[-1] + CHUNK_BYTES
+        edges += [last, size] if size - last >= BANDS[0][0] else [size]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 def measure(data: np.ndarray, offsets: np.ndarray, squeeze: zstandard.ZstdCompressor) -> list[np.ndarray]:
     start, end, first = words(data, offsets)
     of_text = per_text
@@ -78,15 +88,16 @@ def measure(data: np.ndarray, offsets: np.ndarray, squeeze: zstandard.ZstdCompre
         text = raw[a:b]
         dup[i] = duplicate_lines(text)
         ratio[i] = len(text) / len(squeeze.compress(text)) if text else 0
-        for at in range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES):
-            r = CHUNK_BYTES / len(squeeze.compress(text[at : at + CHUNK_BYTES]))
+        for at, end in spans(len(text)):
+            r = (end - at) / len(squeeze.compress(text[at:end]))
+            low, high = CHUNK_BAND if end - at >= CHUNK_BYTES else next((lo, hi) for least, lo, hi in reversed(BANDS) if end - at >= least)
             n[i] += 1
-            out[i] += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
+            out[i] += not low <= r <= high
     return [np.diff(first), chars, of_text(SYMBOLS[data], offsets), dup.astype(np.int64), repeat, ratio, n.astype(np.int64), out.astype(np.int64)]
 
 
 def in_band(size: np.ndarray, ratio: np.ndarray, n: np.ndarray, out: np.ndarray) -> np.ndarray:
-    ok = out <= CHUNK_SHARE * n
+    ok = out == 0
     band = np.searchsorted([b[0] for b in BANDS], size, "right") - 1
     low, high = (np.array([b[k] for b in BANDS])[band] for k in (1, 2))
     return ok & ((band < 0) | ((low <= ratio) & (ratio <= high)))

@@ -61,3 +61,11 @@ def test_short_base64_is_rejected(prose, docs_of):
     rows = [(i, base64(prose.r, size, width)) for i, (size, width) in enumerate((n, w) for n in (260, 400, 500, 700, 1000, 1023, 1500, 2047, 3000, 4000) for w in (8, 20, 60) if n >= 11 * w)]
     out = op.judge(docs_of(rows)).collect()
     assert not any(r["kept"] or r["base_failed"] for r in out)
+
+
+def test_every_byte_lies_in_a_chunk(prose, docs_of):
+    assert [op.spans(n) for n in (4095, 4096, 4351, 4352, 9000)] == [[], [(0, 4096)], [(0, 4351)], [(0, 4096), (4096, 4352)], [(0, 4096), (4096, 8192), (8192, 9000)]]
+    text = prose.text(4000)
+    rows = [(1, text[:4096] + base64(prose.r, 4000)), (2, text[:8192] + base64(prose.r, 4096)), (3, text[:8192] + base64(prose.r, 600)), (4, text[:8192])]
+    out = {r["doc_id"]: (r["kept"], r["base_failed"], r["n_chunks"], r["n_chunks_out"]) for r in op.judge(docs_of(rows)).collect()}
+    assert out == {1: (False, False, 2, 1), 2: (False, False, 3, 1), 3: (False, False, 3, 1), 4: (True, False, 2, 0)}
