@@ -55,34 +55,46 @@ def block_words(blocks: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col("total") / blocks)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, blocks: int = 20_000, shards: int = 16, buckets: int = 4096, seed: int = 9) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, size, source, source_size, target, taken.
+def lay(docs: DataFrame, weights: tuple[int, ...], most: int, blocks: int, buckets: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """docs -> the plan, one row a source, and documents with the place where each starts in its source's seeded order.
 
-    Each source's documents lie end to end in a seeded order, cut into equal-token blocks. A source first takes
-    every whole pass its target holds, then blocks in seeded order up to its quota; the last block is cut (or
-    the next begun) where the target is reached, which corrects the rounding of quotas. Prefix sums run in two
-    levels, over ``buckets`` of the order and inside each, so that no task ever holds a whole source.
+    A target is _e whole passes of its source and _rest words. Prefix sums run in two levels, over ``buckets`` of the
+    order and inside each, so that no task ever holds a whole source.
     """
     base = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")))
-    of = cut(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    quota = quotas(of, blocks, shards, most).groupBy("_s").agg(F.sum("quota").alias("_q"))
-    plan = of.join(quota, "_s", "left").withColumns({"_b": block_words(blocks), "_n": F.ceil(F.col("source_size") / block_words(blocks))})
+    plan = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    plan = plan.withColumns({"_b": block_words(blocks), "_n": F.ceil(F.col("source_size") / block_words(blocks))})
     plan = plan.withColumn("_e", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = plan.withColumn("_rest", F.least(F.round("target") - F.col("_e") * F.col("source_size"), F.col("source_size")).cast("long"))
-    plan = cut(plan.withColumn("_r", F.greatest(F.lit(0), F.coalesce("_q", F.lit(0)) - F.col("_e") * F.col("_n"))))
-    block = plan.where("_n > 0").select("_s", "_b", "_rest", "_r", "source_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
-    block = block.withColumn("_len", F.least(F.col("_b"), F.col("source_size") - F.col("_k") * F.col("_b")))
-    seeded = W.partitionBy("_s").orderBy(F.xxhash64(F.lit(seed), "_s", "_k"), "_k")
-    block = block.withColumns({"_o": F.row_number().over(seeded), "_before": F.sum("_len").over(seeded) - F.col("_len")})
-    # beyond the quota only what the correction may begin; four passes' partial blocks and the rounding are under 6 blocks
-    block = block.where("_before < _rest and _o <= _r + 6").select("_s", "_k", (F.col("_k") * F.col("_b")).alias("_from"), F.least(F.col("_len"), F.col("_rest") - F.col("_before")).alias("_take"))
+    plan = cut(plan.withColumn("_rest", F.least(F.round("target") - F.col("_e") * F.col("source_size"), F.col("source_size")).cast("long")))
     order = F.xxhash64("doc_id", F.lit(seed))
-    placed = base.join(plan.select(F.col("source").alias("_src"), "_s", "_b", "_e", "source_size", "target"), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+    placed = base.join(plan.select(F.col("source").alias("_src"), "_s", "_b", "_e", "_rest", "source_size", "target"), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     placed = placed.withColumns({"_at": order, "_bucket": F.pmod(F.shiftrightunsigned(order, 20), F.lit(buckets))})
     start = placed.groupBy("_s", "_bucket").agg(F.sum("size").alias("_sum"))
     start = start.withColumn("_base", F.sum("_sum").over(W.partitionBy("_s").orderBy("_bucket")) - F.col("_sum")).drop("_sum")
     inside = W.partitionBy("_s", "_bucket").orderBy("_at", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    placed = placed.join(start, ["_s", "_bucket"]).withColumn("_start", F.col("_base") + F.sum("size").over(inside) - F.col("size"))
+    return plan, placed.join(start, ["_s", "_bucket"]).withColumn("_start", F.col("_base") + F.sum("size").over(inside) - F.col("size"))
+
+
+def chosen(plan: DataFrame, blocks: int, shards: int, most: int, seed: int) -> DataFrame:
+    """(_s, _k, _from, _take): the blocks that fill each source's rest, in seeded order."""
+    quota = quotas(plan, blocks, shards, most).groupBy("_s").agg(F.sum("quota").alias("_q"))
+    plan = plan.join(quota, "_s", "left").withColumn("_r", F.greatest(F.lit(0), F.coalesce("_q", F.lit(0)) - F.col("_e") * F.col("_n")))
+    block = plan.where("_n > 0").select("_s", "_b", "_rest", "_r", "source_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
+    block = block.withColumn("_len", F.least(F.col("_b"), F.col("source_size") - F.col("_k") * F.col("_b")))
+    seeded = W.partitionBy("_s").orderBy(F.xxhash64(F.lit(seed), "_s", "_k"), "_k")
+    block = block.withColumns({"_o": F.row_number().over(seeded), "_before": F.sum("_len").over(seeded) - F.col("_len")})
+    # beyond the quota only what the correction may begin; four passes' partial blocks and the rounding are under 6 blocks
+    return block.where("_before < _rest and _o <= _r + 6").select("_s", "_k", (F.col("_k") * F.col("_b")).alias("_from"), F.least(F.col("_len"), F.col("_rest") - F.col("_before")).alias("_take"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, blocks: int = 20_000, shards: int = 16, buckets: int = 4096, seed: int = 9) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, size, source, source_size, target, taken.
+
+    Each source's documents lie end to end in a seeded order, cut into equal-token blocks. A source first takes
+    every whole pass its target holds, then the blocks that its quotas choose, corrected to its target.
+    """
+    plan, placed = lay(docs, weights, most, blocks, buckets, seed)
+    block = chosen(plan, blocks, shards, most, seed)
     out = ["doc_id", "size", "source", "source_size", "target", "taken"]
     some, none = placed.where("size > 0"), placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     some = some.withColumn("_k", F.explode(F.sequence(F.floor(F.col("_start") / F.col("_b")), F.floor((F.col("_start") + F.col("size") - 1) / F.col("_b")))))
@@ -91,12 +103,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     return some.select(out).unionByName(none.select(out))
 
 
+def whole(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, blocks: int = 20_000, buckets: int = 4096, seed: int = 9) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, size, source, target, times: the mix by whole documents.
+
+    A source's documents are all taken once for each whole pass of its target, then once more in seeded order as long as
+    half of the next still fits: the words miss the target by half a document at most. A source with any target keeps its first.
+    """
+    _, placed = lay(docs, weights, most, blocks, buckets, seed)
+    more = (2 * F.col("_start") + F.col("size") <= 2 * F.col("_rest")) | (F.col("_start") == 0) & (F.col("_e") == 0) & (F.col("_rest") > 0)
+    return placed.select("doc_id", "size", "source", "target", F.when(F.col("size") > 0, F.col("_e") + more.cast("long")).otherwise(0).cast("int").alias("times"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: taken / size, rounded."""
-    often = mix(docs).select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("_times"))
-    often = often.where("_times > 0").groupBy("_id").agg(F.max("_times").alias("_times"))
+    """Each document as often as the mix by whole documents takes it."""
+    often = whole(docs).where("times > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("_times"))
     return docs.join(often, F.col("doc_id") == F.col("_id")).withColumn("_times", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)

@@ -82,3 +82,18 @@ def test_stage_repeats_documents(spark, docs_of):
     df = docs_of([(i, "w " * (200 if i == 0 else 10)) for i in range(3)], source=lambda i: f"s{i}")
     out = op.stage(spark, df, "")
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()).count(1) == 3
+
+
+def test_stage_meets_targets_with_long_documents(spark, prose, docs_of):
+    """Documents of hundreds of blocks each: words per source within a document of the target, and no source is lost."""
+    source = {i: "abcdef"[i % 6] if i % 3 else "a" for i in range(240)} | {240: "z"}
+    text = {i: "w " * (5000 if i == 240 else prose.r.randint(100, 900)) for i in source}
+    df, sizes, most = docs_of(list(text.items()), source=source.get), {}, {}
+    for i, s in source.items():
+        sizes[s] = sizes.get(s, 0) + size(text[i])
+        most[s] = max(most.get(s, 0), size(text[i]))
+    got = dict.fromkeys(sizes, 0)
+    for r in op.stage(spark, df, "").collect():
+        got[r["source"]] += size(r["text"])
+    goal = fill(sizes)
+    assert all(abs(got[s] - goal[s]) <= most[s] / 2 + 1 for s in goal if s != "z") and got["z"] > 0
