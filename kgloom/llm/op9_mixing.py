@@ -76,15 +76,24 @@ def lay(docs: DataFrame, weights: tuple[int, ...], most: int, blocks: int, bucke
 
 
 def chosen(plan: DataFrame, blocks: int, shards: int, most: int, seed: int) -> DataFrame:
-    """(_s, _k, _from, _take): the blocks that fill each source's rest, in seeded order."""
-    quota = quotas(plan, blocks, shards, most).groupBy("_s").agg(F.sum("quota").alias("_q"))
-    plan = plan.join(quota, "_s", "left").withColumn("_r", F.greatest(F.lit(0), F.coalesce("_q", F.lit(0)) - F.col("_e") * F.col("_n")))
-    block = plan.where("_n > 0").select("_s", "_b", "_rest", "_r", "source_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
-    block = block.withColumn("_len", F.least(F.col("_b"), F.col("source_size") - F.col("_k") * F.col("_b")))
-    seeded = W.partitionBy("_s").orderBy(F.xxhash64(F.lit(seed), "_s", "_k"), "_k")
-    block = block.withColumns({"_o": F.row_number().over(seeded), "_before": F.sum("_len").over(seeded) - F.col("_len")})
-    # beyond the quota only what the correction may begin; four passes' partial blocks and the rounding are under 6 blocks
-    return block.where("_before < _rest and _o <= _r + 6").select("_s", "_k", (F.col("_k") * F.col("_b")).alias("_from"), F.least(F.col("_len"), F.col("_rest") - F.col("_before")).alias("_take"))
+    """(_s, _k, _from, _take): the blocks that fill each source's rest.
+
+    A source's blocks are dealt out to the shards by seed. Of its awards beyond whole passes, each shard takes as many blocks of
+    its own, in seeded order. What rounding or a short shard leaves open is filled from the source's other blocks in
+    seeded order, and what is too much is cut at the end, so that every source gets its target, whatever the number of sources.
+    """
+    upto = W.partitionBy("_s").orderBy("shard")
+    quota = quotas(plan, blocks, shards, most).join(plan.select("_s", (F.col("_e") * F.col("_n")).alias("_whole")), "_s").withColumn("_upto", F.sum("quota").over(upto))
+    beyond = lambda c: F.greatest(F.lit(0), c - F.col("_whole"))
+    quota = quota.select("_s", F.col("shard").alias("_shard"), (beyond(F.col("_upto")) - beyond(F.col("_upto") - F.col("quota"))).alias("_q"))
+    block = plan.where("_n > 0").select("_s", "_b", "_rest", "source_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
+    draw = F.xxhash64(F.lit(seed), "_s", "_k")
+    block = block.withColumns({"_len": F.least(F.col("_b"), F.col("source_size") - F.col("_k") * F.col("_b")), "_draw": draw, "_shard": F.pmod(F.shiftrightunsigned(draw, 20), F.lit(shards)).cast("int")})
+    block = block.join(quota, ["_s", "_shard"], "left").withColumn("_i", F.row_number().over(W.partitionBy("_s", "_shard").orderBy("_draw", "_k")))
+    awarded = F.col("_i") <= F.coalesce("_q", F.lit(0))
+    seeded = W.partitionBy("_s").orderBy(F.when(awarded, F.col("_shard")).otherwise(shards), "_draw", "_k")
+    block = block.withColumn("_before", F.sum("_len").over(seeded) - F.col("_len")).where("_before < _rest")
+    return block.select("_s", "_k", (F.col("_k") * F.col("_b")).alias("_from"), F.least(F.col("_len"), F.col("_rest") - F.col("_before")).alias("_take"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, blocks: int = 20_000, shards: int = 16, buckets: int = 4096, seed: int = 9) -> DataFrame:

@@ -84,6 +84,22 @@ def test_stage_repeats_documents(spark, docs_of):
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()).count(1) == 3
 
 
+def test_many_small_sources_cost_the_large_ones_nothing(docs_of):
+    """Rounding a long tail of 0.6 blocks a source moves more than 6 of the 70 blocks of each large one."""
+    source = {i: f"small{i}" if i < 200 else f"large{i % 4}" for i in range(560)}
+    df = docs_of([(i, "w " * (2 if i < 200 else 10)) for i in source], source=source.get)
+    goal = fill({s: 2 if s.startswith("small") else 900 for s in source.values()}, weights=(1, 1, 1))
+    seen = {}
+    for shards in (16, 1):
+        taken = dict.fromkeys(goal, 0)
+        out = op.mix(df, weights=(1, 1, 1), blocks=400, shards=shards).collect()
+        for r in out:
+            taken[r["source"]] += r["taken"]
+        assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
+        seen[shards] = {r["doc_id"]: r["taken"] for r in out}
+    assert seen[16] != seen[1]
+
+
 def test_stage_meets_targets_with_long_documents(spark, prose, docs_of):
     """Documents of hundreds of blocks each: words per source within a document of the target, and no source is lost."""
     source = {i: "abcdef"[i % 6] if i % 3 else "a" for i in range(240)} | {240: "z"}
