@@ -4,8 +4,10 @@ Pages of one host are merged: nodes that agree in their path of element styles (
 node of the host's tree. A node's importance is the greater of two entropies over the pages that have it, to base
 their number: of its presentation (the styles of its children) and of its content. Branches that look and read alike on all pages
 of a host have low importance and are removed from each page, as are those whose style says what they are (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts). A removal that would leave under a
-quarter of a page's text isn't made, as then the host's pages are copies of one article. What is left of the page's article is its text.
+headers, footers, sidebars, notices, adverts, forms, comments, scripts). Words of class or id alone never remove html,
+body, main or article, nor what holds most of the page's text with its title or article, nor a page's whole text. A removal
+of low branches that would leave nothing, or under a quarter of an article, isn't made, as then the host's pages are copies of one
+article. What is left of all the page's articles and main parts is its text, else of the page.
 
 Null html gives an empty text; null or odd URLs belong to one host without a name, which is never pruned; repeated rows
 each give their text; an empty table gives an empty result; further columns are left alone. Statistics are counted for all pages by
@@ -56,7 +58,7 @@ def hash64(x: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "style", "parent", "noise", "main", "path", "parts", "depth")
+    __slots__ = ("tag", "style", "parent", "noise", "soft", "main", "path", "parts", "depth")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.parent = tag, parent
@@ -69,8 +71,11 @@ class Node:
         said = {w.lower() for k in ("class", "id") for w in WORD.findall(attrs.get(k, ""))} if attrs else ()
         role = attrs.get("role", "").lower()
         inside = bool(parent and parent.main)
-        self.noise = bool(tag in NOISE_TAGS or tag == "header" and not inside or attrs and (NOISE_WORDS & said or "header" in said and not inside or role in NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I)))
-        self.main = inside or tag in ("article", "main") or role in ("main", "article") or attrs.get("itemprop") == "articleBody"
+        part = tag in ("article", "main") or role in ("main", "article") or attrs.get("itemprop") == "articleBody"
+        self.noise = bool(tag in NOISE_TAGS or tag == "header" and not inside or attrs and (role in NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I)))
+        self.soft = bool(said and not self.noise and not part and tag not in ("html", "body") and (NOISE_WORDS & said or "header" in said and not inside))
+        self.noise |= self.soft
+        self.main = inside or part
         self.parts: list[str | Node] = []
 
 
@@ -135,36 +140,65 @@ def text_of(node: Node, low: frozenset[str]) -> str:
     return " ".join("".join(out).split())
 
 
-def roots(node: Node) -> list[Node]:
-    """The topmost articles (else main parts, else the page) that aren't noise."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
+def roots(node: Node, soft: bool = False) -> list[Node]:
+    """The topmost articles and main parts that aren't noise, else the page; with ``soft`` also those in branches that are noise by words only."""
+    found: list[Node] = []
     stack = [node]
     while stack:
         x = stack.pop()
-        if x.noise:
+        if x.noise and not (soft and x.soft):
+            continue
+        if x.main:
+            found.append(x)
             continue
-        if x.main and x.parent:
-            kind = "article" if x.tag == "article" else "main"
-            found[kind].append(x)
-            if kind == "article":
-                continue
         stack += [c for c in reversed(x.parts) if isinstance(c, Node)]
-    return found["article"] or found["main"][:1] or [node]
+    return found or [node]
+
+
+def unmark(page: Node, any_part: bool = False) -> bool:
+    """Takes back what words say of branches with over half of the page's text that hold its title, an article or a main part (or anything)."""
+    order: list[Node] = []
+    stack = [page]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack += [c for c in x.parts if isinstance(c, Node) and (c.soft or not c.noise)]
+    if not any(x.noise for x in order):
+        return False
+    size, holds = {}, {}
+    for x in reversed(order):
+        below = [c for c in x.parts if isinstance(c, Node) and c in size]
+        size[x] = sum(len(p.strip()) for p in x.parts if isinstance(p, str)) + sum(size[c] for c in below)
+        holds[x] = x.tag == "h1" or x.main or any(holds[c] for c in below)
+    wrong = [x for x in order if x.noise and 2 * size[x] > size[page] and (holds[x] or any_part)]
+    for x in wrong:
+        x.noise = False
+    return bool(wrong)
 
 
 def extract(page: str, low: frozenset[str] = frozenset()) -> str:
-    found = roots(parse(page))
+    tree = parse(page)
+    unmark(tree)
 
     def chosen(low: frozenset[str]) -> str:
-        each = [text_of(x, low) for x in found]
-        most = max(map(len, each))
-        return " ".join(t for t in each if t and 3 * len(t) >= most)  # teasers of other articles are short
+        return " ".join(t for t in (text_of(x, low) for x in found) if t)
 
+    found = roots(tree)
     whole = chosen(frozenset())
+    if found == [tree]:
+        found = roots(tree, soft=True)
+        if found != [tree] and len(inner := chosen(frozenset())) > len(whole):
+            whole = inner
+        else:
+            found = [tree]
+    if not whole and unmark(tree, any_part=True):
+        found = roots(tree)
+        whole = chosen(frozenset())
     if not low:
         return whole
     part = chosen(low)
-    return part if len(part) >= LEFT * len(whole) else whole
+    least = LEFT * len(whole) if found != [tree] else 1  # low branches of an article are most of it only in copies; boilerplate may be most of a page
+    return part if len(part) >= least else whole
 
 
 def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

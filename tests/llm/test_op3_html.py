@@ -53,3 +53,27 @@ def test_deep_nesting(spark):
     html = "<div>" * 20_000 + "deep" + "<font>" * 20_000 + "<p>end"
     out = op.main_text(pages(spark, [(i, "http://d.example/", html) for i in range(2)])).collect()
     assert {r["text"] for r in out} == {"deep end"}
+
+
+def test_class_words_never_empty_a_page():
+    text = "<h1>Title</h1><p>Some words of the story</p>"
+    for page in (
+        f"<body class='has-sidebar'>{text}</body>", f"<html class='no-header'><body class='no-header'>{text}</body>", f"<article class='post has-comments'>{text}</article>", f"<main id='with-menu'>{text}</main>",
+        f"<div id='page-with-menu'>{text}<div class='menu'>a</div></div>", f"<div class='with-sidebar'><article>{text}</article><div class='sidebar'>{'x ' * 200}</div></div>", f"<p>x</p><div id='page-with-menu'>{text}</div>".replace("<p>x</p>", "<nav>x</nav>"),
+    ):
+        assert op.extract(page) == "Title Some words of the story", page
+    assert op.extract("<div class='with-menu'><p>Some words</p><div class='menu'>a</div></div>") == "Some words"
+    assert op.extract("<p>Short story</p><div class='comments'><p>a much longer comment than the story</p></div>") == "Short story"
+
+
+def test_all_articles_and_main_parts_are_kept(prose):
+    long = " ".join(prose.words(100))
+    assert op.extract(f"<article>{long}</article><article>Short one</article>") == f"{long} Short one"
+    assert op.extract("<main>One</main><p>x</p><div itemprop='articleBody'>Two</div>") == "One Two"
+    assert op.extract("<main><h1>Title</h1><article>Text</article></main>") == "Title Text"
+
+
+def test_short_articles_beside_much_boilerplate(spark, prose):
+    same = prose.text(200)
+    rows = [(i, "http://b.example/%d" % i, f"<body><div class='slogan'><p>{same}</p></div><div class='text'><p>Story {prose.word()} {i}</p></div></body>") for i in range(12)]
+    assert all(r["text"].startswith("Story") for r in op.main_text(pages(spark, rows)).collect())
