@@ -23,6 +23,7 @@ results; further columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import Hasher, chunks, components, cut, mix, texts, words
 
+#: The query's words a shingle and least similarity in percent; those of the pipeline's stage.
 WIDTH, PERCENT = 4, 85
+STAGE_WIDTH, STAGE_PERCENT = 5, 80
 #: Share of the hash space whose tokens come first in the order.
 SHARE = 0.3
 #: Tokens in more documents than this are frequent. Tokens of a document for each subclass of frequent ones.
@@ -73,34 +76,34 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def of_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, tokens, bounds) for some rows at a time."""
     for batch in batches:
         data, offsets = texts(batch.column("text"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         for a, b in chunks(offsets):
             off = offsets[a : b + 1]
-            yield ids[a:b], *shingles(data[off[0] : off[-1]], off - off[0])
+            yield ids[a:b], *shingles(data[off[0] : off[-1]], off - off[0], width)
 
 
 def frame(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[f.split()[0] for f in schema.split(", ")])
 
 
-def misses(n: int) -> int:
-    return n - -(-PERCENT * n // 100)
+def misses(n: int, percent: int = PERCENT) -> int:
+    return n - -(-percent * n // 100)
 
 
-def subclasses(n: int) -> set[int]:
+def subclasses(n: int, percent: int = PERCENT) -> set[int]:
     """Numbers of subclasses by which a document of n tokens is indexed: those of all sizes that a partner may have."""
     of = lambda m: 1 << max(0, int(m // SUBCLASS).bit_length() - 1)
-    low, high = of(-(-PERCENT * n // 100)), of(100 * n // PERCENT)
+    low, high = of(-(-percent * n // 100)), of(100 * n // percent)
     return {g for g in (low, 2 * low, 4 * low) if low <= g <= high}
 
 
-def fits(n: np.ndarray, inside: np.ndarray) -> np.ndarray:
+def fits(n: np.ndarray, inside: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether the share holds a prefix of each document in any case: each subclass can cost a token."""
-    return inside - n / (SUBCLASS * PERCENT / 100) - 1 >= n - np.ceil(PERCENT * n / 100 - 1e-9) + 1
+    return inside - n / (SUBCLASS * percent / 100) - 1 >= n - np.ceil(percent * n / 100 - 1e-9) + 1
 
 
 def within(token: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -108,27 +111,27 @@ def within(token: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def token_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Counted tokens of each document; of equal sets in one task, the first only (this bears on frequencies alone, as only representatives are indexed, the least ids)."""
     seen: dict[tuple[int, int], int] = {}
-    for ids, token, at in of_batches(batches):
+    for ids, token, at in of_batches(batches, width):
         size = np.diff(at)
         new = np.ones(len(ids), bool)
         for i, s in enumerate(zip(size.tolist(), sums(mix(token + np.uint64(1)), at).tolist(), strict=True)):
             new[i] = seen.setdefault(s, ids[i]) >= ids[i]
             seen[s] = min(seen[s], ids[i])
         owner = np.repeat(np.arange(len(ids)), size)
-        take = new[owner] & ((token < TOP) | ~fits(size, within(token, at))[owner])
+        take = new[owner] & ((token < TOP) | ~fits(size, within(token, at), percent)[owner])
         yield frame(TOKENS, token[take].view(np.int64), ids[owner[take]])
 
 
-def entries(n: int, inside: int, token: np.ndarray, often: np.ndarray) -> np.ndarray:
+def entries(n: int, inside: int, token: np.ndarray, often: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Index entries of a document of n tokens, ``inside`` of them in the share; token and often: the counted ones in 2 documents or more."""
     beyond = token[token >= TOP]
     token, often = token[token < TOP], often[token < TOP]
     by = np.lexsort((token, np.where(often <= RARE, 0, np.frexp(often)[1])))
     token, often = token[by], often[by]
-    need = misses(n) + 1 - (inside - len(token))  # what tokens of this document alone leave open
+    need = misses(n, percent) + 1 - (inside - len(token))  # what tokens of this document alone leave open
     if need <= 0:
         return np.zeros(0, np.uint64)
     rare, frequent = token[often <= RARE][:need], token[often > RARE]
@@ -136,7 +139,7 @@ def entries(n: int, inside: int, token: np.ndarray, often: np.ndarray) -> np.nda
     if need <= 0:
         return rare
     out = [rare]
-    for g in subclasses(n):
+    for g in subclasses(n, percent):
         sub = mix(frequent) % np.uint64(g)
         order = np.argsort(sub, kind="stable")
         more = np.zeros(len(sub), bool)  # each token of a subclass but the first adds one
@@ -152,17 +155,17 @@ def entries(n: int, inside: int, token: np.ndarray, often: np.ndarray) -> np.nda
     return np.unique(np.concatenate(out))
 
 
-def entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def entry_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, n, inside, tokens = (batch.column(c).to_pylist() for c in ("doc", "n", "inside", "tokens"))
         for i, n_, c, t in zip(ids, n, inside, tokens, strict=True):
             token, often = np.array([x["token"] for x in t], np.int64).view(np.uint64), np.array([x["often"] for x in t])
-            e = entries(n_, c, token, often)
+            e = entries(n_, c, token, often, percent)
             yield frame("entry long, doc long, n long", e.view(np.int64), np.full(len(e), i), np.full(len(e), n_))
 
 
-def packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, token, at in of_batches(batches):
+def packed_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for ids, token, at in of_batches(batches, width):
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([token[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc", "tokens"])
 
 
@@ -187,9 +190,9 @@ def token_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield frame(TOKENS, token, np.full(len(token), doc))
 
 
-def packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc, tokens): whole sets of some documents, each one binary value."""
-    return cut(docs.join(ids.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text").mapInArrow(packed_sets, "doc long, tokens binary"), rebalance=False, free=True)
+    return cut(docs.join(ids.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text").mapInArrow(partial(packed_sets, width=width), "doc long, tokens binary"), rebalance=False, free=True)
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,9 +201,9 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long, shared long, united long"), free=True)
 
 
-def enough(shared, n, m):
+def enough(shared, n, m, percent: int):
     """Whether so many shared tokens make documents of n and m tokens similar."""
-    return shared * 100 >= (n + m - shared) * PERCENT
+    return shared * 100 >= (n + m - shared) * percent
 
 
 def band(n):
@@ -208,7 +211,7 @@ def band(n):
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.02)))
 
 
-def remaining(star: DataFrame, first: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+def remaining(star: DataFrame, first: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs that share a pivot, aren't connected yet and may be similar.
 
     Two documents that share an index entry share its pivot. o is what a document shares with the pivot, u how many of
@@ -223,59 +226,59 @@ def remaining(star: DataFrame, first: DataFrame, comp: DataFrame, sets: DataFram
     here = rest.select(F.explode(F.array("doc", "pivot")).alias("doc")).distinct()
     lone = sets.join(here, "doc").mapInArrow(token_pairs, TOKENS).groupBy("token").agg(F.count("*").alias("_k"), F.min("doc").alias("doc")).where("_k = 1").groupBy("doc").agg(F.count("*").alias("u"))
     rest = rest.join(lone, "doc", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    rest = cut(rest.withColumn("most", F.floor((F.col("n") - F.col("u")) * (100 + PERCENT) / PERCENT) - F.col("n")))
+    rest = cut(rest.withColumn("most", F.floor((F.col("n") - F.col("u")) * (100 + percent) / percent) - F.col("n")))
     up_to = F.least("most", "n")
     small = rest.where("most >= n").withColumn("band", band(F.col("n")))
-    least = F.ceil(F.col("n") * PERCENT / 100)
+    least = F.ceil(F.col("n") * percent / 100)
     large = rest.where(up_to >= least).withColumn("band", F.explode(F.sequence(band(F.greatest(F.lit(1), least)), band(up_to))))
     mixed = small.select("pivot", "band", "c").unionByName(large.select("pivot", "band", "c")).groupBy("pivot", "band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("pivot", "band")
     large = large.select("pivot", "band", *(F.col(c).alias("_" + c) for c in ("doc", "n", "c", "o", "u", "most")))
     inside = F.least("o", "_o") + F.least(F.col("n") - F.col("o") - F.col("u"), F.col("_n") - F.col("_o") - F.col("_u"))
     bound = F.when(F.col("o").isNotNull() & F.col("_o").isNotNull(), inside).otherwise(F.least(F.col("n") - F.col("u"), F.col("_n") - F.col("_u")))
     fits_ = (F.col("c") != F.col("_c")) & (F.col("n") <= F.least("_most", "_n")) & (F.col("_n") <= F.col("most"))
-    pairs = small.join(mixed, ["pivot", "band"]).join(large, ["pivot", "band"]).where(fits_ & enough(bound, F.col("n"), F.col("_n")))
+    pairs = small.join(mixed, ["pivot", "band"]).join(large, ["pivot", "band"]).where(fits_ & enough(bound, F.col("n"), F.col("_n"), percent))
     return pairs.select(F.least("doc", "_doc").alias("a"), F.greatest("doc", "_doc").alias("b")).distinct()
 
 
-def index(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def index(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """(entry, doc, n): the index over the representatives of all sets."""
-    tokens = docs.select("doc_id", "text").mapInArrow(token_rows, TOKENS)
+    tokens = docs.select("doc_id", "text").mapInArrow(partial(token_rows, width=width, percent=percent), TOKENS)
     often = cut(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), free=True)
     shared = tokens.join(often, "token").groupBy("doc").agg(F.collect_list(F.struct("token", "often")).alias("tokens"))
     rep = sets.where("doc = rep and n > 0").select("doc", "n", "inside").distinct()
-    return rep.join(shared, "doc").mapInArrow(entry_rows, "entry long, doc long, n long")
+    return rep.join(shared, "doc").mapInArrow(partial(entry_rows, percent=percent), "entry long, doc long, n long")
 
 
-def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Each document's tokens, how many of them lie in the share, and two sums that tell its set."""
-    for ids, token, at in of_batches(batches):
+    for ids, token, at in of_batches(batches, width):
         s1, s2 = sums(mix(token + np.uint64(1)), at), sums(mix(token ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
         yield frame(SETS, ids, np.diff(at), within(token, at), s1.view(np.int64), s2.view(np.int64))
 
 
-def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs (doc_id, text) -> (doc, n, rep, ...) with each set's representative, its least id; links (a, b, shared, united) that connect all that is linked; components (id, component_id) of those."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = cut(docs.mapInArrow(set_rows, SETS))
+    own = cut(docs.mapInArrow(partial(set_rows, width=width), SETS))
     least = own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))
     sets = cut(own.join(least, ["n", "s1", "s2"], "left").select("doc", "n", "inside", F.coalesce("rep", "doc").alias("rep")))
-    entry = cut(index(docs, sets), free=True)
+    entry = cut(index(docs, sets, width, percent), free=True)
     pivot = entry.groupBy("entry").agg(F.min(F.struct("doc", "n")).alias("_p"), F.count("*").alias("_n")).where("_n > 1").select("entry", F.col("_p.doc").alias("pivot"), F.col("_p.n").alias("_pn"))
     star = cut(entry.join(pivot, "entry").where("doc != pivot").select("pivot", "_pn", "doc", "n").distinct())
     small, large = F.least("n", "_pn"), F.greatest("n", "_pn")
-    whole = packed(docs, star.select(F.explode(F.array("pivot", "doc")).alias("doc")))
-    first = compare(star.where(enough(small, small, large)).select(F.col("pivot").alias("a"), F.col("doc").alias("b")), whole)
-    similar = F.col("shared") * 100 >= F.col("united") * PERCENT
+    whole = packed(docs, star.select(F.explode(F.array("pivot", "doc")).alias("doc")), width)
+    first = compare(star.where(enough(small, small, large, percent)).select(F.col("pivot").alias("a"), F.col("doc").alias("b")), whole)
+    similar = F.col("shared") * 100 >= F.col("united") * percent
     link = first.where(similar)
     comp = components(link)
-    second = compare(cut(remaining(star, first, comp, whole)), whole).where(similar)
+    second = compare(cut(remaining(star, first, comp, whole, percent)), whole).where(similar)
     links = link.unionByName(second)
     return sets, links, comp if second.isEmpty() else components(links)
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, one row for each row of docs."""
-    sets, _, comp = join(docs)
+    sets, _, comp = join(docs, width, percent)
     return sets.join(comp, F.col("rep") == F.col("id"), "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
 
 
@@ -285,5 +288,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, that of the least id."""
-    other = classes(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
+    other = classes(docs, STAGE_WIDTH, STAGE_PERCENT).where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(other, F.col("doc_id") == F.col("_id"), "left_anti")

@@ -103,3 +103,31 @@ def test_index_entries_are_shared_by_similar_sets():
 
         if len(y):
             assert entries(x) & entries(np.sort(y)) or len(x) == len(y) == 1
+
+
+def test_width_and_percent_against_brute_force(prose, docs_of):
+    rows = []
+    for n in [3, 5, 12, 60, 200, 400, 1500]:
+        base = prose.words(n)
+        rows += [" ".join(changed(prose, base, prose.r.randint(0, max(1, n // 18)))) for _ in range(12)]
+    rows = list(enumerate(rows))
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    at = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((at[i], at[j]))
+                at = {k: low if c == high else c for k, c in at.items()}
+    assert got(op.classes(docs_of(rows), 5, 80)) == {i: (len(s), at[i]) for i, s in sets.items()}
+
+
+def test_stage_drops_copies_of_four_fifths(spark, docs_of):
+    w = [f"w{i}" for i in range(500)]
+    rows = [(1, " ".join(w[:400])), (2, " ".join(w[:499])), (3, " ".join([*w, "a", "b", "c"]))]  # 396 / 495 = 0.8, 396 / 499
+    out = op.stage(spark, docs_of([rows[0], rows[1]]), "").collect()
+    assert [r["doc_id"] for r in out] == [1]
+    out = op.stage(spark, docs_of([rows[0], rows[2]]), "").collect()
+    assert sorted(r["doc_id"] for r in out) == [1, 3]
