@@ -1,11 +1,16 @@
 """Quality rules with compression bands: zstandard ratios of whole documents and of fixed chunks.
 
 A document is kept if it passes the base rules and both its whole ratio and those of all its chunks lie within the
-band for the length: above it text is repetitive, below it incompressible. Every byte of a text of a chunk or more lies
-in a chunk: what follows the last full one is a chunk with the band of its length or, if too short for a band, part of
-the last full one. Texts under the first length have no band. Null text counts as empty (no words, so the base rules reject it); repeated rows are each
-judged; an empty table gives an empty result; further columns are left alone. One pass over the rows, without a
-shuffle; a task holds one Arrow batch.
+band for the length: above it text is repetitive, below it incompressible. A band is what two limits leave: fixed ones
+(``BANDS``), which hold for any corpus, and ones fitted on all the corpus, which are much narrower. Those are, for each half octave of
+lengths, the quartiles of the logarithm of the ratio, widened by FENCE times their distance and at least to WIDTH around the median, over all
+different texts that pass the base rules; whole texts and chunks apart. A class of fewer than LEAST texts has the fixed limits only.
+Every byte of a text of a chunk or more lies in a chunk: what follows the last full one is a chunk of its own or, if too
+short for a band, part of the last full one. Texts under the first length have no band.
+
+Null text counts as empty (no words, so the base rules reject it); repeated rows are each judged, but count once for the limits; an
+empty table gives an empty result; further columns are left alone. One pass over the texts; only their measures are
+shuffled. The fitted limits are a row for each class, 124 at most whatever the corpus, so they go through the driver.
 """
 
 from __future__ import annotations
@@ -15,9 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from .common import Hasher, chunks, texts, words
+from .common import Hasher, chunks, cut, texts, words
 
 #: From so many bytes on: least and greatest ratio of raw to compressed size for whole documents and shorter chunks.
 #: The least ratios lie between those of prose and of base64 in words of 8 to 60 characters (measured at most 1.14 at 320
@@ -25,7 +32,12 @@ from .common import Hasher, chunks, texts, words
 BANDS = ((256, 1.15, 3.5), (320, 1.2, 3.5), (448, 1.25, 3.5), (512, 1.28, 4.0), (768, 1.32, 4.0), (1024, 1.4, 4.5), (2048, 1.5, 4.5), (4096, 1.5, 5.5), (16384, 1.5, 7.0))
 #: The band of each full chunk.
 CHUNK_BYTES, CHUNK_BAND, LEVEL = 4096, (1.5, 6.0), 3
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_chunks_out long"
+#: Of fitted limits: times the distance of the quartiles, least distance from the median, and least texts of a class.
+FENCE, WIDTH, LEAST = 2.5, 0.08, 50
+#: Logarithms of ratios are counted in steps of this.
+STEP = 0.001
+MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, in_fixed boolean, ratio double, n_chunks long, n_chunks_out long, size long, digest long, chunk_sizes array<int>, chunk_ratios array<double>"
+OUT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_chunks_out")
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
 
@@ -73,52 +85,95 @@ def spans(size: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def measure(data: np.ndarray, offsets: np.ndarray, squeeze: zstandard.ZstdCompressor) -> list[np.ndarray]:
+def measure(data: np.ndarray, offsets: np.ndarray, squeeze: zstandard.ZstdCompressor) -> tuple[list[np.ndarray], list[list[int]], list[list[float]]]:
+    """Each text's base measures, ratio and digest, and the sizes and ratios of its chunks."""
     start, end, first = words(data, offsets)
-    of_text = per_text
     inside = np.zeros(len(data) + 1, np.int64)
     np.add.at(inside, start, 1)
     np.add.at(inside, end, -1)
     inside = np.cumsum(inside[:-1])
-    chars = of_text((inside > 0) & ((data & 0xC0) != 0x80), offsets)
-    repeat = repeated_words(Hasher(data).of(start, end), first)
+    chars = per_text((inside > 0) & ((data & 0xC0) != 0x80), offsets)
+    hasher = Hasher(data)
+    repeat = repeated_words(hasher.of(start, end), first)
     raw = data.tobytes()
-    dup, ratio, n, out = (np.zeros(len(offsets) - 1) for _ in range(4))
+    dup, ratio = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1)
+    sizes, ratios = [], []
     for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
         text = raw[a:b]
         dup[i] = duplicate_lines(text)
         ratio[i] = len(text) / len(squeeze.compress(text)) if text else 0
-        for at, end in spans(len(text)):
-            r = (end - at) / len(squeeze.compress(text[at:end]))
-            low, high = CHUNK_BAND if end - at >= CHUNK_BYTES else next((lo, hi) for least, lo, hi in reversed(BANDS) if end - at >= least)
-            n[i] += 1
-            out[i] += not low <= r <= high
-    return [np.diff(first), chars, of_text(SYMBOLS[data], offsets), dup.astype(np.int64), repeat, ratio, n.astype(np.int64), out.astype(np.int64)]
+        at = spans(len(text))
+        sizes.append([y - x for x, y in at])
+        ratios.append([(y - x) / len(squeeze.compress(text[x:y])) for x, y in at])
+    return [np.diff(first), chars, per_text(SYMBOLS[data], offsets), dup, repeat, ratio, hasher.of(offsets[:-1], offsets[1:]).view(np.int64)], sizes, ratios
 
 
-def in_band(size: np.ndarray, ratio: np.ndarray, n: np.ndarray, out: np.ndarray) -> np.ndarray:
-    ok = out == 0
-    band = np.searchsorted([b[0] for b in BANDS], size, "right") - 1
-    low, high = (np.array([b[k] for b in BANDS])[band] for k in (1, 2))
-    return ok & ((band < 0) | ((low <= ratio) & (ratio <= high)))
+def fixed(size: int, chunk: bool) -> tuple[float, float]:
+    """The band of a length that holds for any corpus."""
+    if chunk and size >= CHUNK_BYTES:
+        return CHUNK_BAND
+    return next(((low, high) for least, low, high in reversed(BANDS) if size >= least), (0.0, float("inf")))
 
 
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=LEVEL)
+    names = [f.split()[0] for f in MEASURES.split(", ")]
     for batch in batches:
         data, offsets = texts(batch.column("text"))
         for a, b in chunks(offsets):
             off = offsets[a : b + 1]
-            n_words, chars, symbols, dup, repeat, ratio, n, out = measure(data[off[0] : off[-1]], off - off[0], squeeze)
+            (n_words, chars, symbols, dup, repeat, ratio, digest), sizes, ratios = measure(data[off[0] : off[-1]], off - off[0], squeeze)
             failed = (n_words < 10) | (100 * repeat > 20 * n_words)
-            kept = ~failed & in_band(np.diff(off), ratio, n, out)
-            cols = [batch.column("doc_id").slice(a, b - a).cast(pa.int64()), *(pa.array(x.astype(np.int64)) for x in (n_words, chars, symbols, dup, repeat)), pa.array(failed), pa.array(kept), pa.array(ratio.astype(float)), pa.array(n), pa.array(out)]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in SCHEMA.split(", ")])
-
-
-def judge(docs: DataFrame) -> DataFrame:
+            size = np.diff(off)
+            within = [lo <= r <= hi for n, r in zip(size.tolist(), ratio.tolist(), strict=True) for lo, hi in [fixed(n, False)]]
+            out = [sum(not lo <= r <= hi for n, r in zip(ns, rs, strict=True) for lo, hi in [fixed(n, True)]) for ns, rs in zip(sizes, ratios, strict=True)]
+            cols = [batch.column("doc_id").slice(a, b - a).cast(pa.int64()), *(pa.array(x.astype(np.int64)) for x in (n_words, chars, symbols, dup, repeat)), pa.array(failed), pa.array(within, pa.bool_()), pa.array(ratio)]
+            cols += [pa.array([len(x) for x in sizes], pa.int64()), pa.array(out, pa.int64()), pa.array(size.astype(np.int64)), pa.array(digest), pa.array(sizes, pa.list_(pa.int32())), pa.array(ratios, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+
+def length_class(size: Column) -> Column:
+    """Half octaves of lengths."""
+    return F.floor(F.log2(size.cast("double")) * 2).cast("int")
+
+
+def limits(measured: DataFrame, least: int = LEAST) -> list[tuple[bool, int, float, float]]:
+    """(chunk, class, lowest and highest logarithm of the ratio), fitted on all different texts that pass the base rules.
+
+    Ratios are counted by step first, so the quartiles are exact to a step, the same in every run, and no class is gathered.
+    """
+    one = measured.where(~F.col("base_failed") & (F.col("size") >= BANDS[0][0])).groupBy("size", "digest").agg(F.first("ratio").alias("ratio"), F.first("chunk_sizes").alias("_n"), F.first("chunk_ratios").alias("_r"))
+    whole = one.select(F.lit(False).alias("chunk"), "size", "ratio")
+    parts = one.select(F.explode(F.arrays_zip("_n", "_r")).alias("x")).select(F.lit(True).alias("chunk"), F.col("x._n").cast("long").alias("size"), F.col("x._r").alias("ratio"))
+    step = F.round(F.ln("ratio") / STEP).cast("int")
+    count = whole.unionByName(parts).groupBy("chunk", length_class(F.col("size")).alias("class"), step.alias("step")).agg(F.count("*").alias("n"))
+    of = W.partitionBy("chunk", "class")
+    count = count.withColumns({"_upto": F.sum("n").over(of.orderBy("step")), "_all": F.sum("n").over(of)})
+    reached = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), F.col("step"))) * STEP
+    fit = count.groupBy("chunk", "class").agg(F.max("_all").alias("_all"), reached(0.25).alias("a"), reached(0.5).alias("m"), reached(0.75).alias("b")).where(F.col("_all") >= least)
+    wide = FENCE * (F.col("b") - F.col("a"))
+    low, high = F.least(F.col("a") - wide, F.col("m") - WIDTH), F.greatest(F.col("b") + wide, F.col("m") + WIDTH)
+    return [tuple(r) for r in fit.select("chunk", "class", low, high).orderBy("chunk", "class").collect()]
+
+
+def outside(ratio: Column, size: Column, chunk: bool, fitted: list[tuple[bool, int, float, float]]) -> Column:
+    """Whether a ratio leaves the fitted limits of its length."""
+    own = {c: (lo, hi) for k, c, lo, hi in fitted if k == chunk}
+    if not own:
+        return F.lit(False)
+    of = F.create_map(*(x for c, (lo, hi) in own.items() for x in (F.lit(c), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))))
+    at = F.try_element_at(of, length_class(size))
+    return F.coalesce((size >= BANDS[0][0]) & ~F.ln(ratio).between(at["lo"] - STEP / 2, at["hi"] + STEP / 2), F.lit(False))
+
+
+def judge(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs (doc_id, text) -> the base measures, base_failed, kept, and the ratios behind it."""
-    return docs.select("doc_id", "text").mapInArrow(rows, SCHEMA)
+    measured = cut(docs.select("doc_id", "text").mapInArrow(rows, MEASURES), rebalance=False)
+    fitted = limits(measured, least)
+    pairs = F.arrays_zip(F.col("chunk_sizes").alias("n"), F.col("chunk_ratios").alias("r"))
+    more = F.size(F.filter(pairs, lambda x: outside(x["r"], x["n"], True, fitted) & (x["r"] > 0)))
+    kept = ~F.col("base_failed") & F.col("in_fixed") & (F.col("n_chunks_out") == 0) & ~outside(F.col("ratio"), F.col("size"), False, fitted) & (more == 0)
+    return measured.withColumns({"kept": kept, "n_chunks_out": F.greatest("n_chunks_out", more.cast("long"))}).select(*OUT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -69,3 +69,45 @@ def test_every_byte_lies_in_a_chunk(prose, docs_of):
     rows = [(1, text[:4096] + base64(prose.r, 4000)), (2, text[:8192] + base64(prose.r, 4096)), (3, text[:8192] + base64(prose.r, 600)), (4, text[:8192])]
     out = {r["doc_id"]: (r["kept"], r["base_failed"], r["n_chunks"], r["n_chunks_out"]) for r in op.judge(docs_of(rows)).collect()}
     assert out == {1: (False, False, 2, 1), 2: (False, False, 3, 1), 3: (False, False, 3, 1), 4: (True, False, 2, 0)}
+
+
+def test_fitted_limits_are_those_of_the_corpus(prose, docs_of):
+    """Words with a random symbol behind each compress better than prose, by less than the fixed bands tell; so do shouted repeats."""
+    odd = lambda n: " ".join(w + prose.r.choice(["###", "***", "%%%", "$$$"]) for w in prose.words(n))
+    rows = [(i, prose.text(prose.r.randint(300, 400))) for i in range(400)] + [(1000 + i, odd(250)) for i in range(20)]
+    with_fit = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in op.judge(docs_of(rows)).collect()}
+    without = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in op.judge(docs_of(rows), least=10**9).collect()}
+    assert all(without[i] == (True, False) for i in without)
+    assert all(with_fit[i] == (False, False) for i in range(1000, 1020))
+    assert sum(with_fit[i] != (True, False) for i in range(400)) <= 2
+
+
+def test_limits_against_brute_force(prose, docs_of):
+    import math
+
+    import numpy as np
+    import zstandard
+
+    rows = [(i, prose.text(prose.r.randint(60, 3000))) for i in range(150)]
+    measured = docs_of(rows + rows[:40]).select("doc_id", "text").mapInArrow(op.rows, op.MEASURES)
+    squeeze = zstandard.ZstdCompressor(level=op.LEVEL)
+    by = {}
+    for _, t in rows:
+        raw = t.encode()
+        for chunk, part in [(False, raw)] + [(True, raw[a:b]) for a, b in op.spans(len(raw))]:
+            if len(part) >= 256:
+                by.setdefault((chunk, math.floor(math.log2(len(part)) * 2)), []).append(math.log(len(part) / len(squeeze.compress(part))))
+    want = {}
+    for k, v in by.items():
+        if len(v) >= 5:
+            a, m, b = (sorted(v)[max(0, math.ceil(q * len(v)) - 1)] for q in (0.25, 0.5, 0.75))
+            want[k] = (min(a - op.FENCE * (b - a), m - op.WIDTH), max(b + op.FENCE * (b - a), m + op.WIDTH))
+    got = {(c, k): (lo, hi) for c, k, lo, hi in op.limits(measured, 5)}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=0.005) for k in want)
+
+
+def test_copies_count_once_for_the_limits(prose, docs_of):
+    """A hot group of copies doesn't become the norm."""
+    text = prose.text(200)
+    rows = [(i, text) for i in range(300)] + [(1000 + i, prose.text(200)) for i in range(100)]
+    assert sum(not r["kept"] for r in op.judge(docs_of(rows)).collect()) <= 1
