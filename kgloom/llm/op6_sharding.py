@@ -1,16 +1,19 @@
 """Sharding by a hierarchical weighted hash tree: region, rack and shard, each drawn by weighted hashing.
 
-At each level a child c of weight w draws -ln(u) / w from the hash u of (key, c); the lowest draw wins. If a
-child's weight grows, keys move only into it, so movement is confined to the subtrees whose weights change.
-New shards fill new racks and regions in order; the law is ``key``: doc_id and the number of shards decide.
-Null text has size 8 and the checksum of no bytes; null keys hash as nulls and share a shard; repeated rows get slots of
-their own; an empty table gives an empty result. Further columns are left alone.
+A shard of weight w draws -ln(u) / w from the hash u of (key, shard). A rack's draw is the least of its shards', a
+region's the least of its racks'; as draws are exponential, that is a weighted draw by the summed weight of what lies below. A key
+descends from level to level to the child of least draw. If a shard's weight grows, or a shard is added anywhere, only
+that shard's draws get less: the ones above it follow, and keys that the grown region, rack and shard win go on to
+this shard alone. So for every number of shards, one more takes rows only into itself, and a weight that falls sends away
+only rows of its own.
+
+New shards fill new racks and regions in order; the law is ``key``: doc_id and the number of shards decide. Null text has
+size 8 and the checksum of no bytes; null keys hash as nulls and share a shard, as the law says; repeated rows get slots of their own; ties of draws
+go to the first shard; an empty table gives an empty result. Further columns are left alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,41 +28,26 @@ def tree(shards: int, per_rack: int = 4, racks: int = 2, weights: dict[int, floa
     return [rack[i : i + racks] for i in range(0, len(rack), racks)]
 
 
-def weight(node) -> float:
-    return node[1] if isinstance(node, tuple) else sum(map(weight, node))
-
-
-def nodes(level: Iterable[tuple[int, float]]) -> Column:
-    return F.array(*(F.struct(F.lit(i).alias("id"), F.lit(float(w)).alias("w")) for i, w in level))
-
-
-def draw(key: Column, level: int, children: Column, seed: int) -> Column:
-    """The id of the child of least draw; u lies in (0, 1]."""
-
-    def one(c: Column) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed), F.lit(level), c["id"]), 11) + 1) / F.lit(float(1 << 53))
-        return F.struct((-F.ln(u) / c["w"]).alias("d"), c["id"].alias("id"))
-
-    return F.array_min(F.transform(children, one))["id"]
+def draw(key: Column, shard: int, weight: float, seed: int) -> Column:
+    """(draw, shard) of one shard; u lies in (0, 1]."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed), F.lit(shard)), 11) + 1) / F.lit(float(1 << 53))
+    return F.struct((-F.ln(u) / F.lit(float(weight))).alias("draw"), F.lit(shard).alias("shard"))
 
 
 def shard(key: Column, at: Tree, seed: int = 6) -> Column:
-    """The shard of a key. Nodes are named by their place, which adding shards at the end doesn't change."""
-    per_region = max(map(len, at))
-    region = draw(key, 0, nodes((r, weight(n)) for r, n in enumerate(at)), seed)
-    rack = draw(key, 1, F.get(F.array(*(nodes((r * per_region + k, weight(n)) for k, n in enumerate(x)) for r, x in enumerate(at))), region), seed)
-    leaves = [nodes(at[r][k]) if k < len(at[r]) else nodes([(-1, 1.0)]) for r in range(len(at)) for k in range(per_region)]
-    return draw(key, 2, F.get(F.array(*leaves), rack), seed)
+    """The shard of a key: each node hands up the least draw below it, so the root's is that of the shard to which the key descends."""
+    least = lambda nodes: F.least(*nodes) if len(nodes) > 1 else nodes[0]
+    return least([least([least([draw(key, i, w, seed) for i, w in rack]) for rack in region]) for region in at])["shard"]
 
 
 def place(docs: DataFrame, shards: int = 24, buckets: int = 1024, seed: int = 6, **how) -> DataFrame:
     """docs (doc_id, text) -> doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Slots count rows inside a shard from 0. They are ranked in two levels, over ``buckets`` by hash and inside
-    each bucket, so that no task holds a shard.
+    Slots count rows inside a shard from 0. They are ranked in two levels, over ``buckets`` by hash of id and text and inside
+    each bucket, so that no task holds a shard, nor all rows without an id.
     """
     key = F.col("doc_id").cast("long")
-    at = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(buckets)).alias("_bucket")
+    at = F.pmod(F.xxhash64(key, F.lit(seed + 1), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(buckets)).alias("_bucket")
     put = shard(key, tree(shards, **how), seed).alias("shard")
     count = docs.select(put, at).groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     base = count.select("shard", "_bucket", (F.sum("_n").over(W.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_base"))
