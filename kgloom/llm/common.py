@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import time
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
@@ -25,15 +26,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; one of our own only where that is unset (tests, one machine)."""
+    """The cluster's shared folder, spark.checkpoint.dir; one of our own only where that is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="kgloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def few(df: DataFrame, most_rows: int, most_bytes: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint if its rows and the bytes of its texts, both counted, are few enough."""
+    text = [F.octet_length(c) for c, t in df.dtypes if t == "string"] + [F.octet_length(F.array_join(c, " ")) for c, t in df.dtypes if t == "array<string>"]
+    size = sum((F.coalesce(x, F.lit(0)) for x in text), F.lit(16 * len(df.columns)))
+    rows, volume = df.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if rows <= most_rows and (volume or 0) <= most_bytes else df
+
+
+def without(docs: DataFrame, gone: DataFrame, *key: Column, most: int = 500_000) -> DataFrame:
+    """docs but for the rows whose key (doc_id if not given) is in gone, which has as many columns; a null key stays.
+
+    Up to ``most`` keys, which are counted, are broadcast, so that whole texts aren't shuffled; more are joined by shuffle.
+    """
+    key = key or (docs["doc_id"],)
+    names = fresh(docs, *(f"_gone{i}" for i in range(len(key))))
+    gone = few(cut(gone.toDF(*names).distinct()), most)
+    on = [k == gone[n] for k, n in zip(key, names, strict=True)]
+    return docs.join(gone, on, "left_anti")
+
+
+_ours: dict[str, set[str]] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new place in the shared folder, deleted when this application ends."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/kgloom-{uuid.uuid4().hex}"
+    if app not in _ours:
+        _ours[app] = set()
+        atexit.register(sweep, spark)
+    _ours[app].add(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written to the shared folder; frames that read them are void then."""
+    paths = _ours.get(spark.sparkContext.applicationId, set())
+    jvm = spark.sparkContext._jvm
+    while jvm and paths:
+        at = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame, rebalance: bool = True, free: bool = False) -> DataFrame:
     """df written to the shared folder and read again: the lineage ends there, and any executor can read it.
 
@@ -44,7 +102,7 @@ def cut(df: DataFrame, rebalance: bool = True, free: bool = False) -> DataFrame:
     deletes the shuffle files of what has ended; it waits for the events of the ended job, which hold on to them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kgloom-{uuid.uuid4().hex}"
+    path = scratch(spark)
     (df.hint("rebalance") if rebalance else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if free:

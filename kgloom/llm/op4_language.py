@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -175,32 +175,52 @@ def sampled(docs: DataFrame, held_out) -> list[tuple[str, str]]:
     return [tuple(x) for x in near.withColumn("_r", r).where(F.col("_r") <= ROWS).select("lang", "text").orderBy("lang", "_r").collect()]
 
 
+def held_out(docs: DataFrame) -> Column:
+    """Whether a row is kept from the models: crc32 of its id as text leaves 2 on division by 4."""
+    return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+class Judge:
+    """The models with what telling the language of rows needs; made once in each task."""
+
+    def __init__(self, model: bytes):
+        self.model: Model | None = pickle.loads(model)
+        self.ids = self.model.ids() if self.model else None
+        self.names = np.array([*self.model.languages, "und"] if self.model else ["und"], object)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Language, score, entropy and rejection of each text."""
+        n, m = len(offsets) - 1, self.model
+        best, score, h, reject = np.full(n, len(self.names) - 1), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
+        if m:
+            seq, at, ok = sequences(data[offsets[0] : offsets[-1]].tobytes(), offsets - offsets[0], self.ids)
+            e = entropies(m, seq, at)
+            z = np.exp(-m.sharpness * np.sqrt(np.diff(at))[:, None] * (e - e.min(1, keepdims=True)))
+            best = np.where(ok, e.argmin(1), best)
+            score, h = np.where(ok, 1 / z.sum(1), 0), np.where(ok, e.min(1), h)
+            reject = ~ok | (h > m.limit * (1 + 10 / np.maximum(np.diff(at), 1)))
+        return self.names[best], score, h, reject
+
+
+def trained(docs: DataFrame):
+    """The models of docs (doc_id, text, lang), broadcast as bytes, so that executors needn't have this module."""
+    return docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fit(sampled(docs, held_out(docs)))))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang) -> doc_id, held_out, lang_pred, score, entropy, rejected."""
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    held_out = F.coalesce(held_out, F.lit(False))
-    model = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fit(sampled(docs, held_out))))  # bytes, so that executors needn't have this module
+    model = trained(docs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model | None = pickle.loads(model.value)
-        ids = m.ids() if m else None
-        names = np.array([*m.languages, "und"] if m else ["und"], object)
+        judge = Judge(model.value)
         for batch in batches:
             data, offsets = texts(batch.column("text"))
             for a, b in chunks(offsets):
-                off, n = offsets[a : b + 1], b - a
-                best, score, h, reject = np.full(n, len(names) - 1), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
-                if m:
-                    seq, at, ok = sequences(data[off[0] : off[-1]].tobytes(), off - off[0], ids)
-                    e = entropies(m, seq, at)
-                    z = np.exp(-m.sharpness * np.sqrt(np.diff(at))[:, None] * (e - e.min(1, keepdims=True)))
-                    best = np.where(ok, e.argmin(1), best)
-                    score, h = np.where(ok, 1 / z.sum(1), 0), np.where(ok, e.min(1), h)
-                    reject = ~ok | (h > m.limit * (1 + 10 / np.maximum(np.diff(at), 1)))
-                cols = [batch.column("doc_id").slice(a, n).cast(pa.int64()), batch.column("held_out").slice(a, n), pa.array(names[best], pa.string()), pa.array(score), pa.array(h, from_pandas=True), pa.array(reject)]
+                names, score, h, reject = judge(data, offsets[a : b + 1])
+                cols = [batch.column("doc_id").slice(a, b - a).cast(pa.int64()), batch.column("held_out").slice(a, b - a), pa.array(names, pa.string()), pa.array(score), pa.array(h, from_pandas=True), pa.array(reject)]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(rows, SCHEMA)
+    return docs.select("doc_id", "text", held_out(docs).alias("held_out")).mapInArrow(rows, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -208,6 +228,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't rejected."""
-    gone = identify(docs).where("rejected").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """The rows that aren't rejected, whatever their ids; filtered where they are, so that no text is shuffled."""
+    model, text = trained(docs), docs.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(model.value)
+        for batch in batches:
+            data, offsets = texts(batch.column(text))
+            gone = [judge(data, offsets[a : b + 1])[3] for a, b in chunks(offsets)]
+            yield batch.filter(pa.array(~np.concatenate(gone) if gone else np.zeros(0, bool)))
+
+    return docs.mapInArrow(rows, docs.schema)
