@@ -3,11 +3,13 @@
 Words are lower-cased (A-Z) runs of letters, digits and bytes beyond ASCII. Each window of a test item (``width``
 consecutive words, or the whole of a shorter item) is sought by its rarest terms: the index stores the postings
 (term, document, position) of those terms over the whole corpus; lists adjusted by the terms' offsets are
-intersected, rarest first; what is left is compared word by word. Only DataFrame operations.
+intersected, rarest first; what is left is compared word by word. Besides these phrases, proximity matches are
+counted: items whose rarest terms all occur within ``SPAN`` words of the rarest one, in any order. Only DataFrame operations.
 
-Null texts have no words; an item without words has no window. Documents of one id are one document to the join
-at the end, so repeated rows each get the union of their hits; rows without an id have none. Empty tables give no hits or an empty result. Other
-columns are left alone.
+Null texts have no words; an item without words has no window. Rows of one id and different texts are told apart by
+their texts, as are rows without an id; equal rows have equal results. Items of one id are one item, with the windows of all its rows;
+an item without an id is named by no string, so its hits count as words but not as an item. Ties between terms go by
+the term. Empty tables give no hits or an empty result. Other columns are left alone.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import cut
+from .common import cut, few, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts lower-cased words, and a word before lower-casing; as positive sets of letters, which Java matches much faster.
 BREAK, RAW_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-#: Rows of a table of test terms that may be broadcast (some 64 bytes each); a larger one is joined by shuffle.
+#: Rows of a table of test terms or items that may be broadcast, if their texts are few bytes as well; a larger one is joined by shuffle.
 MAX_BROADCAST_ROWS = 200_000
+#: Rarest terms of an item that make a proximity match, and within how many words of the rarest.
+NEAR, SPAN = 3, 25
 
 
 def words(text: Column) -> Column:
@@ -34,8 +38,13 @@ def words(text: Column) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its rows, which are counted, are few enough."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+    return few(df, MAX_BROADCAST_ROWS)
+
+
+def identity(docs: DataFrame) -> tuple[Column, Column]:
+    """A row's key: its id, or for rows without one a hash of the text; and another hash of the text."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text, F.lit(8))), F.xxhash64(text)
 
 
 def windows(items: DataFrame, width: int = 10) -> DataFrame:
@@ -78,26 +87,21 @@ def alignments(index: DataFrame, seed: DataFrame) -> DataFrame:
     return first.join(then, ["doc", "item_id", "start"], "left_semi").unionByName(first.join(small(alone), "item_id", "left_semi").select("doc", "item_id", "start")).distinct()
 
 
-def verified(found: DataFrame, docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """(doc, item_id, begin, end): runs of document words that occurrences of windows cover, by comparing words.
+def verified(found: DataFrame, corpus: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """(doc, h, item_id, begin, end): runs of document words that occurrences of windows cover, by comparing words.
 
-    A document's alignments are gathered with their items' words, so that only documents with alignments are split
-    into words, and each once.
+    corpus (doc, h, words). Each alignment stays a row of its own, compared with the words of its document; only documents with
+    alignments are shuffled.
     """
-    here = found.join(small(items.select("item_id", F.col("words").alias("item"))), "item_id")
-    here = here.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("item_id", "start", "item")).alias("_at"))
-
-    def runs(w: Column, a: Column) -> Column:
-        n = F.size(a["item"])
-        same = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get(w, a["start"] + i) == F.get(a["item"], i), F.lit(False)))
-        # the length of the run of equal words that ends at each place; a run ends where the next is 0
-        length = F.aggregate(same, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.when(x, F.element_at(acc, -1) + 1).otherwise(0)))
-        ends = lambda r: F.filter(F.sequence(F.lit(1), n), lambda i: (F.get(r, i) >= F.least(F.lit(width), n)) & (F.coalesce(F.get(r, i + 1), F.lit(0)) == 0))
-        return let(length, lambda r: F.transform(ends(r), lambda i: F.struct(a["item_id"].alias("item_id"), (a["start"] + i - F.get(r, i)).alias("begin"), (a["start"] + i).alias("end"))))
-
-    every = let(words(F.col("text")), lambda w: F.flatten(F.transform("_at", lambda a: runs(w, a))))
-    found = docs.select("doc_id", "text").join(here, "doc_id").select(F.col("doc_id").alias("doc"), F.explode_outer(every).alias("r"))
-    return found.where("r is not null").select("doc", "r.item_id", "r.begin", "r.end")
+    here = few(cut(found.select(F.col("doc").alias("_doc")).distinct()), 500_000)
+    texts = corpus.join(here, F.col("doc") == F.col("_doc"), "left_semi")
+    each = found.join(small(items.select("item_id", F.col("words").alias("item"))), "item_id").join(texts, "doc")
+    w, item, start, n = F.col("words"), F.col("item"), F.col("start"), F.size("item")
+    other = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | ~(F.get(w, start + i).eqNullSafe(F.get(item, i))))
+    # runs of equal words lie between the places where words differ
+    between = lambda at: F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda k: F.struct((start + F.get(at, k - 1) + 1).alias("begin"), (start + F.get(at, k)).alias("end")))
+    runs = F.filter(let(F.concat(F.array(F.lit(-1)), other), between), lambda r: r["end"] - r["begin"] >= F.least(F.lit(width), n))
+    return each.select("doc", "h", "item_id", F.explode(runs).alias("r")).select("doc", "h", "item_id", "r.begin", "r.end")
 
 
 def covered(runs: Column) -> Column:
@@ -107,35 +111,54 @@ def covered(runs: Column) -> Column:
     return F.aggregate(runs, none, add)["n"]
 
 
-def proximity(index: DataFrame, terms: list[str], span: int) -> DataFrame:
-    """(doc, pos): occurrences of the first term from which all the others lie within ``span`` places."""
-    out = index.where(F.col("term") == terms[0]).select("doc", "pos")
-    for t in terms[1:]:
-        other = index.where(F.col("term") == t).select("doc", F.explode(F.sequence(F.col("pos") - span, F.col("pos") + span)).alias("pos")).distinct()
-        out = out.join(other, ["doc", "pos"], "left_semi")
-    return out
+def rarest(items: DataFrame, counts: DataFrame, k: int = NEAR) -> DataFrame:
+    """(item_id, r, term, of): each item's k rarest different terms; r is 1 for the rarest, of how many there are."""
+    each = items.select("item_id", F.explode(F.array_distinct("words")).alias("term")).distinct().join(counts, "term")
+    r = F.row_number().over(W.partitionBy("item_id").orderBy("n", "term"))
+    some = each.withColumn("r", r).where(F.col("r") <= k)
+    return some.select("item_id", "r", "term", F.max("r").over(W.partitionBy("item_id")).alias("of"))
+
 
+def proximity(index: DataFrame, terms: DataFrame, span: int = SPAN, k: int = NEAR) -> DataFrame:
+    """(doc, item_id): documents in which an item's terms (item_id, r, term, of) all lie within span words of one occurrence of the rarest.
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """docs (doc_id, text), benchmark (item_id, text) -> one row for each document with hits: doc, n_hit, n_items, items_sha256, items."""
-    corpus = docs.select(F.col("doc_id").alias("doc"), words(F.col("text")).alias("words"))
-    items = cut(benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0))
+    Lists meet by stretches of ``span`` positions, so no list is paired with a whole other one.
+    """
+    of = lambda r: index.join(small(terms.where(F.col("r") == r)), "term").select("doc", "item_id", "pos", "of")
+    stretch = lambda at: F.floor(at / F.lit(span)).cast("int")
+    near = of(1).withColumn("_at", stretch(F.col("pos")))
+    for r in range(2, k + 1):
+        here = stretch(F.col("pos"))
+        other = of(r).select(F.col("doc").alias("_d"), F.col("item_id").alias("_i"), F.col("pos").alias("_p"), F.explode(F.array(here - 1, here, here + 1)).alias("_s"))
+        fits = (F.col("doc") == F.col("_d")) & (F.col("item_id") == F.col("_i")) & (F.col("_at") == F.col("_s")) & (F.abs(F.col("pos") - F.col("_p")) <= span)
+        near = near.where(F.col("of") >= r).join(other, fits, "left_semi").unionByName(near.where(F.col("of") < r))
+    return near.select("doc", "item_id").distinct()
+
+
+def search(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text), benchmark (item_id, text) -> rows with hits (doc, h, n_hit, n_items, items) and ids with proximity matches (doc, n_near); doc and h as by ``identity``."""
+    doc, h = identity(docs)
+    corpus = docs.select(doc.alias("doc"), h.alias("h"), words(F.col("text")).alias("words"))
+    items = cut(benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).select(F.xxhash64("item_id", "words").alias("item_id"), F.col("item_id").alias("name"), "words").distinct())
     window = cut(windows(items, width))
     counts = cut(counted(corpus, cut(window.select(F.explode("terms").alias("term")).distinct())))
-    seed = cut(seeds(window, counts))
-    index = cut(postings(corpus, seed.select("term").distinct()))
-    runs = verified(cut(alignments(index, seed)), docs, items, width)
-    per = runs.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("_runs"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return per.select("doc", covered(F.col("_runs")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
+    seed, close = cut(seeds(window, counts)), cut(rarest(items, counts))
+    index = cut(postings(corpus, seed.select("term").unionByName(close.select("term")).distinct()))
+    runs = verified(cut(alignments(index, seed)), corpus, items, width).join(small(items.select("item_id", "name")), "item_id")
+    per = runs.groupBy("doc", "h").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("_runs"), F.sort_array(F.collect_set(F.col("name").cast("string"))).alias("items"))
+    near = proximity(index, close).join(small(items.select("item_id", "name")), "item_id").groupBy("doc").agg(F.countDistinct("name").alias("n_near"))
+    return per.select("doc", "h", covered(F.col("_runs")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items"), near
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
-    all_docs = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    found = hits(docs, benchmark, width)
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near for every row of docs."""
+    doc, h = identity(docs)
+    all_docs = docs.select("doc_id", doc.alias("_doc"), h.alias("_h"), F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    found, near = search(docs, benchmark, width)
+    found = found.select("doc", "h", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("sha"))
+    both = all_docs.join(found, (F.col("_doc") == F.col("doc")) & (F.col("_h") == F.col("h")), "left").drop("doc").join(near, F.col("_doc") == F.col("doc"), "left")
     n = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    digest = F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256)
-    return all_docs.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "n_words", n("n_hit"), n("n_items"), digest.alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return both.select("doc_id", "n_words", n("n_hit"), n("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), n("n_near"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -144,5 +167,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any hit."""
-    found = hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc").alias("_doc"))
-    return docs.join(found, F.col("doc_id") == F.col("_doc"), "left_anti")
+    found, _ = search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, found.select("doc", "h"), *identity(docs))

@@ -43,8 +43,15 @@ lens AS (SELECT DISTINCT n FROM win),
 starts AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, lens WHERE len(w) >= n),
 hit AS (SELECT s.doc_id, k, s.n, item_id FROM starts s JOIN win ON win.n = s.n AND win.t = array_to_string(w[k:k + s.n - 1], ' ')),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY 1),
-its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM hit GROUP BY 1)
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM hit GROUP BY 1),
+term AS (SELECT DISTINCT item_id, unnest(w) AS t FROM i),
+place AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+often AS (SELECT t, count(*) AS n FROM place WHERE t IN (SELECT t FROM term) GROUP BY 1),
+rare AS (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), t) AS r FROM term LEFT JOIN often USING (t) QUALIFY r <= 3),
+occ AS (SELECT doc_id, item_id, r, p FROM place JOIN rare USING (t)),
+close AS (SELECT a.doc_id, a.item_id, a.p, count(DISTINCT b.r) AS k FROM occ a JOIN occ b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND abs(a.p - b.p) <= 25 WHERE a.r = 1 GROUP BY 1, 2, 3),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close JOIN (SELECT item_id, max(r) AS m FROM rare GROUP BY 1) USING (item_id) WHERE k = m GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)""",
 }
