@@ -30,16 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, chunks, components, cut, mix, texts, words
+from .common import Hasher, chunks, components, cut, mix, texts, without, words
 
 #: The query's words a shingle and least similarity in percent; those of the pipeline's stage.
 WIDTH, PERCENT = 4, 85
 STAGE_WIDTH, STAGE_PERCENT = 5, 80
-#: Share of the hash space whose tokens come first in the order.
-SHARE = 0.3
 #: Tokens in more documents than this are frequent. Tokens of a document for each subclass of frequent ones.
 RARE, SUBCLASS = 8, 32
-TOP = np.uint64(int(SHARE * 2**64))
+#: Tasks forget the sets they have seen after so many.
+SEEN = 1 << 17
 SETS = "doc long, n long, inside long, s1 long, s2 long"
 TOKENS = "token long, doc long"
 
@@ -106,8 +105,13 @@ def fits(n: np.ndarray, inside: np.ndarray, percent: int = PERCENT) -> np.ndarra
     return inside - n / (SUBCLASS * percent / 100) - 1 >= n - np.ceil(percent * n / 100 - 1e-9) + 1
 
 
-def within(token: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(token < TOP)))
+def top(percent: int) -> np.uint64:
+    """The end of the share of the hash space whose tokens come first in the order: about twice what may be missing, as a prefix takes half of that."""
+    return np.uint64((200 - 2 * percent) * 2**64 // 100) if percent > 50 else np.uint64(2**64 - 1)
+
+
+def within(token: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    total = np.concatenate(([0], np.cumsum(token < top(percent))))
     return total[at[1:]] - total[at[:-1]]
 
 
@@ -121,14 +125,16 @@ def token_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> I
             new[i] = seen.setdefault(s, ids[i]) >= ids[i]
             seen[s] = min(seen[s], ids[i])
         owner = np.repeat(np.arange(len(ids)), size)
-        take = new[owner] & ((token < TOP) | ~fits(size, within(token, at), percent)[owner])
+        take = new[owner] & ((token < top(percent)) | ~fits(size, within(token, at, percent), percent)[owner])
+        if len(seen) > SEEN:
+            seen.clear()
         yield frame(TOKENS, token[take].view(np.int64), ids[owner[take]])
 
 
 def entries(n: int, inside: int, token: np.ndarray, often: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Index entries of a document of n tokens, ``inside`` of them in the share; token and often: the counted ones in 2 documents or more."""
-    beyond = token[token >= TOP]
-    token, often = token[token < TOP], often[token < TOP]
+    first = token < top(percent)
+    beyond, token, often = token[~first], token[first], often[first]
     by = np.lexsort((token, np.where(often <= RARE, 0, np.frexp(often)[1])))
     token, often = token[by], often[by]
     need = misses(n, percent) + 1 - (inside - len(token))  # what tokens of this document alone leave open
@@ -249,20 +255,20 @@ def index(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFra
     return rep.join(shared, "doc").mapInArrow(partial(entry_rows, percent=percent), "entry long, doc long, n long")
 
 
-def set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def set_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Each document's tokens, how many of them lie in the share, and two sums that tell its set."""
     for ids, token, at in of_batches(batches, width):
         s1, s2 = sums(mix(token + np.uint64(1)), at), sums(mix(token ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
-        yield frame(SETS, ids, np.diff(at), within(token, at), s1.view(np.int64), s2.view(np.int64))
+        yield frame(SETS, ids, np.diff(at), within(token, at, percent), s1.view(np.int64), s2.view(np.int64))
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs (doc_id, text) -> (doc, n, rep, ...) with each set's representative, its least id; links (a, b, shared, united) that connect all that is linked; components (id, component_id) of those."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = cut(docs.mapInArrow(partial(set_rows, width=width), SETS))
-    least = own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))
+    own = cut(docs.mapInArrow(partial(set_rows, width=width, percent=percent), SETS))
+    least = cut(own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
     sets = cut(own.join(least, ["n", "s1", "s2"], "left").select("doc", "n", "inside", F.coalesce("rep", "doc").alias("rep")))
-    entry = cut(index(docs, sets, width, percent), free=True)
+    entry = cut(index(docs, sets, width, percent), rebalance=False, free=True)
     pivot = entry.groupBy("entry").agg(F.min(F.struct("doc", "n")).alias("_p"), F.count("*").alias("_n")).where("_n > 1").select("entry", F.col("_p.doc").alias("pivot"), F.col("_p.n").alias("_pn"))
     star = cut(entry.join(pivot, "entry").where("doc != pivot").select("pivot", "_pn", "doc", "n").distinct())
     small, large = F.least("n", "_pn"), F.greatest("n", "_pn")
@@ -287,6 +293,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, that of the least id."""
-    other = classes(docs, STAGE_WIDTH, STAGE_PERCENT).where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(other, F.col("doc_id") == F.col("_id"), "left_anti")
+    """One document of each component, that of the least id; rows without an id stay."""
+    return without(docs, classes(docs, STAGE_WIDTH, STAGE_PERCENT).where("doc_id != component_id").select("doc_id"))

@@ -96,7 +96,7 @@ def test_index_entries_are_shared_by_similar_sets():
         often = {int(t): int(rng.choice([2, 3, 9, 50, 3000], p=rng.dirichlet(np.ones(5)))) for t in x}
 
         def entries(s):
-            inside = s[s < op.TOP]
+            inside = s[s < op.top(op.PERCENT)]
             full = not op.fits(np.array([len(s)]), np.array([len(inside)]))[0]
             counted = np.sort(s if full else inside)
             return set(op.entries(len(s), len(inside), counted, np.array([often[int(t)] for t in counted], int)).tolist())
