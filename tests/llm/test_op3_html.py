@@ -77,3 +77,47 @@ def test_short_articles_beside_much_boilerplate(spark, prose):
     same = prose.text(200)
     rows = [(i, "http://b.example/%d" % i, f"<body><div class='slogan'><p>{same}</p></div><div class='text'><p>Story {prose.word()} {i}</p></div></body>") for i in range(12)]
     assert all(r["text"].startswith("Story") for r in op.main_text(pages(spark, rows)).collect())
+
+
+def site(prose, n, host="big.example.org"):
+    """Pages of a site: six menus, three notices and two footers in turn, an article with a pull quote of its own and a byline in it, and what no list names."""
+    words = lambda k: " ".join(prose.words(k))
+    menus = [f"<ul><li><a href='/'>{words(2)}</a><li><a>{words(1)}</a></ul>" for _ in range(6)]
+    lines, ends = [words(5) for _ in range(3)], [words(4) for _ in range(2)]
+    rows, want = [], {}
+    for i in range(n):
+        title, first, quote, last = words(4), words(12), words(6), words(9)
+        html = f"<html><body class='has-menu'><nav>{menus[i % 6]}</nav><div class='strip'>{lines[i % 3]}</div><article><h1>{title}</h1><p>{first}</p><aside>{quote}</aside><h2>More</h2><p>{last}</p><div class='comments'><p>{words(8)}</p></div></article><div class='x9'>{ends[i % 2]}</div><footer>{ends[i % 2]}</footer></body></html>"
+        rows.append((i, f"https://{host}/{i}", html))
+        want[i] = f"{title} {first} {quote} More {last}"
+    return rows, want
+
+
+def test_importance_decides_on_sites_with_enough_pages(spark, prose):
+    """Menus that vary little go, a pull quote that is called furniture but is different on every page stays; without the tree both stay, by lists alone both go."""
+    rows, want = site(prose, 60)
+    df = pages(spark, rows)
+    assert {r["page_id"]: r["text"] for r in op.main_text(df, many=50).collect()} == want
+    off = {r["page_id"]: r["text"] for r in op.main_text(df, 0, 0, 50, 0).collect()}
+    lists = {r["page_id"]: r["text"] for r in op.main_text(df, many=1000).collect()}
+    assert all(off[i] != want[i] and want[i].split()[-1] in off[i] for i in want) and all(len(lists[i]) < len(want[i]) < len(off[i]) for i in want)
+
+
+def test_hosts_of_few_pages_take_the_tree_of_their_domain(spark, prose):
+    rows, want = site(prose, 60)
+    rows = [(i, f"https://h{i % 10}.example.org/{i}", html) for i, _, html in rows]
+    assert {r["page_id"]: r["text"] for r in op.main_text(pages(spark, rows), many=50).collect()} == want
+
+
+def test_copies_on_a_site_do_not_make_its_articles_unimportant(spark, prose):
+    """Seven of ten pages are one article; its pages and the others keep theirs."""
+    rows, want = site(prose, 100)
+    rows = [(i, u, rows[0][2] if i % 10 < 7 else h) for i, u, h in rows]
+    out = {r["page_id"]: r["text"] for r in op.main_text(pages(spark, rows), many=50).collect()}
+    assert all(out[i] == want[0 if i % 10 < 7 else i] for i in out)
+
+
+def test_clashing_names_and_repeated_rows(spark, prose):
+    rows, want = site(prose, 12)
+    df = pages(spark, rows + rows[:3]).withColumns({c: op.F.lit(1) for c in ("_host", "judged", "paths", "importances", "path", "site")})
+    assert len(op.main_text(df).collect()) == 15
