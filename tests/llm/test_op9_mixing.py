@@ -113,3 +113,38 @@ def test_stage_meets_targets_with_long_documents(spark, prose, docs_of):
         got[r["source"]] += size(r["text"])
     goal = fill(sizes)
     assert all(abs(got[s] - goal[s]) <= most[s] / 2 + 1 for s in goal if s != "z") and got["z"] > 0
+
+
+def test_quotas_choose_whole_documents(spark, prose, docs_of):
+    """Documents of a few blocks: the words of each shard's quota come from that shard's blocks, so another number of shards takes others; the targets are met either way."""
+    source = {i: "abc"[i % 3] for i in range(600)}
+    text = {i: "w " * prose.r.randint(5, 30) for i in source}
+    df, goal = docs_of(list(text.items()), source=source.get), fill({s: sum(size(text[i]) for i in source if source[i] == s) for s in "abc"})
+    seen = {}
+    for shards in (1, 16):
+        out = op.whole(df, blocks=300, shards=shards).collect()
+        assert all(abs(sum(r["size"] * r["times"] for r in out if r["source"] == s) - goal[s]) <= 16 for s in goal)
+        seen[shards] = {r["doc_id"] for r in out if r["times"]}
+    assert seen[1] != seen[16]
+
+
+def test_stage_with_nulls_repeats_and_clashing_names(spark, docs_of):
+    rows = [(1, "a b"), (1, "a b"), (1, "c d e"), (None, "x y"), (None, "x y z"), (7, None), (8, " "), (9, "q " * 200_000)]
+    df = docs_of(rows, source=lambda i: None if i == 1 else f"s{i}").withColumns({c: op.F.lit("?") for c in ("_id", "_times", "_i", "_src", "_hash", "_n", "_s", "_h", "size", "target", "_k")})
+    out = op.stage(spark, df, "")
+    got = out.collect()
+    assert out.columns == df.columns and {r["doc_id"] for r in got} <= {1, None, 9} and None in {r["doc_id"] for r in got}
+    assert op.stage(spark, docs_of([]), "").collect() == []
+
+
+def test_ties_of_quotients(spark):
+    """Equal sources share an odd number of blocks, the first one more; reruns agree."""
+    of = op.targets(spark.createDataFrame([(c, 100) for c in "abcd"], "source string, source_size long"), (1,))
+    got = {r["_s"]: r["q"] for r in op.quotas(of, blocks=7, shards=3).groupBy("_s").agg(op.F.sum("quota").alias("q")).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 1}
+
+
+def test_very_long_document_and_null_source(docs_of):
+    out = {r["doc_id"]: r for r in op.mix(docs_of([(1, "w " * 500_000), (2, "a b c"), (3, "a b")], source=lambda i: {1: "a", 2: None, 3: "a"}[i])).collect()}
+    goal = fill({"a": 500_002, None: 3})
+    assert out[2]["taken"] == 9 and abs(out[1]["taken"] + out[3]["taken"] - goal["a"]) <= 1
