@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,18 +79,24 @@ def scratch(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/kgloom-{uuid.uuid4().hex}"
     if app not in _ours:
         _ours[app] = set()
-        atexit.register(sweep, spark)
+        atexit.register(sweep, spark, app)
     _ours[app].add(path)
     return path
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes the tables that this application has written to the shared folder; frames that read them are void then."""
-    paths = _ours.get(spark.sparkContext.applicationId, set())
-    jvm = spark.sparkContext._jvm
-    while jvm and paths:
-        at = jvm.org.apache.hadoop.fs.Path(paths.pop())
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ours; frames that read it are void then."""
+    jvm = SparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration() if spark.sparkContext._jsc else jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    for paths in _ours.values():
+        paths.discard(path)
+
+
+def sweep(spark: SparkSession, app: str) -> None:
+    """Deletes what an application has written to the shared folder, at its end."""
+    for path in sorted(_ours.get(app, ())):
+        drop(spark, path)
 
 
 def cut(df: DataFrame, rebalance: bool = True, free: bool = False) -> DataFrame:
