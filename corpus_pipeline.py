@@ -1,13 +1,17 @@
-"""A corpus pipeline over documents: five operators, one after another."""
+"""A corpus pipeline over documents (doc_id, text, lang, source, n_chars): five operators, one after another.
 
-from __future__ import annotations
+Each stage works on all rows that its predecessor kept. Rows without a text go in the first stage, as they have no language;
+rows without an id are never dropped for an id of others; ties, repeated rows and further columns, whatever their names, are handled as each stage
+says. Empty tables give empty results. All stages but the last return the columns of documents; the last one returns the
+places of documents in shards.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from kgloom.llm import op2_jaccard_join, op4_language, op6_sharding, op8_decontamination, op9_mixing
-from kgloom.llm.common import shared_dir
+from kgloom.llm.common import drop, scratch
 
 STAGES = [
     ("language ID", op4_language.stage),
@@ -22,10 +26,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each is written as Parquet to the shared folder, read again by the next and then deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+        path = scratch(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
     return docs
