@@ -7,10 +7,9 @@ question.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.dates import find_date, parse_date
+from ..functions.dates import first_date, whole_date
 from ..functions.text import EMPTY_WORD, candidates, casefold, clean_place, is_empty, let, parse_list, similar, strip
 
 #: Row scores by match type.
@@ -25,22 +24,25 @@ def score(eval_type: Column | str, scores: dict[str, float]) -> Column:
 
 
 def grade_dob(df: DataFrame, gt: str = "gt", output: str = "llm_output") -> DataFrame:
-    """With eval, eval_type, eval_score. Parts are compared as text; a right year alone is counted as wrong."""
+    """With eval, eval_type, eval_score. Parts are compared as text; a right year alone is counted as wrong.
+
+    Only the swap of the whole date asks that the answer's month could be a day.
+    """
     def rule(s: Column) -> Column:
         g, o = s["g"], s["o"]
-        swapped = (g["y"] == o["y"]) & (g["m"] == o["d"]) & (g["d"] == o["m"]) & (o["d"] <= "12") & (o["m"] <= "31")
+        year, month, day = (lambda d: F.substring(d, 1, 4)), (lambda d: F.substring(d, 6, 2)), (lambda d: F.substring(d, 9, 2))
+        swap = (month(g) == day(o)) & (day(o) <= "12")
         return (
             F.when(s["empty"], "empty")
-            .when(g.isNull() | o.isNull(), "no_match")
-            .when((g["y"] == o["y"]) & (g["m"] == o["m"]) & (g["d"] == o["d"]), "exact_match")
-            .when(swapped, "swap_match")
-            .when((g["y"] == o["y"]) & (g["m"] == o["m"]), "year_month_match")
-            .when((g["y"] == o["y"]) & (g["m"] == o["d"]) & (o["d"] <= "12") & (o["m"] <= "31"), "year_month_swap_match")
-            .when(g["y"] == o["y"], "year_match")
-            .otherwise("no_match")
+            .when((g == "") | (o == "") | (year(g) != year(o)), "no_match")
+            .when(g == o, "exact_match")
+            .when(swap & (day(g) == month(o)) & (month(o) <= "31"), "swap_match")
+            .when(month(g) == month(o), "year_month_match")
+            .when(swap, "year_month_swap_match")
+            .otherwise("year_match")
         )
 
-    both = F.struct(parse_date(gt).alias("g"), find_date(output).alias("o"), is_empty(output, EMPTY_WORD).alias("empty"))
+    both = F.struct(F.coalesce(whole_date(gt), F.lit("")).alias("g"), F.coalesce(first_date(output), F.lit("")).alias("o"), is_empty(output, EMPTY_WORD).alias("empty"))
     df = df.withColumn("eval_type", let(both, rule))
     verdict = F.when(F.col("eval_type") == "empty", "FN").when(F.col("eval_type").isin("year_match", "no_match"), "FP").otherwise("TP")
     return df.withColumns({"eval": verdict, "eval_score": score("eval_type", DOB_SCORES)})
@@ -86,7 +88,7 @@ def grade_country(answers: DataFrame, vocab: DataFrame, verdicts: DataFrame, out
 def grade_place(answers: DataFrame, places: DataFrame, verdicts: DataFrame, output: str = "llm_output_en", gt: str = "gt") -> DataFrame:
     """places (name_key, q, countries) resolve cleaned names, lower-cased. A contained name counts as exact, as does the same id; then a shared country."""
     known = places.dropDuplicates(["name_key"])
-    df = answers.withColumn("_row", F.monotonically_increasing_id()).withColumns({"_out": clean_place(output), "_truths": parse_list(gt)})
+    df = answers.withColumns({"_out": clean_place(output), "_truths": parse_list(gt)})
     df = df.withColumns({"_cf": casefold("_out"), "_gcf": F.transform("_truths", casefold)})
     own = known.select(F.col("name_key").alias("_ok"), F.col("q").alias("_oq"), F.col("countries").alias("_oc"))
     df = df.withColumn("_lk", F.lower(strip("_out"))).join(own, F.col("_lk") == F.col("_ok"), "left")
@@ -123,8 +125,3 @@ def summary(graded: DataFrame, *by: str) -> DataFrame:
     """Counts by verdict and match type; with scores their mean."""
     mean = [F.avg("eval_score").alias("mean_score")] if "eval_score" in graded.columns else []
     return graded.groupBy(*by, "eval", "eval_type").agg(F.count("*").alias("n"), *mean)
-
-
-def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row by order of each key."""
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("_r = 1").drop("_r")

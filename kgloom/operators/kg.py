@@ -6,12 +6,18 @@ filters where they are short. Store triples partitioned by p.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the sites of Wikipedia's languages.
+WIKIPEDIA = r"^https://[a-z-]+\.wikipedia\.org/$"
+
+
 def facts(triples: DataFrame, labels: DataFrame, ids: DataFrame, properties: list[str], languages: list[str]) -> DataFrame:
     """(qid, property, value, labels, value_labels): all facts of the ids with the labels of entity and value as maps by language.
 
@@ -32,12 +38,12 @@ def label_maps(labels: DataFrame, languages: list[str]) -> DataFrame:
     return one.groupBy("entity").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "value")))).alias("labels"))
 
 
-def link_counts(links: DataFrame, site: str = r"^https://") -> DataFrame:
-    """(entity, n): links (entity, site) to sites that match; entities without any are absent."""
+def link_counts(links: DataFrame, site: str = WIKIPEDIA) -> DataFrame:
+    """(entity, n): links (entity, site) to sites that match, of Wikipedia by default; entities without any are absent."""
     return links.where(F.rlike("site", F.lit(site))).groupBy("entity").agg(F.count("*").alias("n"))
 
 
-def sitelinks(links: DataFrame, entity: str, site: str = r"^https://") -> DataFrame:
+def sitelinks(links: DataFrame, entity: str, site: str = WIKIPEDIA) -> DataFrame:
     """The different sites of one entity."""
     return links.where((F.col("entity") == entity) & F.rlike("site", F.lit(site))).select("site").distinct()
 
@@ -48,9 +54,17 @@ def presence_matrix(entities: DataFrame, triples: DataFrame, properties: dict[st
     return entities.select("entity_id").distinct().join(held, "entity_id", "left").na.fill(0)
 
 
-def star(triples: DataFrame, languages: list[str], occupations: list[str], human: str = "Q5", *, instance_of: str = "P31", occupation: str = "P106", language: str = "P1412") -> DataFrame:
+def wanted(triples: DataFrame, p: str, of: DataFrame | list[str]) -> DataFrame:
+    """(s): subjects whose p is one of a list, or of the first column of a table."""
+    held = triples.where(F.col("p") == p)
+    if isinstance(of, DataFrame):
+        return held.join(of.select(F.col(of.columns[0]).alias("o")).distinct(), "o", "left_semi").select("s")
+    return held.where(F.col("o").isin(of)).select("s")
+
+
+def star(triples: DataFrame, languages: DataFrame | list[str], occupations: DataFrame | list[str], human: str = "Q5", *, instance_of: str = "P31", occupation: str = "P106", language: str = "P1412") -> DataFrame:
     """(entity_id): humans of any of the occupations who use any of the languages."""
-    of = lambda p, o: triples.where((F.col("p") == p) & F.col("o").isin(o)).select("s")
+    of = lambda p, o: wanted(triples, p, o)
     return of(occupation, occupations).join(of(instance_of, [human]), "s", "left_semi").join(of(language, languages), "s", "left_semi").select(F.col("s").alias("entity_id")).distinct()
 
 
@@ -109,12 +123,13 @@ def closure(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Checkpointed in the cluster's shared folder (spark.checkpoint.dir); a folder of our own only where none is set."""
-    import tempfile
-
+    """Checkpointed in the cluster's shared folder (spark.checkpoint.dir); a folder of our own only where none is set and all runs on this machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="kgloom-"))
     return df.checkpoint()
 
 
@@ -137,11 +152,9 @@ def entity_vocabulary(citizen: DataFrame, vocab: DataFrame) -> DataFrame:
     return citizen.join(vocab, "country_q").groupBy("entity_q").agg(words("demonym").alias("demonyms"), words("alias").alias("aliases"), words("label").alias("labels"))
 
 
-def harvest(triples: DataFrame, links: DataFrame, classes: DataFrame, languages: list[str], occupations: list[str], least_links: int = 9, depth: int = 1) -> DataFrame:
-    """(entity_id): entities of the star pattern, of the classes and their subclasses, with enough links; one plan, no paging."""
-    roles = expanded(triples, classes, depth).select("class").distinct()
-    has = triples.where(F.col("p") == "P106").join(roles, F.col("o") == F.col("class"), "left_semi").select(F.col("s").alias("entity_id")).distinct()
-    chosen = star(triples, languages, occupations).unionByName(has).distinct()
+def harvest(triples: DataFrame, links: DataFrame, classes: DataFrame, languages: DataFrame | list[str], least_links: int = 9, depth: int = 1) -> DataFrame:
+    """(entity_id): the star pattern over the classes and their subclasses, with enough links; one plan, no paging."""
+    chosen = star(triples, languages, expanded(triples, classes, depth).select("class"))
     enough = link_counts(links).where(F.col("n") >= least_links).select(F.col("entity").alias("entity_id"))
     return chosen.join(enough, "entity_id", "left_semi")
 

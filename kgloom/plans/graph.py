@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import entities, kg, prompts
+from ..schemas import TRIPLES
 from .views import view, with_views
 
 LANGUAGES = ["en", "fr", "de"]
@@ -65,7 +66,9 @@ QUERIES = {
     "kg_vocab_union": vocab,
     "kg_successor_terminals": lambda spark, d: kg.terminals(view(spark, d, "e"), view(spark, d, "e").select(F.col("a").alias("node"))),
     "kg_vocab_fallback": lambda spark, d: kg.with_successors(vocab(spark, d), view(spark, d, "e")),
-    "kg_harvest": lambda spark, d: kg.harvest(view(spark, d, "t"), view(spark, d, "k"), spark.createDataFrame([("SHOUSEHOLD",)], "class string"), ["L0"], ["SBUILDING"]),
+    "kg_harvest": lambda spark, d: kg.harvest(view(spark, d, "t").unionByName(spark.createDataFrame([("SBUILDING", "P279", "SHOUSEHOLD"), ("SMACHINERY", "P279", "SBUILDING")], TRIPLES)), view(spark, d, "k"), spark.createDataFrame([("SHOUSEHOLD",)], "class string"), ["L0"]),
+    "kg_harvest_every_language": lambda spark, d: kg.harvest(view(spark, d, "t"), view(spark, d, "k"), spark.createDataFrame([("SFURNITURE",), ("SAUTOMOBILE",)], "class string"), view(spark, d, "t").where("p = 'P1412'").select("o"), 7),
+    "kg_sitelinks_of_one": lambda spark, d: kg.sitelinks(view(spark, d, "k"), "c1"),
     "kg_entity_vocabulary": lambda spark, d: kg.entity_vocabulary(kg.citizenship(view(spark, d, "t")), vocab(spark, d)).select("entity_q", *(F.array_join(c, "|").alias(c) for c in ("demonyms", "aliases", "labels"))),
     "entity_documents": lambda spark, d: documents(spark, d).select("qid", flat("labels").alias("labels"), "labels_count", *(F.array_join(F.transform(entities.values(p), lambda v: F.concat(v["value"], F.lit(":"), v["labels_count"])), "|").alias(p) for p in ("P27", "P106")), "sitelinks"),
     "entity_completeness": lambda spark, d: entities.completeness(documents(spark, d).withColumn("lang", F.element_at(entities.values("P106"), 1)["value"]), list(PAIRS.values()), LANGUAGES),
@@ -77,7 +80,7 @@ QUERIES = {
     "split_by_property": lambda spark, d: prompts.answers(long(spark, d), F.upper("Q_number")).groupBy("property", "LoQ").agg(F.count("*").alias("n"), F.min("prompt").alias("first_prompt")),
 }
 
-PER = f"{with_views('t', 'l', 'k')}, lm AS (SELECT entity, string_agg(lang || '=' || value, '|' ORDER BY lang || '=' || value) AS labels, count(*)::INT AS n, list(lang) AS langs FROM l WHERE kind = 'label' AND lang IN ('en', 'fr', 'de') GROUP BY 1), f AS (SELECT s AS qid, p AS property, o AS value FROM t WHERE p IN ('P27', 'P106') AND s IN (SELECT s FROM t WHERE p = 'P27')), lk AS (SELECT entity, count(*) AS n FROM k WHERE site LIKE 'https://%' GROUP BY 1)"
+PER = f"{with_views('t', 'l', 'k')}, lm AS (SELECT entity, string_agg(lang || '=' || value, '|' ORDER BY lang || '=' || value) AS labels, count(*)::INT AS n, list(lang) AS langs FROM l WHERE kind = 'label' AND lang IN ('en', 'fr', 'de') GROUP BY 1), f AS (SELECT s AS qid, p AS property, o AS value FROM t WHERE p IN ('P27', 'P106') AND s IN (SELECT s FROM t WHERE p = 'P27')), lk AS (SELECT entity, count(*) AS n FROM k WHERE regexp_matches(site, '^https://[a-z-]+\\.wikipedia\\.org/$') GROUP BY 1)"
 STAR = "{0} SELECT DISTINCT s AS entity_id FROM t WHERE p = 'P106' AND o IN ({1}) AND s IN (SELECT s FROM t WHERE p = 'P31' AND o = 'Q5') AND s IN (SELECT s FROM t WHERE p = 'P1412' AND o IN ({2}))"
 DOCS = f"{PER}, doc AS (SELECT qid, max(CASE WHEN property = 'P27' THEN value END) AS c, max(CASE WHEN property = 'P106' THEN value END) AS s FROM f GROUP BY 1), dl AS (SELECT doc.qid, doc.c, doc.s, coalesce(lm.labels, '') AS labels, coalesce(lm.n, 0)::INT AS labels_count, coalesce(lm.langs, []) AS langs, cl.n AS cn, sl.n AS sn, coalesce(cl.langs, []) AS clangs, lk.n AS sitelinks FROM doc LEFT JOIN lm ON lm.entity = qid LEFT JOIN lm cl ON cl.entity = c LEFT JOIN lm sl ON sl.entity = s LEFT JOIN lk ON lk.entity = qid)"
 VOCAB = f"{{0}}, voc AS (SELECT DISTINCT entity AS country_q, lang, kind, value FROM l WHERE entity LIKE 'n%' AND lang = 'en')"
@@ -99,7 +102,9 @@ ORACLES = {
     "kg_vocab_union": VOCAB.format(with_views("l")) + " SELECT country_q, lang, kind, value FROM voc",
     "kg_successor_terminals": with_views("e").replace("WITH", "WITH RECURSIVE") + f", {CLOSE} SELECT root, node FROM term",
     "kg_vocab_fallback": VOCAB.format(with_views("l", "e").replace("WITH", "WITH RECURSIVE")) + f", {CLOSE} SELECT country_q, lang, kind, value FROM voc UNION SELECT root, lang, kind, value FROM term JOIN voc ON country_q = node WHERE root NOT IN (SELECT country_q FROM voc WHERE kind = 'demonym')",
-    "kg_harvest": f"{PER}, x AS (SELECT DISTINCT s FROM t WHERE p = 'P106' AND o = 'SBUILDING' AND s IN (SELECT s FROM t WHERE p = 'P31' AND o = 'Q5') AND s IN (SELECT s FROM t WHERE p = 'P1412' AND o = 'L0') UNION SELECT s FROM t WHERE p = 'P106' AND o = 'SHOUSEHOLD') SELECT s AS entity_id FROM x JOIN lk ON entity = s WHERE n >= 9",
+    "kg_harvest": f"{PER}, x AS (SELECT DISTINCT s FROM t WHERE p = 'P106' AND o IN ('SHOUSEHOLD', 'SBUILDING') AND s IN (SELECT s FROM t WHERE p = 'P31' AND o = 'Q5') AND s IN (SELECT s FROM t WHERE p = 'P1412' AND o = 'L0')) SELECT s AS entity_id FROM x JOIN lk ON entity = s WHERE n >= 9",
+    "kg_harvest_every_language": f"{PER}, x AS (SELECT DISTINCT s FROM t WHERE p = 'P106' AND o IN ('SFURNITURE', 'SAUTOMOBILE') AND s IN (SELECT s FROM t WHERE p = 'P31' AND o = 'Q5') AND s IN (SELECT s FROM t WHERE p = 'P1412')) SELECT s AS entity_id FROM x JOIN lk ON entity = s WHERE n >= 7",
+    "kg_sitelinks_of_one": f"{with_views('k')} SELECT DISTINCT site FROM k WHERE entity = 'c1' AND regexp_matches(site, '^https://[a-z-]+\\.wikipedia\\.org/$')",
     "kg_entity_vocabulary": VOCAB.format(with_views("l", "t")) + " SELECT s AS entity_q, " + ", ".join(f"coalesce(string_agg(DISTINCT value, '|' ORDER BY value) FILTER (kind = '{k}'), '') AS {c}" for k, c in (("demonym", "demonyms"), ("alias", "aliases"), ("label", "labels"))) + " FROM t JOIN voc ON country_q = o WHERE p = 'P27' GROUP BY 1",
     "entity_documents": f"{DOCS} SELECT qid, labels, labels_count, c || ':' || coalesce(cn, 0) AS P27, s || ':' || coalesce(sn, 0) AS P106, sitelinks FROM dl",
     "entity_completeness": f"{DOCS} SELECT s AS lang, count(*) AS n_entities, count(*) FILTER (coalesce(sitelinks, 0) >= 9 AND cn = 3) AS P27, count(*) FILTER (coalesce(sitelinks, 0) >= 9 AND sn = 3) AS P106, count(*) FILTER (coalesce(sitelinks, 0) >= 9 AND cn = 3 AND sn = 3) AS complete FROM dl GROUP BY 1",

@@ -45,7 +45,7 @@ VIEWS = {
         UNION ALL SELECT 'S' || s, 'label', lang, s || ' ' || lang FROM (SELECT DISTINCT c_mktsegment AS s FROM {customer}) y, (SELECT 'en' AS lang UNION ALL SELECT 'fr' UNION ALL SELECT 'de') z
         UNION ALL SELECT 'c' || c_custkey, 'label', 'en', c_name FROM {customer}""",
     # links of customers
-    "k": "SELECT 'c' || o_custkey AS entity, CASE WHEN o_orderkey % 10 = 0 THEN 'http://x.example/' ELSE 'https://x.example/' END || o_orderkey AS site FROM {orders}",
+    "k": """SELECT 'c' || o_custkey AS entity, CASE o_orderkey % 10 WHEN 0 THEN 'http://' ELSE 'https://' END || translate(CAST(o_orderkey AS STRING), '0123456789', 'abcdefghij') || CASE o_orderkey % 10 WHEN 1 THEN '.wikiquote.org/' ELSE '.wikipedia.org/' END AS site FROM {orders}""",
     # answers on countries
     "a": """SELECT 'c' || c_custkey AS Q_number, 'en' AS LoE, CASE c_custkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'de' END AS LoQ, 'country' AS property,
         '[''' || n_name || ''']' AS gt,

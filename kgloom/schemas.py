@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Fixed values below: the columns of the exchanged files.
 TRIPLES = "s string, p string, o string"
 LABELS = "entity string, kind string, lang string, value string"
 VALUE = "struct<value:string,value_id:string,labels:map<string,string>,labels_count:int>"
@@ -21,6 +22,19 @@ VERDICTS = "llm_output string, gt_raw string, match_type string"
 
 #: Languages, what the harvest asks for, and which properties matter where.
 LANGUAGES = {"en": "English", "fr": "French", "de": "German", "ru": "Russian", "it": "Italian", "ar": "Arabic", "pl": "Polish", "zh": "Chinese", "hi": "Hindi"}
+#: Ids of each language with its variants, as entities name what they speak.
+LANGUAGE_IDS = {
+    "English": ("Q1860", "Q7976", "Q7979", "Q44676", "Q44679", "Q7053766", "Q48767245"),
+    "Arabic": ("Q13955", "Q29919", "Q56499", "Q1194795", "Q1654327", "Q5329979"),
+    "German": ("Q188", "Q248682", "Q306626", "Q106937689", "Q26721", "Q387066"),
+    "French": ("Q150", "Q1450506", "Q214086", "Q3083193", "Q979914", "Q83503"),
+    "Italian": ("Q652",),
+    "Polish": ("Q809",),
+    "Hindi": ("Q1568",),
+    "Russian": ("Q7737", "Q608923"),
+    "Spanish": ("Q1321",),
+    "Chinese": ("Q7850", "Q24841726", "Q13414913", "Q18130932", "Q100148307"),
+}
 COMPLETE = ("P20", "P19", "P106", "P27")
 LEAST_LINKS, BIN_WIDTH, SEED = 9, 5, 42
 EXCLUDED = ("P21", "P1412", "P6886")

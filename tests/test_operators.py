@@ -50,7 +50,7 @@ def test_f1_stays_in_bounds(spark):
 @pytest.mark.parametrize(
     "output,want",
     [
-        ("1901-03-07", ("TP", "exact_match", 1.0)), ("1901-07-03", ("TP", "swap_match", 1.0)), ("1901-03-21", ("TP", "year_month_match", 0.7)), ("1901-11-03", ("TP", "year_month_swap_match", 0.7)), ("1901-12-25", ("FP", "year_match", 0.5)),
+        ("1901-03-07", ("TP", "exact_match", 1.0)), ("1901-07-03", ("TP", "swap_match", 1.0)), ("1901-03-21", ("TP", "year_month_match", 0.7)), ("1901-11-03", ("TP", "year_month_swap_match", 0.7)), ("1901-12-25", ("FP", "year_match", 0.5)), ("1901-45-03", ("TP", "year_month_swap_match", 0.7)), ("1901-07-13", ("FP", "year_match", 0.5)), ("1901-31-03", ("TP", "year_month_swap_match", 0.7)), ("1901-03-07T12", ("TP", "exact_match", 1.0)),
         ("born on 1901-03-07.", ("TP", "exact_match", 1.0)), ("1902-03-07", ("FP", "no_match", 0.0)), ("1901", ("FP", "no_match", 0.0)), ("none", ("FN", "empty", 0.0)), (" ", ("FN", "empty", 0.0)), (None, ("FN", "empty", 0.0)),
     ],
 )
@@ -60,6 +60,13 @@ def test_dates_of_birth(spark, output, want):
     assert (r["eval"], r["eval_type"], r["eval_score"]) == want
 
 
+@pytest.mark.parametrize("gt,output,want", [("1990-03-07T00:00:00Z", "1990-45-03", ("TP", "year_month_swap_match")), ("1990-12-31", "1990-31-12", ("TP", "swap_match")), ("1990-32-12", "1990-12-32", ("FP", "year_match")), ("1990-12-32", "1990-32-12", ("TP", "year_month_swap_match"))])
+def test_swaps_worked_out_by_hand(spark, gt, output, want):
+    """The whole swap asks for an answer's day up to 12 and month up to 31; that of year and month for the day alone."""
+    r = grading.grade_dob(spark.createDataFrame([(gt, output)], "gt string, llm_output string")).first()
+    assert (r["eval"], r["eval_type"]) == want
+
+
 def test_date_without_truth(spark):
     r = grading.grade_dob(spark.createDataFrame([("unknown", "1901-01-01")], "gt string, llm_output string")).first()
     assert (r["eval"], r["eval_type"]) == ("FP", "no_match")
@@ -270,3 +277,19 @@ def test_cider_prefers_the_truth(spark):
 def test_fixed_width(spark):
     text = fixed_width(spark.createDataFrame([("a", 1.0), ("bb", 0.5)], "m string, f1 double"), "T")
     assert text.splitlines() == ["T", "=", "m       f1", "a   1.0000", "bb  0.5000"]
+
+
+def test_harvest_by_hand(spark):
+    """Humans of the class or its direct subclasses who speak a language, with nine Wikipedia links; nobody else of those classes."""
+    people = {"a": ("Q5", "writer", "de", 9, 0), "b": ("Q5", "poet", "de", 12, 0), "c": ("Q5", "lyricist", "de", 12, 0), "d": ("Q5", "writer", "fr", 12, 0), "e": ("Q7", "writer", "de", 12, 0), "f": ("Q5", "writer", "de", 8, 5), "g": ("Q5", "baker", "de", 12, 0), "h": ("Q5", "poet", "at", 9, 0)}
+    t = [(s, p, o) for s, (kind, job, lang, *_) in people.items() for p, o in (("P31", kind), ("P106", job), ("P1412", lang))] + [("poet", "P279", "writer"), ("lyricist", "P279", "poet")]
+    links = [(s, f"https://{x}x.wikipedia.org/") for s, (*_, n, _) in people.items() for x in "abcdefghijkl"[:n]] + [(s, f"https://{x}.wikiquote.org/") for s, (*_, n) in people.items() for x in "abcde"[:n]]
+    triples = spark.createDataFrame(t, "s string, p string, o string")
+    classes, langs = spark.createDataFrame([("writer",)], "class string"), spark.createDataFrame([("de",), ("at",)], "lang string")
+    for wanted in (["de", "at"], langs):
+        assert rows(kg.harvest(triples, spark.createDataFrame(links, "entity string, site string"), classes, wanted)) == [("a",), ("b",), ("h",)]
+
+
+def test_links_count_on_wikipedia_only(spark):
+    links = spark.createDataFrame([("a", u) for u in ("https://en.wikipedia.org/", "https://zh-yue.wikipedia.org/", "https://en.wikiquote.org/", "http://en.wikipedia.org/", "https://en.wikipedia.org/wiki/X", "https://www.wikidata.org/", "https://en.wikipedia.org/")], "entity string, site string")
+    assert rows(kg.link_counts(links)) == [("a", 3)] and rows(kg.sitelinks(links, "a")) == [("https://en.wikipedia.org/",), ("https://zh-yue.wikipedia.org/",)]
