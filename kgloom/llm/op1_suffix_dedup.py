@@ -1,21 +1,24 @@
 """Removal of repeated substrings with suffix arrays, spread over a cluster.
 
-Every ``width``-byte string belongs to one anchor: the 24 bytes in it with the least hash, leftmost of equals. Runs
+Every ``width``-byte string belongs to one anchor: the 24 bytes (``GRAMS``) in it with the least hash, leftmost of equals. Runs
 of neighbouring strings with one anchor make a piece of text; equal strings always lie in pieces of equal anchors. So
 1. pieces whose anchor occurs once in the corpus are done with;
 2. of equal pieces only the first occurrence goes on (the later ones repeat it whole);
 3. the different pieces of an anchor meet in one suffix array, two-stage sorted; neighbours whose common prefix
    reaches ``width`` hold the same string, and all but the first occurrence in the corpus are repeats.
-An anchor with more different pieces than MAX_PIECES is not gathered: its strings are compared by grouped hashes.
+An anchor with more different pieces than MAX_PIECES is not gathered: its pieces are dealt out again by longer anchors, of
+64 bytes and then of the whole string, and go the same way, so they meet in suffix arrays of their own. Strings of one
+anchor of the last kind are equal, which leaves one piece of them.
 
-Null text counts as empty; texts under ``width`` bytes are kept whole; rows with null ids are dropped; rows of one id are
-one document (first places are shared). Empty tables give empty results; further columns are left alone.
+Null text counts as empty; texts under ``width`` bytes are kept whole, as are rows with null ids, which come neither before nor after
+others; rows of one id are one document (first places are shared). Empty tables give empty results; further columns are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import CHUNK, Hasher, chunks, cut, mix, texts
 from .suffix_array import common_prefixes, eights, suffix_array
 
-WIDTH, GRAM = 100, 24
+WIDTH = 100
+#: Bytes of anchors; longer ones for the pieces of crowded anchors.
+GRAMS = (24, 64, WIDTH)
 #: Different pieces of one anchor that one suffix array takes; bytes of text in one array, if anchors leave the choice.
 MAX_PIECES, ARRAY_BYTES = 32_768, 2 << 20
 PLACE = np.uint64((1 << 24) - 1)
@@ -37,16 +42,16 @@ def batch_of(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[f.split()[0] for f in schema.split(", ")])
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def pieces(data: np.ndarray, offsets: np.ndarray, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
     """Of some texts: anchor hash, piece hash, first and end byte of each piece (places in data)."""
     n, none = len(data), np.zeros(0, np.int64)
     if n < WIDTH:
         return none, none, none, none
     h = Hasher(data)
-    gram = h.every(GRAM)
-    least = gram & ~PLACE
-    least |= np.arange(len(gram), dtype=np.uint64)
-    size, span = 1, WIDTH - GRAM + 1
+    every = h.every(gram)
+    least = every & ~PLACE
+    least |= np.arange(len(every), dtype=np.uint64)
+    size, span = 1, WIDTH - gram + 1
     while 2 * size <= span:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
@@ -60,7 +65,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     new = np.append(True, anchor[1:] != anchor[:-1])
     first = np.flatnonzero(fits[:-1] & (new | ~np.append(False, fits[:-2])))
     last = np.flatnonzero(fits[:-1] & (np.append(new[1:], True) | ~fits[1:]))
-    return mix(gram[anchor[first]]), h.of(first, last + WIDTH), first, last + WIDTH
+    return mix(every[anchor[first]]), h.of(first, last + WIDTH), first, last + WIDTH
 
 
 def segments(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -141,15 +146,24 @@ def repeats(text: np.ndarray, offsets: np.ndarray, doc: np.ndarray, pos: np.ndar
     return runs_of(flag, doc[piece], place)
 
 
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column's bytes and its n + 1 offsets."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, doc, pos, bytes) sorted by anchor: one suffix array for some ARRAY_BYTES of whole anchors."""
 
     def done(parts: list[pa.Table]) -> pa.RecordBatch:
         t = pa.concat_tables(parts)
-        data = t["bytes"].combine_chunks().cast(pa.large_binary())
-        offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-        text = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        return repeats(text, offsets - offsets[0], t["doc"].to_numpy(), t["pos"].to_numpy())
+        text, offsets = flat_bytes(t["bytes"])
+        return repeats(text, offsets, t["doc"].to_numpy(), t["pos"].to_numpy())
 
     held: list[pa.Table] = []
     size = 0
@@ -174,12 +188,16 @@ def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield done(held)
 
 
-def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every WIDTH-byte string of pieces, by two hashes."""
+def split_rows(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
+    """Pieces (doc, pos, bytes) dealt out by longer anchors."""
     for batch in batches:
-        for anchor, doc, pos, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "pos", "bytes")), strict=True):
-            at = np.arange(len(raw) - WIDTH + 1)
-            yield batch_of("anchor long, string long, doc long, pos int", np.full(len(at), anchor), Hasher(np.frombuffer(raw, np.uint8)).of(at, at + WIDTH).view(np.int64), np.full(len(at), doc), (at + pos).astype(np.int32))
+        raw, offsets = flat_bytes(batch.column("bytes"))
+        doc, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "pos"))
+        for a, b in chunks(offsets):
+            own = offsets[a : b + 1] - offsets[a]
+            anchor, piece, first, last = pieces(raw[offsets[a] : offsets[b]], own, gram)
+            row = np.searchsorted(own[1:], first, "right")
+            yield batch_of(PIECES, anchor.view(np.int64), piece.view(np.int64), doc[a + row].astype(np.int64), (pos[a + row] + first - own[row]).astype(np.int32), (last - first).astype(np.int32))
 
 
 def merged(begin: np.ndarray, end: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -214,30 +232,33 @@ def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removals(docs: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
     """docs (doc_id, text) -> (doc, begin, end): byte runs, overlapping in part, that together cover all repeats."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = docs.mapInArrow(piece_rows, PIECES)
-    again = cut(every.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"), free=True)
-    some = cut(every.join(again, "anchor"), rebalance=False, free=True)
-    first = cut(some.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "pos")).alias("_first"), F.max("len").alias("len")), free=True)
-    copies = some.join(first.select("anchor", "piece", "_first"), ["anchor", "piece"]).where("doc != _first.doc or pos != _first.pos").select("doc", F.col("pos").alias("begin"), (F.col("pos") + F.col("len")).alias("end"))
-    count = first.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1")
-    want = first.join(count, "anchor").select("anchor", "_n", F.col("_first.doc").alias("doc"), F.col("_first.pos").alias("pos"), "len")
+    end = lambda c: (F.col(c) + F.col("len")).alias("end")
 
     def bytes_of(w: DataFrame) -> DataFrame:
         w = w.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "pos", "len")).alias("want"))
         return docs.join(w, "doc_id").select("doc_id", "text", "want").mapInArrow(fetch, "anchor long, doc long, pos int, bytes binary")
 
-    sorted_ = bytes_of(want.where(F.col("_n") <= max_pieces)).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort_suffixes, RUNS)
-    out = [copies, sorted_]
-    if not (crowded := count.where(F.col("_n") > max_pieces)).isEmpty():
-        each = cut(bytes_of(want.join(crowded.select("anchor"), "anchor")).mapInArrow(strings, "anchor long, string long, doc long, pos int"))
-        least = each.groupBy("anchor", "string").agg(F.min(F.struct("doc", "pos")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-        out.append(each.join(least, ["anchor", "string"]).where("doc != _first.doc or pos != _first.pos").select("doc", F.col("pos").alias("begin"), (F.col("pos") + WIDTH).alias("end")))
-    return cut(out[0].unionByName(out[1]) if len(out) == 2 else out[0].unionByName(out[1]).unionByName(out[2]), free=True)
+    every, out = docs.mapInArrow(piece_rows, PIECES), []
+    for k in range(len(GRAMS)):
+        again = cut(every.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"), free=True)
+        some = cut(every.join(again, "anchor"), rebalance=False, free=True)
+        first = some.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "pos")).alias("_first"), F.max("len").alias("len"))
+        first = cut(first.select("anchor", "piece", "_first.doc", "_first.pos", "len"), free=True)
+        # all but the first of equal pieces; joined by place as well, so that a hot piece lands in no one task
+        out.append(some.join(first, ["anchor", "piece", "doc", "pos"], "left_anti").select("doc", F.col("pos").alias("begin"), end("pos")))
+        count = first.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1")
+        want = first.join(count, "anchor")
+        out.append(bytes_of(want.where(F.col("_n") <= max_pieces)).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort_suffixes, RUNS))
+        crowded = want.where(F.col("_n") > max_pieces)
+        if k + 1 == len(GRAMS) or crowded.isEmpty():
+            break
+        every = cut(bytes_of(crowded).mapInArrow(partial(split_rows, gram=GRAMS[k + 1]), PIECES), rebalance=False, free=True)
+    return cut(reduce(DataFrame.unionByName, out), free=True)
 
 
 def dedup(docs: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     runs = removals(docs, max_pieces).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
     return docs.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
