@@ -15,9 +15,9 @@ from tokens that none of the others has. All
 comparisons are exact on the whole sets. No link between different sets is lost: pairs left out are either connected already or
 not similar.
 
-Null or empty texts have no tokens, component themselves and link with nothing; rows with null ids are dropped; rows of
-one id must hold one text (with several, each row counts its own shingles and shares one component). Empty tables give empty
-results; further columns are left alone.
+Null or empty texts have no tokens, component themselves and link with nothing; rows with null ids link with nothing either and have
+no component; rows of one id must hold one text (with several, each row counts its own shingles and shares one component). Ties of
+frequency go by the token. Empty tables give empty results; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -242,7 +242,8 @@ def remaining(star: DataFrame, first: DataFrame, comp: DataFrame, sets: DataFram
     inside = F.least("o", "_o") + F.least(F.col("n") - F.col("o") - F.col("u"), F.col("_n") - F.col("_o") - F.col("_u"))
     bound = F.when(F.col("o").isNotNull() & F.col("_o").isNotNull(), inside).otherwise(F.least(F.col("n") - F.col("u"), F.col("_n") - F.col("_u")))
     fits_ = (F.col("c") != F.col("_c")) & (F.col("n") <= F.least("_most", "_n")) & (F.col("_n") <= F.col("most"))
-    pairs = small.join(mixed, ["pivot", "band"]).join(large, ["pivot", "band"]).where(fits_ & enough(bound, F.col("n"), F.col("_n"), percent))
+    small = cut(small.join(mixed, ["pivot", "band"]))
+    pairs = small.join(large, ["pivot", "band"]).where(fits_ & enough(bound, F.col("n"), F.col("_n"), percent))
     return pairs.select(F.least("doc", "_doc").alias("a"), F.greatest("doc", "_doc").alias("b")).distinct()
 
 
@@ -285,7 +286,9 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, one row for each row of docs."""
     sets, _, comp = join(docs, width, percent)
-    return sets.join(comp, F.col("rep") == F.col("id"), "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
+    bare = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(partial(set_rows, width=width, percent=percent), SETS)
+    bare = bare.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return bare.unionByName(sets.join(comp, F.col("rep") == F.col("id"), "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -74,7 +74,13 @@ def test_long_documents_and_many_copies(prose, docs_of):
 def test_empty_table_and_repeated_rows(docs_of):
     assert op.classes(docs_of([])).collect() == []
     rows = op.classes(docs_of([(5, "a b c d e"), (5, "a b c d e"), (7, "A b c d e"), (None, "a b c d e")])).collect()
-    assert sorted(tuple(r) for r in rows) == [(5, 2, 5), (5, 2, 5), (7, 2, 5)]
+    assert sorted((tuple(r) for r in rows), key=str) == [(5, 2, 5), (5, 2, 5), (7, 2, 5), (None, 2, None)]
+
+
+def test_stage_with_null_ids_and_clashing_names(spark, docs_of):
+    df = docs_of([(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None)]).withColumns({c: op.F.lit(1) for c in ("_id", "_gone0", "rep", "token", "component_id")})
+    out = op.stage(spark, df, "")
+    assert out.columns == df.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "None", "None"]
 
 
 def test_stage_keeps_the_least_of_each_component(spark, docs_of):
