@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model a language, of letter 4-grams over lower-cased text (all that is no letter is one blank), fitted on a bounded
-sample of labelled rows. The models' grams lie together in one sorted array of hashes for each order, with a column of log
-probabilities for each language; contexts likewise with their back-off weights. A text goes to the language of the lowest
+sample of labelled rows; every language that has any is fitted. The models' grams lie together in one sorted array of hashes for each order, with a column of log
+probabilities for each language; contexts likewise with their back-off weights. Languages beyond ``TOGETHER`` have further arrays. A text goes to the language of the lowest
 cross-entropy per character; it is rejected if that lies above a limit calibrated on rows of the sample that weren't fitted.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected. Without any labelled row all are ``und``.
@@ -23,20 +23,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, texts
+from .common import CHUNK, chunks, cut, few, texts
 
 ORDER, ALPHABET, SPREAD = 4, 254, np.uint32(0x9E3779B1)
-#: The sample: languages (the most frequent), rows of each, and bytes of a row at most.
-MAX_LANGUAGES, ROWS, ROW_BYTES = 64, 400, 32_768
+#: The sample: rows of each language, bytes of a row, and bytes of all rows at most, shared out equally among the languages (one row of each in any case).
+ROWS, ROW_BYTES, BYTES = 400, 32_768, 64 << 20
+#: Languages whose grams share arrays.
+TOGETHER = 64
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, entropy double, rejected boolean"
 
 
+@dataclass
+class Tables:
+    """The models of some languages."""
+
+    n: int
+    grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by order - 1: sorted hashes, log2 p by language
+    contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by length: sorted hashes, log2 back-off by language
+
+
 @dataclass
 class Model:
     languages: list[str]
     alphabet: dict[int, int]
-    grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by order - 1: sorted hashes, log2 p by language
-    contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by length: sorted hashes, log2 back-off by language
+    tables: list[Tables] = field(default_factory=list)
     sharpness: float = 1.0
     limit: float = 1e9
 
@@ -52,21 +62,26 @@ class Model:
         key = seq.astype(np.uint32)
         for k in range(1, ORDER):
             key[k:] |= seq[:-k].astype(np.uint32) << np.uint32(8 * k)
-        out = np.zeros((len(seq), len(self.languages)), np.float32)
-        open_ = np.arange(len(seq))
-        for k in range(ORDER, 0, -1):
-            part = key[open_] & np.uint32((1 << 8 * k) - 1)
-            hashes, logs = self.grams[k - 1]
-            at, hit = find(hashes, part)
-            out[open_[hit]] += logs[at[hit]]
-            open_, part = open_[~hit], part[~hit]
-            if not len(open_):
-                break
-            hashes, logs = self.contexts[k - 1]
-            at, hit = find(hashes, part >> np.uint32(8))
-            out[open_[hit]] += logs[at[hit]]
-        out[open_] += np.float32(-8)  # every character has this share at least
-        return out
+        return np.concatenate([looked_up(t, key) for t in self.tables], axis=1)
+
+
+def looked_up(tables: Tables, key: np.ndarray) -> np.ndarray:
+    """log2 p of each key's last character by language, from the longest known gram, or a shorter one after backing off."""
+    out = np.zeros((len(key), tables.n), np.float32)
+    open_ = np.arange(len(key))
+    for k in range(ORDER, 0, -1):
+        part = key[open_] & np.uint32((1 << 8 * k) - 1)
+        hashes, logs = tables.grams[k - 1]
+        at, hit = find(hashes, part)
+        out[open_[hit]] += logs[at[hit]]
+        open_, part = open_[~hit], part[~hit]
+        if not len(open_):
+            break
+        hashes, logs = tables.contexts[k - 1]
+        at, hit = find(hashes, part >> np.uint32(8))
+        out[open_[hit]] += logs[at[hit]]
+    out[open_] += np.float32(-8)  # every character has this share at least
+    return out
 
 
 def find(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +118,19 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
     model = Model(languages, {c: i + 2 for i, c in enumerate(common)})
     ids = model.ids()
     by = {lang: [t for x, t in sample if x == lang] for lang in languages}
-    count = [ngrams([t for i, t in enumerate(by[lang]) if i % 5 or len(by[lang]) < 5], ids) for lang in languages]
+    for at in range(0, len(languages), TOGETHER):
+        model.tables.append(tabulated([ngrams([t for i, t in enumerate(by[lang]) if i % 5 or len(by[lang]) < 5], ids) for lang in languages[at : at + TOGETHER]]))
+    calibrate(model, [(lang, t) for lang in languages for i, t in enumerate(by[lang]) if i % 5 == 0])
+    return model
+
+
+def tabulated(count: list[list[tuple[np.ndarray, np.ndarray]]]) -> Tables:
+    """The models of languages from their counts (``ngrams``): interpolated Kneser-Ney, each language with discounts of its own."""
+    tables = Tables(len(count))
     for k in range(1, ORDER + 1):
         keys = np.unique(np.concatenate([c[k - 1][0] for c in count]))
         ctx = np.unique(keys >> np.uint32(8))
-        p, back = np.zeros((len(keys), len(languages))), np.zeros((len(ctx), len(languages)))
+        p, back = np.zeros((len(keys), len(count))), np.zeros((len(ctx), len(count)))
         for j, c in enumerate(count):
             own, n = c[k - 1]
             ones, twos = (n == 1).sum(), (n == 2).sum()
@@ -119,11 +142,10 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
             at = np.searchsorted(ctx, keys >> np.uint32(8))
             p[:, j] = p[:, j] / np.maximum(total[at], 1) + back[at, j] * (below[np.searchsorted(lower, keys & np.uint32((1 << 8 * (k - 1)) - 1)), j] if k > 1 else 1 / 256)
         lower, below = keys, p
-        for table, key, value in ((model.grams, keys, p), (model.contexts, ctx, back)):
+        for table, key, value in ((tables.grams, keys, p), (tables.contexts, ctx, back)):
             h = key * SPREAD
             table.append((np.sort(h), np.log2(value[np.argsort(h)]).astype(np.float32)))
-    calibrate(model, [(lang, t) for lang in languages for i, t in enumerate(by[lang]) if i % 5 == 0])
-    return model
+    return tables
 
 
 def ngrams(parts: list[str], ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -163,16 +185,19 @@ def calibrate(model: Model, kept: list[tuple[str, str]]) -> None:
 
 
 def sampled(docs: DataFrame, held_out) -> list[tuple[str, str]]:
-    """The bounded sample of (lang, text): of each language the rows of least hash among about twice as many."""
-    labelled = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= ROW_BYTES))
-    count = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not count:
+    """The bounded sample of (lang, text): of each language the rows of least hash among about twice as many, up to its share of the bytes."""
+    labelled = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= ROW_BYTES)).select("doc_id", "lang", "text")
+    count = cut(labelled.groupBy("lang").agg(F.count("*").alias("_n")))
+    languages = count.count()
+    if not languages:
         return []
-    share = F.create_map(*(F.lit(x) for lang, n in count.items() for x in (lang, min(1.0, 2 * ROWS / n + 20 / n))))
-    order = F.xxhash64("doc_id", F.lit(4))
-    near = labelled.where(F.pmod(order, F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    r = F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id"))
-    return [tuple(x) for x in near.withColumn("_r", r).where(F.col("_r") <= ROWS).select("lang", "text").orderBy("lang", "_r").collect()]
+    rank = F.xxhash64("doc_id", F.xxhash64("text"), F.lit(4))
+    share = F.least(F.lit(1.0), (2 * ROWS + 20) / F.col("_n"))
+    near = labelled.join(few(count, 100_000), "lang").where(F.pmod(rank, F.lit(1_000_003)) < share * 1_000_003)
+    up = W.partitionBy("lang").orderBy(rank, "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    near = near.withColumns({"_r": F.count("*").over(up), "_bytes": F.sum(F.octet_length("text")).over(up)})
+    some = near.where((F.col("_r") == 1) | (F.col("_r") <= ROWS) & (F.col("_bytes") <= BYTES // languages))
+    return [tuple(x) for x in some.select("lang", "text").orderBy("lang", "_r").collect()]
 
 
 def held_out(docs: DataFrame) -> Column:
@@ -187,6 +212,7 @@ class Judge:
         self.model: Model | None = pickle.loads(model)
         self.ids = self.model.ids() if self.model else None
         self.names = np.array([*self.model.languages, "und"] if self.model else ["und"], object)
+        self.bytes = CHUNK * 16 // max(16, len(self.names))  # of text at once: each character has a number for each language
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """Language, score, entropy and rejection of each text."""
@@ -215,7 +241,7 @@ def identify(docs: DataFrame) -> DataFrame:
         judge = Judge(model.value)
         for batch in batches:
             data, offsets = texts(batch.column("text"))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, judge.bytes):
                 names, score, h, reject = judge(data, offsets[a : b + 1])
                 cols = [batch.column("doc_id").slice(a, b - a).cast(pa.int64()), batch.column("held_out").slice(a, b - a), pa.array(names, pa.string()), pa.array(score), pa.array(h, from_pandas=True), pa.array(reject)]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in SCHEMA.split(", ")])
@@ -235,7 +261,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         judge = Judge(model.value)
         for batch in batches:
             data, offsets = texts(batch.column(text))
-            gone = [judge(data, offsets[a : b + 1])[3] for a, b in chunks(offsets)]
+            gone = [judge(data, offsets[a : b + 1])[3] for a, b in chunks(offsets, judge.bytes)]
             yield batch.filter(pa.array(~np.concatenate(gone) if gone else np.zeros(0, bool)))
 
     return docs.mapInArrow(rows, docs.schema)

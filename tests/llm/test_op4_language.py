@@ -48,3 +48,83 @@ def test_stage_keeps_columns(spark, prose, docs_of):
     df = docs_of([*rows, (999, "---")], lang=lang)
     out = op.stage(spark, df, "")
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == list(range(60))
+
+
+def test_rare_languages_are_told_however_many_there_are(prose, docs_of):
+    """Ninety languages, each of syllables of its own, most with a few rows only: none is left out."""
+    syllables = [["".join(prose.r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(8)] for _ in range(90)]
+    words = lambda k, i: " ".join("".join(prose.r.choice(syllables[k]) for _ in range(2)) for _ in range(30)) + f" {i}"
+    rows = [(i, words(i % 90, i)) for i in range(900)] + [(2000 + i, prose.text(40)) for i in range(300)]
+    lang = lambda i: f"l{i % 90:02}" if i < 900 else "en"
+    out = op.identify(docs_of(rows, lang=lang)).collect()
+    held = [r for r in out if r["held_out"]]
+    assert sum(r["lang_pred"] == lang(r["doc_id"]) for r in held) >= 0.95 * len(held)
+
+
+def test_sample_is_bounded_by_bytes(prose, docs_of, monkeypatch):
+    monkeypatch.setattr(op, "BYTES", 3000)
+    rows, lang = rows_of(prose)
+    df = docs_of(rows, lang=lang)
+    some = op.sampled(df, op.held_out(df))
+    assert {x for x, _ in some} == {"en", "fr", "de"} and sum(len(t.encode()) for _, t in some) <= 3000
+
+
+def brute(sample, text):
+    """Interpolated Kneser-Ney by its formula, with dictionaries: the language of the lowest cross-entropy."""
+    import math
+    from collections import Counter
+
+    def seq(t):
+        out = []
+        for c in t.lower() + "\n":
+            c = c if c.isalpha() else " "
+            if not (c == " " and out and out[-1] == " "):
+                out.append(c)
+        return out
+
+    best = []
+    for lang in sorted({x for x, _ in sample}):
+        own = [t for x, t in sample if x == lang]
+        own = [t for i, t in enumerate(own) if i % 5 or len(own) < 5]
+        s = [c for t in own for c in seq(t)]
+        grams = {4: Counter(tuple(s[i - 3 : i + 1]) for i in range(3, len(s)))}
+        for k in (3, 2, 1):
+            grams[k] = Counter(g[1:] for g in grams[k + 1])
+
+        def p(g, grams=grams):
+            if not g:
+                return 1 / 256
+            n = grams[len(g)]
+            ones, twos = sum(v == 1 for v in n.values()), sum(v == 2 for v in n.values())
+            d = ones / (ones + 2 * twos) if ones else 0.5
+            after = [v for h, v in n.items() if h[:-1] == g[:-1]]
+            if not after:
+                return p(g[1:])
+            return max(n[g] - d, 0) / sum(after) + d * len(after) / sum(after) * p(g[1:])
+
+        s = seq(text)
+        best.append((-sum(math.log2(p(tuple(s[max(0, i - 3) : i + 1]))) for i in range(len(s))) / len(s), lang))
+    return min(best)
+
+
+def test_entropy_against_brute_force(prose):
+    import numpy as np
+
+    sample = [(x, prose.text(30, x)) for x in ("de", "en", "fr") for _ in range(5)]
+    model = op.fit(sample)
+    ids = model.ids()
+    for lang in ("de", "en", "fr"):
+        text = prose.text(12, lang)
+        raw = text.encode()
+        seq, bounds, _ = op.sequences(raw, np.array([0, len(raw)]), ids)
+        h = op.entropies(model, seq, bounds)[0]
+        want = brute(sample, text)
+        assert model.languages[int(h.argmin())] == want[1] == lang and abs(h.min() - want[0]) < 0.25
+
+
+def test_stage_filters_rows_by_their_own_text(spark, prose, docs_of):
+    rows, lang = rows_of(prose, 60)
+    df = docs_of([*rows, (1, "---"), (None, "12"), (None, prose.text(30))], lang=lambda i: lang(i) if i is not None else None).withColumns({c: op.F.lit(1) for c in ("_id", "rejected", "held_out", "_n", "_r")})
+    out = op.stage(spark, df, "")
+    got = [r["doc_id"] for r in out.collect()]
+    assert out.columns == df.columns and sorted(got, key=lambda i: -1 if i is None else i) == [None, *range(60)]
