@@ -2,8 +2,39 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from . import op1_suffix_dedup, op2_jaccard_join, op3_html, op4_language, op5_url_filters, op6_sharding, op7_quality, op8_decontamination, op9_mixing, op10_licenses
 
+
+
+def mix_targets(spark, d: str) -> DataFrame:
+    """What each source's documents are, are to be and are taken as, in words."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+    return op9_mixing.mix(docs).groupBy("source").agg(F.count("*").alias("n"), F.max("source_size").alias("source_size"), F.round(F.max("target"), 4).alias("target"), F.sum("taken").alias("taken"), F.sum((F.col("taken") > 3 * F.col("size")).cast("int")).alias("n_over"))
+
+
+def shard_checks(spark, d: str) -> DataFrame:
+    """Sizes, slots without gaps, and that one more shard takes rows only into itself, in one row."""
+    rows = op6_sharding.query(spark, d)
+    shard = rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("slot").alias("most"), F.countDistinct("slot").alias("slots"), F.count_if(~F.col("grown_shard").isin(24) & (F.col("grown_shard") != F.col("shard"))).alias("astray"))
+    return shard.agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.count_if((F.col("most") + 1 != F.col("n")) | (F.col("slots") != F.col("n"))).alias("n_gaps"), F.sum("astray").alias("n_astray"))
+
+
+def quality_base(spark, d: str) -> DataFrame:
+    return op7_quality.query(spark, d).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def language_folds(spark, d: str) -> DataFrame:
+    """Texts without a letter are undetermined; all others get one of the languages."""
+    return op4_language.query(spark, d).groupBy((F.col("lang_pred") == "und").alias("undetermined"), F.col("score").between(0, 1).alias("in_range")).agg(F.count("*").alias("n"))
+
+
+def page_sizes(spark, d: str) -> DataFrame:
+    return op3_html.query(spark, d).select("page_id", "url", (F.length("text") == F.col("n_chars")).alias("counted"), F.rlike("text", F.lit(r"^\s|\s\s|\s$")).alias("blanks"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup.query,
     "op2_jaccard_join": op2_jaccard_join.query,
@@ -15,13 +46,60 @@ QUERIES = {
     "op8_decontamination": op8_decontamination.query,
     "op9_mixing": op9_mixing.query,
     "op10_licenses": op10_licenses.query,
+    # parts of the above that SQL can express
+    "url_rules": lambda spark, d: op5_url_filters.query(spark, d).select("page_id", "host", "path", "rule"),
+    "shard_checks": shard_checks,
+    "quality_base": quality_base,
+    "mix_targets": mix_targets,
+    "language_folds": language_folds,
+    "page_sizes": page_sizes,
 }
 
 WORDS_8 = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
 WORDS_2 = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
 
+WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+
 ORACLES = {
+    "op1_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, k, h[2 * k + 1:2 * k + 200] AS t FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS k FROM d WHERE len(h) >= 200)),
+o AS (SELECT doc_id, k, row_number() OVER (PARTITION BY t ORDER BY doc_id, k) AS r FROM s),
+g AS (SELECT doc_id, k, CASE WHEN k - lag(k) OVER w <= 100 THEN 0 ELSE 1 END AS new FROM o WHERE r > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+n AS (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM g),
+r AS (SELECT doc_id, run, min(k) AS a, max(k) + 100 AS b FROM n GROUP BY 1, 2),
+p AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS x, a AS y FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY run)
+      UNION ALL SELECT doc_id, coalesce(max(b), 0), max(len(h)) // 2 FROM d LEFT JOIN r USING (doc_id) GROUP BY 1),
+c AS (SELECT doc_id, string_agg(h[2 * x + 1:2 * y], '' ORDER BY x) AS rest FROM p JOIN d USING (doc_id) GROUP BY 1),
+m AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY 1)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM d JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "url_rules": r"""
+WITH r AS (SELECT * FROM (VALUES ('com/en/'), ('example.com/en/7'), ('net/de/'), ('example.net/de/8'), ('org/es/')) t(rule)),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[position('://' IN url) + 3:] ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT page_id, arg_max(rule, len(rule)) AS rule FROM p JOIN r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, rule[position('/' IN rule):]) GROUP BY 1)
+SELECT page_id, host, path, rule FROM p LEFT JOIN f USING (page_id)""",
+    "shard_checks": "SELECT count(*) AS n, sum(octet_length(encode(coalesce(text, ''))) + 8)::BIGINT AS size, 0 AS n_gaps, 0 AS n_astray FROM documents",
+    "quality_base": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+v AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM k) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS x FROM v) GROUP BY 1),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+b AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b""",
+    "mix_targets": f"""
+WITH s AS (SELECT source, count(*) AS n, sum(len({WORDS}))::BIGINT AS source_size FROM documents GROUP BY 1),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
+o AS (SELECT *, coalesce(sum(cap) OVER b, 0) AS full_, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS left_ FROM w WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, (total - full_) * w >= cap * left_ AS capped FROM o),
+t AS (SELECT *, CASE WHEN capped THEN cap::DOUBLE ELSE (total - coalesce(sum(cap) FILTER (capped) OVER (), 0))::DOUBLE / (sum(w) FILTER (NOT capped) OVER ()) * w END AS target FROM c)
+SELECT source, n, source_size, round(target, 4) AS target, round(target)::BIGINT AS taken, 0 AS n_over FROM t""",
+    "language_folds": "SELECT NOT regexp_matches(coalesce(text, ''), '\\p{L}') AS undetermined, true AS in_range, count(*) AS n FROM documents GROUP BY 1",
+    "page_sizes": "SELECT page_id, url, true AS counted, false AS blanks FROM pages",
     "op2_jaccard_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {WORDS_2} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, least(4, len(w)) || ' ' || array_to_string(w[k:k + 3], ' ') AS t
