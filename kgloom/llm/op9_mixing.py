@@ -37,7 +37,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return w.withColumn("target", F.when(F.col("_capped"), F.col("_cap").cast("double")).otherwise(share)).select("source", "source_size", "_s", F.col("_w").alias("weight"), "target", F.col("_total").alias("total"))
 
 
-def quotas(of: DataFrame, blocks: int = 20_000, shards: int = 16, most: int = 3) -> DataFrame:
+def quotas(of: DataFrame, blocks: int = 20_000, shards: int = 64, most: int = 3) -> DataFrame:
     """(_s, shard, quota): blocks awarded by the highest quotients target / (2 j + 1), in order of award.
 
     ``blocks`` is the number of equal-token blocks of the whole mix at most; the candidate quotients are those up to a
@@ -108,7 +108,7 @@ def before(block: DataFrame, size: str) -> DataFrame:
     return block.join(group, ["_s", "_group"]).withColumn("_before", F.col("_base") + F.sum(size).over(inside) - F.col(size))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, blocks: int = 20_000, shards: int = 16, buckets: int = 4096, seed: int = 9) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, blocks: int = 20_000, shards: int = 64, buckets: int = 4096, seed: int = 9) -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, size, source, source_size, target, taken.
 
     Each source's documents lie end to end in a seeded order, cut into equal-token blocks. A source first takes
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     return some.select(out).unionByName(none.select(out))
 
 
-def whole(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, blocks: int = 20_000, shards: int = 16, buckets: int = 4096, seed: int = 9) -> DataFrame:
+def whole(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, blocks: int = 20_000, shards: int = 64, buckets: int = 4096, seed: int = 9) -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, source, _h, size, target, times: the mix by whole documents.
 
     As ``mix``, but a block stands for the documents that start in it: after the whole passes, documents are taken in the order in which their
