@@ -21,24 +21,16 @@ def two_sample(d: float, n: int, m: int) -> float:
     """1 minus the probability of paths with |i / n - j / m| < d everywhere."""
     if d <= 0:
         return 1.0
-    i, j = np.arange(n + 1), 0
-    row = np.zeros(n + 1)
-    for j in range(m + 1):
-        inside = np.abs(i / n - j / m) < d - 1e-10
-        if j == 0:
-            row = np.where(np.cumsum(~inside) == 0, 1.0, 0.0)
-            continue
-        up = row * (j / (i + j))
-        row = np.zeros(n + 1)
-        at = np.flatnonzero(inside)
-        if not len(at):
-            return 1.0
-        # P(i) = up(i) + P(i - 1) i / (i + j) along the places inside, which are neighbours
-        last = 0.0
-        for k in range(at[0], at[-1] + 1):
-            last = up[k] + last * (k / (k + j))
-            row[k] = last
-    return float(min(1.0, max(0.0, 1 - row[n])))
+    i = np.arange(n + 1)
+    on = np.zeros(n + 1)  # by i, on the diagonal i + j = t: the share of orders that came there and stayed inside
+    on[0] = 1.0
+    for t in range(1, n + m + 1):
+        j = t - i
+        after = on * (np.maximum(j, 0) / t)
+        after[1:] += on[:-1] * (i[1:] / t)
+        after[(j < 0) | (j > m) | (np.abs(i / n - j / m) >= d - 1e-10)] = 0.0
+        on = after
+    return float(min(1.0, max(0.0, 1 - on[n])))
 
 
 def one_sample(d: float, n: int) -> float:

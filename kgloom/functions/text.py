@@ -6,10 +6,10 @@ Blanks are Python's: Java's Unicode white space and U+001C to U+001F. ``\\z`` st
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _B = r"[\s\x1c-\x1f]"
@@ -34,16 +34,29 @@ def strip(x: Column | str) -> Column:
     return F.btrim(col(x), F.lit(BLANKS))
 
 
-def casefold(x: Column | str) -> Column:
-    """Case folded, only letters, numbers, underscores and blanks, stripped (marks go; ligatures aside, as Unicode says)."""
-    low = F.replace(F.replace(F.lower(col(x)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
-    return strip(F.regexp_replace(low, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]", ""))
+@cache
+def folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case characters that case folding changes further, to one character and to several, as Python's Unicode tables say."""
+    changed = {c: c.casefold() for c in map(chr, range(0x80, 0x20000)) if c.lower() == c != c.casefold()}
+    return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
+
 
+def folded(x: Column) -> Column:
+    """Unicode's full case folding: lower case, then the characters that it leaves; those that become several are rare, ß aside."""
+    one, several = folds()
+    low = F.translate(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), "".join(one), "".join(one.values()))
+    table = F.create_map(*(F.lit(v) for kv in several.items() for v in kv))
 
-@F.pandas_udf(StringType())
-def casefold_exact(x: pd.Series) -> pd.Series:
-    """As casefold, with Unicode's full folding of ligatures and the like."""
-    return x.str.casefold().str.replace(r"[^\w\s]", "", regex=True).str.strip()
+    def each(t: Column) -> Column:
+        letters = F.regexp_extract_all(t, F.lit(r"(?s)."), F.lit(0))
+        return F.array_join(F.transform(letters, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+
+    return let(low, lambda t: F.when(F.rlike(t, F.lit(f"[{''.join(several)}]")), each(t)).otherwise(t))
+
+
+def casefold(x: Column | str) -> Column:
+    """Case folded, only letters, numbers, underscores and blanks, stripped (marks go)."""
+    return strip(F.regexp_replace(folded(col(x)), r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]", ""))
 
 
 def is_empty(x: Column | str, words: tuple[str, ...] = EMPTY_NAME) -> Column:
@@ -97,10 +110,16 @@ def split_list(x: Column | str) -> Column:
     return F.when(F.rlike(t, F.lit(r"(?s)^\[.*\]\z")), F.filter(F.transform(F.split(inner, ","), bare), lambda p: p != ""))
 
 
+def json_list(items: Column) -> Column:
+    """An array of texts as JSON, a blank after each comma."""
+    quoted = F.transform(items, lambda x: F.regexp_replace(F.to_json(F.array(x)), r"(?s)^\[(.*)\]\z", "$1"))
+    return F.concat(F.lit("["), F.array_join(quoted, ", ", "null"), F.lit("]"))
+
+
 def unwrap_one(x: Column | str) -> Column:
-    """A JSON list of one text becomes that text, a longer one is written again, all else stays."""
+    """A JSON list of one text becomes that text, all else stays."""
     read = F.from_json(F.when(F.startswith(strip(x), F.lit("[")), strip(x)), "array<string>")
-    return F.when(F.size(read) == 1, read[0]).when(F.size(read) > 1, F.to_json(read)).otherwise(col(x))
+    return F.when(F.size(read) == 1, read[0]).otherwise(col(x))
 
 
 def similar(a: Column, b: Column, least: int = 4) -> Column:
@@ -149,5 +168,6 @@ def label(labels: Column | str, lang: Column | str, fallback: str = "en") -> Col
     return F.coalesce(F.try_element_at(col(labels), col(lang)), F.try_element_at(col(labels), F.lit(fallback)))
 
 
-def ordered_set(*arrays: Column) -> Column:
-    return F.array_distinct(F.concat(*arrays))
+def ascii_only(x: Column | str) -> Column:
+    """For consoles that can't print more: every other character becomes a question mark."""
+    return F.regexp_replace(col(x), r"[^\x00-\x7F]", "?")

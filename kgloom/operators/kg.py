@@ -6,13 +6,12 @@ filters where they are short. Store triples partitioned by p.
 
 from __future__ import annotations
 
-import re
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import shared
 
 #: Fixed value: the sites of Wikipedia's languages.
 WIKIPEDIA = r"^https://[a-z-]+\.wikipedia\.org/$"
@@ -126,10 +125,7 @@ def durable(df: DataFrame) -> DataFrame:
     """Checkpointed in the cluster's shared folder (spark.checkpoint.dir); a folder of our own only where none is set and all runs on this machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="kgloom-"))
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
 
 

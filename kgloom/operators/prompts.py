@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,7 +131,3 @@ def chat(layout: Column | str) -> Column:
 def answers(samples_: DataFrame, output: Column | str) -> DataFrame:
     """Answer rows: keys, truth, the model's output, and the prompt in one line."""
     return samples_.select("Q_number", "LoE", "LoQ", "property", "gt", (F.col(output) if isinstance(output, str) else output).alias("llm_output"), one_line(F.concat("instruction", "question")).alias("prompt"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

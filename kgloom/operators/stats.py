@@ -19,6 +19,16 @@ def summarize(df: DataFrame, value: str, *by: str) -> DataFrame:
     return out.select(*by, "n", "mean", F.col("_p")[0].alias("median"), "std", "min", "max", *(F.col("_p")[i + 1].alias(c) for i, c in enumerate(("p90", "p95", "p99"))))
 
 
+def non_null_counts(df: DataFrame, *by: str) -> DataFrame:
+    """Of each group and each other column, how many values aren't missing."""
+    return df.groupBy(*by).agg(*(F.count(c).alias(c) for c in df.columns if c not in by))
+
+
+def ranked(df: DataFrame, limit: int, *order) -> DataFrame:
+    """The first ``limit`` rows by an order, with their rank from 1: a report, never a whole table."""
+    return df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*order)))
+
+
 def histogram(df: DataFrame, group: str, value: str, width: int) -> DataFrame:
     """(<group>, bin_lo, n, density): counts and density over common intervals."""
     by = df.where(F.col(value).isNotNull()).groupBy(group, left_closed(value, width).alias("bin_lo")).agg(F.count("*").alias("n"))

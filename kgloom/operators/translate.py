@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import EMPTY_WORD, is_empty, split_list, unwrap_one
+from ..functions.text import EMPTY_WORD, is_empty, json_list, split_list, unwrap_one
 
 
 def lookup(answers: DataFrame, table: DataFrame, output: str = "llm_output", loq: str = "LoQ") -> DataFrame:
@@ -22,7 +22,7 @@ def lookup(answers: DataFrame, table: DataFrame, output: str = "llm_output", loq
     item = item.join(bare, F.col("_item") == F.col("_k1"), "left").join(wrapped, F.concat(F.lit("["), "_item", F.lit("]")) == F.col("_k2"), "left")
     item = item.withColumn("_v", unwrap_one(F.coalesce("_v1", "_v2")))
     lists = item.groupBy("_list").agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_all"), F.count_if(F.col("_v").isNull()).alias("_open")).where("_open = 0")
-    lists = lists.select("_list", F.to_json(F.col("_all._v")).alias("_joined"))
+    lists = lists.select("_list", json_list(F.col("_all._v")).alias("_joined"))
     out = answers.join(exact, (F.col(loq) == F.col("_loq")) & (F.col(output) == F.col("_text")), "left")
     out = out.join(any_, F.col(output) == F.col("_any_text"), "left").join(lists, F.col(output) == F.col("_list"), "left")
     en = F.when(is_empty(output, EMPTY_WORD), "NONE").when(F.col(loq) == "en", F.col(output)).otherwise(F.coalesce("_exact", "_any", "_joined"))

@@ -102,6 +102,8 @@ STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 PLACE = f"""{with_views('pa', 'pl')}, c AS (SELECT Q_number, llm_output_en AS o, gt[3:-3] AS g, trim(rtrim(trim(split_part(regexp_replace(trim(regexp_replace(llm_output_en, '[''"\\[\\]]+', '', 'g')), '\\s*\\([^)]*\\)\\s*$', ''), ',', 1)), '.')) AS t FROM pa),
 f AS (SELECT *, {FOLD.format('t')} AS tf, {FOLD.format('g')} AS gf FROM c), j AS (SELECT f.*, x.q AS oq, x.country AS oc, y.q AS gq, y.country AS gc FROM f LEFT JOIN pl x ON x.name_key = lower(t) LEFT JOIN pl y ON y.name_key = lower(g)),
 r AS (SELECT *, CASE WHEN upper(trim(o)) IN ('', 'NONE') OR t = '' THEN '' WHEN tf = gf OR (len(tf) >= 4 AND len(gf) >= 4 AND (contains(tf, gf) OR contains(gf, tf))) THEN 'exact_match' WHEN oq = gq THEN 'exact_match' WHEN oc = gc THEN 'country_match' ELSE 'no_match' END AS eval_type FROM j)"""
+TOKENS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
+GRAMS = ", ".join(f"{t} AS (SELECT p_partkey, n, array_to_string({c}[i:i + n - 1], chr(1)) AS x, count(*) AS c FROM (SELECT p_partkey, {c}, n, unnest(range(1, len({c}) - n + 2)) AS i FROM w, k WHERE len({c}) >= n) GROUP BY ALL)" for t, c in (("go", "o"), ("gg", "g")))
 ORACLES = {
     "dob_grade": f"{DOB} SELECT l_orderkey, l_linenumber, eval, eval_type, eval_score FROM dob",
     "dob_summary": f"{DOB} SELECT model, eval, eval_type, count(*) AS n, round(avg(eval_score), 6) AS mean_score FROM dob GROUP BY ALL",
@@ -124,5 +126,19 @@ ORACLES = {
     "country_grade": f"{COUNTRY} SELECT Q_number, eval, eval_type, provenance FROM cf",
     "country_summary": f"{COUNTRY} SELECT LoQ, eval, eval_type, count(*) AS n FROM cf GROUP BY ALL",
     "place_grade": f"{PLACE} SELECT Q_number, CASE eval_type WHEN '' THEN 'FN' WHEN 'no_match' THEN 'FP' ELSE 'TP' END AS eval, eval_type, CASE eval_type WHEN '' THEN '' WHEN 'no_match' THEN 'judge' ELSE 'auto' END AS provenance FROM r",
+    "bleu_rouge": f"""WITH RECURSIVE t AS (SELECT p_partkey, p_name || ' ' || p_type AS gt, p_type || ' ' || p_name || ' ' || p_brand AS llm_output FROM part), w AS (SELECT *, {TOKENS.format('gt')} AS g, {TOKENS.format('llm_output')} AS o FROM t), k AS (SELECT unnest(range(1, 5)) AS n),
+{GRAMS}, cl AS (SELECT p_partkey, n, sum(least(go.c, gg.c)) AS c FROM go JOIN gg USING (p_partkey, n, x) GROUP BY 1, 2),
+pr AS (SELECT w.p_partkey, k.n, ln((coalesce(c, 0) + 1e-15) / (greatest(len(o) - k.n + 1, 0) + 1e-9)) AS l FROM w CROSS JOIN k LEFT JOIN cl ON cl.p_partkey = w.p_partkey AND cl.n = k.n),
+b AS (SELECT p_partkey, exp(avg(l) FILTER (n <= 1)) AS b1, exp(avg(l) FILTER (n <= 2)) AS b2, exp(avg(l) FILTER (n <= 3)) AS b3, exp(avg(l)) AS b4 FROM pr GROUP BY 1),
+z AS (SELECT *, CASE WHEN (len(o) + 1e-15) / (len(g) + 1e-9) < 1 THEN exp(1 - (len(g) + 1e-9) / (len(o) + 1e-15)) ELSE 1 END AS bp FROM w),
+same AS (SELECT p_partkey, i, j FROM (SELECT p_partkey, g, o, i, unnest(range(1, len(g) + 1)) AS j FROM (SELECT *, unnest(range(1, len(o) + 1)) AS i FROM w)) WHERE o[i] = g[j]),
+chain(p_partkey, i, j, l) AS (SELECT p_partkey, i, j, 1 FROM same UNION SELECT c.p_partkey, s.i, s.j, l + 1 FROM chain c JOIN same s ON s.p_partkey = c.p_partkey AND s.i > c.i AND s.j > c.j),
+lcs AS (SELECT p_partkey, max(l) AS l FROM chain GROUP BY 1), m AS (SELECT p_partkey, c AS m FROM cl WHERE n = 1)
+SELECT p_partkey, gt, llm_output, round(b1 * bp, 6) AS Bleu_1, round(b2 * bp, 6) AS Bleu_2, round(b3 * bp, 6) AS Bleu_3, round(b4 * bp, 6) AS Bleu_4, round(coalesce((1 + 1.2 ^ 2) * (l / len(o)) * (l / len(g)) / (l / len(g) + 1.2 ^ 2 * (l / len(o))), 0), 6) AS ROUGE_L, round(coalesce(10 * (m / len(o)) * (m / len(g)) / (m / len(g) + 9 * (m / len(o))), 0), 6) AS METEOR FROM z JOIN b USING (p_partkey) LEFT JOIN lcs USING (p_partkey) LEFT JOIN m USING (p_partkey)""",
+    "cider": f"""WITH w AS (SELECT p_partkey, {TOKENS.format('p_name')} AS g, {TOKENS.format("(p_name || ' ' || p_type)")} AS o FROM part), k AS (SELECT unnest(range(1, 5)) AS n), {GRAMS},
+df AS (SELECT n, x, count(*) AS df FROM gg GROUP BY 1, 2), total AS (SELECT ln(greatest(1.0, count(*))) AS total FROM w),
+v AS (SELECT p_partkey, n, coalesce(gg.c, 0) * (total - ln(greatest(1, coalesce(df, 0)))) AS a, coalesce(go.c, 0) * (total - ln(greatest(1, coalesce(df, 0)))) AS b FROM gg FULL JOIN go USING (p_partkey, n, x) LEFT JOIN df USING (n, x) CROSS JOIN total),
+c AS (SELECT p_partkey, n, sum(least(a, b) * a) AS s, sqrt(sum(a * a)) AS x, sqrt(sum(b * b)) AS y FROM v GROUP BY 1, 2), f AS (SELECT p_partkey, sum(CASE WHEN x > 0 AND y > 0 THEN s / (x * y) ELSE 0 END) / 4 AS f FROM c GROUP BY 1)
+SELECT p_partkey, round(10 * coalesce(f, 0) * exp(-((len(o) - len(g)) ^ 2) / (2 * 6.0 ^ 2)), 6) AS CIDEr FROM w LEFT JOIN f USING (p_partkey)""",
     "verdict_fallback": f"{COUNTRY} SELECT DISTINCT trim(o) AS llm_output, trim(gt) AS gt_raw FROM cf WHERE provenance = 'judge' AND NOT EXISTS (SELECT 1 FROM v WHERE v.llm_output = trim(o) AND v.gt_raw = trim(gt))",
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import grading, graph, reports_f1, samples
+from . import exchange, grading, graph, reports_f1, samples
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (reports_f1, grading, samples, graph):
+for part in (reports_f1, grading, samples, graph, exchange):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

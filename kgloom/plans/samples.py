@@ -48,6 +48,7 @@ def grouped_cover(spark, d: str) -> DataFrame:
 SUMMARY = "count(*) AS n, round(avg(sitelinks), 6) AS mean, round(quantile_cont(sitelinks, 0.5), 6) AS median, round(coalesce(stddev_samp(sitelinks), 0.0), 6) AS std, min(sitelinks) AS min, max(sitelinks) AS max, round(quantile_cont(sitelinks, 0.9), 6) AS p90, round(quantile_cont(sitelinks, 0.95), 6) AS p95, round(quantile_cont(sitelinks, 0.99), 6) AS p99"
 BINS = f"{with_views('s')}, h AS (SELECT lang, (floor(sitelinks / {WIDTH}.0) * {WIDTH})::BIGINT AS bin_lo, count(*) AS n FROM s WHERE sitelinks IS NOT NULL GROUP BY ALL), t AS (SELECT bin_lo, min(n) AS target FROM h GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT lang) FROM s WHERE sitelinks IS NOT NULL))"
 MATCHED = f"{BINS}, m AS (SELECT lang, qid, sitelinks, bin_lo FROM (SELECT s.*, t.bin_lo, target, row_number() OVER (PARTITION BY lang, t.bin_lo ORDER BY md5('{SEED}|' || qid), qid) AS r FROM s JOIN t ON t.bin_lo = (floor(sitelinks / {WIDTH}.0) * {WIDTH})::BIGINT) WHERE r <= target)"
+KS = f"z AS (SELECT lang, count(*) AS n FROM s WHERE sitelinks IS NOT NULL GROUP BY 1), pr AS (SELECT a.lang AS A, b.lang AS B, a.n AS n_a, b.n AS n_b FROM z a JOIN z b ON a.lang < b.lang), g AS (SELECT A, B, n_a, n_b, sitelinks AS x, count(*) FILTER (lang = A) AS ca, count(*) FILTER (lang = B) AS cb FROM pr JOIN s ON lang IN (A, B) WHERE sitelinks IS NOT NULL GROUP BY ALL), ks AS (SELECT A, B, n_a, n_b, max(d) AS D FROM (SELECT A, B, n_a, n_b, abs((sum(ca) OVER w)::DOUBLE / n_a - (sum(cb) OVER w)::DOUBLE / n_b) AS d FROM g WINDOW w AS (PARTITION BY A, B ORDER BY x)) GROUP BY ALL)"
 SUBSETS = "subsets AS (SELECT mask, list_filter(['AF', 'AO', 'NF', 'NO', 'RF', 'RO'], lambda x, i: (mask >> (i - 1)::INT) & 1 = 1) AS items FROM range(1, 64) r(mask)), held AS (SELECT entity_id, list(p) AS props FROM p GROUP BY 1)"
 
 QUERIES = {
@@ -55,7 +56,7 @@ QUERIES = {
     "ecdf": lambda spark, d: rounded(stats.ecdf(view(spark, d, "s"), "lang", "sitelinks")),
     "histogram_density": lambda spark, d: rounded(stats.histogram(view(spark, d, "s"), "lang", "sitelinks", WIDTH), 9),
     "ks_pairwise_d": lambda spark, d: rounded(stats.ks_pairwise(view(spark, d, "s"), "lang", "sitelinks"), 9),
-    "ks_pairwise_p": lambda spark, d: stats.ks_pairwise(view(spark, d, "s"), "lang", "sitelinks", p=True),
+    "ks_pairwise_p": lambda spark, d: rounded(stats.ks_pairwise(view(spark, d, "s"), "lang", "sitelinks", p=True), 7),
     "hard_match_target": lambda spark, d: matching.match_histogram(view(spark, d, "s"), "lang", "sitelinks", WIDTH, LANGS),
     "hard_match_rows": lambda spark, d: matched(spark, d).select("lang", "qid", "sitelinks", "bin_lo"),
     "hard_match_summary": summary,
@@ -70,6 +71,8 @@ ORACLES = {
     "ecdf": f"{with_views('s')}, c AS (SELECT lang, sitelinks AS x, count(*) AS n FROM s WHERE sitelinks IS NOT NULL GROUP BY ALL) SELECT lang, x, n, round((sum(n) OVER (PARTITION BY lang ORDER BY x))::DOUBLE / (sum(n) OVER (PARTITION BY lang))::DOUBLE, 6) AS f FROM c",
     "histogram_density": f"{BINS} SELECT lang, bin_lo, n, round(n / ((sum(n) OVER (PARTITION BY lang))::DOUBLE * {WIDTH}), 9) AS density FROM h",
     "ks_pairwise_d": f"{with_views('s')}, z AS (SELECT lang, count(*) AS n FROM s WHERE sitelinks IS NOT NULL GROUP BY 1), pr AS (SELECT a.lang AS A, b.lang AS B, a.n AS n_a, b.n AS n_b FROM z a JOIN z b ON a.lang < b.lang), g AS (SELECT A, B, n_a, n_b, sitelinks AS x, count(*) FILTER (lang = A) AS ca, count(*) FILTER (lang = B) AS cb FROM pr JOIN s ON lang IN (A, B) WHERE sitelinks IS NOT NULL GROUP BY ALL) SELECT A, B, n_a, n_b, round(max(d), 9) AS KS_D FROM (SELECT A, B, n_a, n_b, abs((sum(ca) OVER w)::DOUBLE / n_a - (sum(cb) OVER w)::DOUBLE / n_b) AS d FROM g WINDOW w AS (PARTITION BY A, B ORDER BY x)) GROUP BY ALL",
+    # the exact distribution, diagonal by diagonal over the grid of both samples, as long as a path stays inside the distance
+    "ks_pairwise_p": f"{with_views('s').replace('WITH', 'WITH RECURSIVE')}, {KS}, walk(A, B, n, m, D, t, i, p) AS (SELECT A, B, n_a, n_b, D, 0, 0, 1.0::DOUBLE FROM ks UNION ALL SELECT A, B, n, m, D, t, i, sum(p) FROM (SELECT A, B, n, m, D, t + 1 AS t, i, p * (t + 1 - i) / (t + 1) AS p FROM walk UNION ALL SELECT A, B, n, m, D, t + 1, i + 1, p * (i + 1) / (t + 1) FROM walk) WHERE i <= n AND t - i <= m AND abs(i::DOUBLE / n - (t - i)::DOUBLE / m) < D - 1e-10 GROUP BY ALL) SELECT A, B, n_a, n_b, round(ks.D, 7) AS KS_D, round(least(1.0, greatest(0.0, 1 - coalesce(p, 0.0))), 7) AS p_value FROM ks LEFT JOIN (SELECT A, B, p FROM walk WHERE t = n + m) q USING (A, B)",
     "hard_match_target": f"{BINS} SELECT bin_lo, '[' || bin_lo || ', ' || (bin_lo + {WIDTH}) || ')' AS bin_interval, " + ", ".join(f"coalesce(max(n) FILTER (lang = '{x}'), 0) AS {x}" for x in LANGS) + " , target FROM h JOIN t USING (bin_lo) GROUP BY bin_lo, target",
     "hard_match_rows": f"{MATCHED} SELECT lang, qid, sitelinks, bin_lo FROM m",
     "hard_match_summary": f"{MATCHED}, u AS (SELECT lang, 'matched' AS stage, sitelinks FROM m UNION ALL SELECT lang, 'original', sitelinks FROM s) SELECT lang, stage, {SUMMARY} FROM u GROUP BY 1, 2",

@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.text import json_list
+
 #: Verdicts that a judge may give, by property.
 VERDICTS = {
     "country": ("exact_match", "alias_match", "substring_match", "demonym_match", "historical_match", "no_match"),
@@ -25,6 +27,18 @@ JUDGE_PROMPTS = {
 SHOWN = 20
 
 
+def translation_of(answer: Column, text: Column) -> Column:
+    """What a translator's JSON ``{"en": text or list}`` says, a list as JSON; the text itself if it is no such answer."""
+    one, several = F.from_json(answer, "struct<en:string>")["en"], F.from_json(answer, "struct<en:array<string>>")["en"]
+    return F.coalesce(F.when(several.isNotNull(), json_list(several)), one, text)
+
+
+def verdict_of(answer: Column, known: tuple[str, ...] | list[str]) -> Column:
+    """The verdict in a judge's JSON ``{"match_type": ..., "reason": ...}``; no match if it is none of those known."""
+    said = F.from_json(answer, "struct<match_type:string>")["match_type"]
+    return F.when(said.isin(*known), said).otherwise("no_match")
+
+
 class Translator(Protocol):
     def translate(self, misses: DataFrame) -> DataFrame:
         """(loq, text) -> (loq, text, en)."""

@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import MISSING, id_of, model_of, strip
-from ..schemas import ANSWERS, ENTITY_JSON, PROMPTS, PROPERTY_JSON
+from ..schemas import ANSWERS, ENTITIES, ENTITY_JSON, PROMPTS, PROPERTY_JSON
 
 CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
+def shared(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir; one of our own only where none is set and all runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="kgloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    return f"{shared(spark)}/exchange-{uuid.uuid4().hex}"
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(qid): one id a line, blanks cut, empty lines left out."""
     return spark.read.text(path).select(strip("value").alias("qid")).where("qid <> ''")
@@ -50,7 +71,7 @@ def read_model_answers(spark: SparkSession, path: str, prefix: str, schema: str
 
 def read_entities(spark: SparkSession, path: str, properties: list[str]) -> DataFrame:
     """A JSON object of entities by id, each with labels and one member a property -> rows like those of entities.documents."""
-    whole = spark.read.text(path, wholetext=True)
+    whole = spark.read.text(path, wholetext=True)  # one object a file; large collections are better kept as lines (read_entity_lines)
     each = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("qid", "_json"))
     each = each.select("qid", F.from_json("_json", ENTITY_JSON).alias("e"), F.from_json("_json", "map<string,string>").alias("_all"))
 
@@ -64,10 +85,28 @@ def read_entities(spark: SparkSession, path: str, properties: list[str]) -> Data
 
 
 def write_entities(entities: DataFrame, path: str) -> None:
-    """JSON lines, one entity each; a single object of all would have to pass through one task."""
+    """JSON lines, one entity each, written by as many tasks as there are."""
     entities.write.mode("overwrite").json(path)
 
 
+def read_entity_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What write_entities wrote; any number of tasks reads it."""
+    return spark.read.schema(ENTITIES).json(path)
+
+
+def write_entity_object(entities: DataFrame, path: str) -> None:
+    """One JSON object of all entities by id, one a line, as read_entities reads it. It is one file, so one task writes it: for exchange, not for large collections."""
+    inner = lambda x: F.regexp_replace(x, r"(?s)^\{(.*)\}\z", "$1")
+    value = lambda v: F.struct(v["value"].alias("qid"), v["labels"].alias("labels"), v["labels_count"].alias("labels_count"))
+    props = F.transform_values("props", lambda _, p: F.struct(F.transform(p["values"], value).alias("values"), p["count"].alias("count")))
+    members = F.filter(F.array(inner(F.to_json(F.struct("labels", "labels_count", "sitelinks"))), inner(F.to_json(props))), lambda x: x != "")
+    key = F.regexp_replace(F.to_json(F.array("qid")), r"^\[|\]\z", "")
+    line = entities.select("qid", F.concat(key, F.lit(": {"), F.array_join(members, ", "), F.lit("}")).alias("value"))
+    first = F.row_number().over(W.orderBy("qid")) == 1
+    text = line.select("qid", F.concat(F.when(first, "{").otherwise(","), "value").alias("value")).unionByName(entities.sparkSession.createDataFrame([(None, "}")], "qid string, value string"))
+    text.coalesce(1).sortWithinPartitions(F.asc_nulls_last("qid")).select("value").write.mode("overwrite").text(path)
+
+
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array (or lines) of prompt records, with the entity language from the file's name."""
     df = spark.read.schema(PROMPTS).json(path, multiLine=True)

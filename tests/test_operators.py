@@ -113,7 +113,7 @@ def test_lookup_order(spark):
     data = [("fr", "Norvège"), ("it", "Norvège"), ("fr", "[Norvège, Allemagne]"), ("fr", "[Norvège, zz]"), ("en", "x"), ("fr", " none "), ("pl", "zz")]
     answers = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "i int, LoQ string, llm_output string")
     got = [r["llm_output_en"] for r in translate.lookup(answers, table).orderBy("i").collect()]
-    assert got == ["Norway", "Norwegen?", '["Norwegen?","Germany"]', None, "x", "NONE", None]
+    assert got == ["Norway", "Norwegen?", '["Norwegen?", "Germany"]', None, "x", "NONE", None]
 
     class Upper:
         def translate(self, misses):
