@@ -1,7 +1,8 @@
 """Grading that goes on where it stopped: a stream over a folder of answer files, each row graded once.
 
-The checkpoint remembers which files and keys are done; a restart takes what is new. ``availableNow`` ends when
-all files present are done.
+The checkpoint remembers which files are done, the output which keys are: each micro-batch leaves out the keys that the
+output has, so no state grows with the stream, and a batch that is run again after a failure adds nothing twice.
+``availableNow`` ends when all files present are done.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import ANSWERS
-from ..sources.files import CSV
+from ..sources.files import CSV, append_cache, read_cache
 
 
 def answer_stream(spark: SparkSession, path: str, schema: str = ANSWERS, files_per_batch: int = 100) -> DataFrame:
@@ -22,6 +23,12 @@ def answer_stream(spark: SparkSession, path: str, schema: str = ANSWERS, files_p
 
 
 def grade_stream(answers: DataFrame, grade: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: tuple[str, ...] = ("Q_number", "LoQ", "LoE", "property")) -> StreamingQuery:
-    """Starts grading of each key's first row to Parquet; grade must be free of aggregations."""
-    once = grade(answers.dropDuplicates(list(keys)))
-    return once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Starts grading of each key's first row to Parquet."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates(list(keys))
+        known = read_cache(spark, out, ", ".join(f"{c} {t}" for c, t in batch.select(*keys).dtypes))
+        append_cache(grade(fresh.join(known, list(keys), "left_anti").select(batch.columns)), out)
+
+    return answers.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

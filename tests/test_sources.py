@@ -5,8 +5,9 @@ import pytest
 
 from kgloom import providers
 from kgloom.operators import grading
+from kgloom.plans import plots
 from kgloom.schemas import ANSWERS, PROPERTIES, VERDICTS, requested
-from kgloom.sources import files, sparql
+from kgloom.sources import files, places, sparql
 from kgloom.streaming.resume import answer_stream, grade_stream
 
 
@@ -126,5 +127,64 @@ def test_stream_grades_each_key_once(spark, tmp_path):
     assert run([1, 2, 2]) == ["1", "2"] and run([2, 3]) == ["1", "2", "3"]
 
 
+def test_places_are_resolved_once_each(spark):
+    asked = []
+
+    def ask(url, params, timeout):
+        asked.append(url)
+        if url == "api":
+            return json.dumps({"search": {"lyon": [{"id": "Q456"}], "down": []}.get(params["search"], [])}) if params["search"] != "broken" else "<html>"
+        return json.dumps({"results": {"bindings": [{"country": {"value": "http://e/Q142"}}]}})
+
+    r = places.Resolver("api", "sparql", ask, sparql.Retry(tries=2, pace=0, sleep=lambda _: None))
+    assert r.search("lyon") == "Q456" and r.search("down") is None and r.search("broken") is None and r.countries("Q456") == ["Q142"]
+
+    def broken(url, params, timeout):
+        asked.append("broken")
+        raise urllib.error.URLError("down")
+
+    asked.clear()
+    assert places.Resolver("api", "sparql", broken, sparql.Retry(tries=3, pace=0, sleep=lambda _: None)).countries("Q1") == [] and len(asked) == 3
+
+    def here(url, params, timeout):
+        return json.dumps({"search": [{"id": "Q" + params["search"]}]} if url == "api" else {"results": {"bindings": [{"country": {"value": "http://e/Q7"}}]}})
+
+    names = spark.createDataFrame([(" A ",), ("a",), ("b",), ("",), (None,)], "name string")
+    known = spark.createDataFrame([("b", "Qold", ["Q1"])], "name_key string, q string, countries array<string>")
+    got = places.Resolver("api", "sparql", here, sparql.Retry(tries=1, pace=0)).resolve(names, known, 2)
+    assert rows(got) == [("a", "Qa", ["Q7"]), ("b", "Qold", ["Q1"])]
+
+
+def test_entity_object_round_trip(spark, tmp_path):
+    value = {"qid": "http://x/Q9", "labels": {"en": "Zoë \"Z\""}, "labels_count": 1}
+    data = {"Q1": {"labels": {"en": "A"}, "labels_count": 1, "sitelinks": 12, "P19": {"values": [value], "count": 1}}, "Q2": {"labels_count": 0}}
+    (tmp_path / "e.json").write_text(json.dumps(data))
+    got = files.read_entities(spark, str(tmp_path / "e.json"), ["P19"])
+    files.write_entity_object(got, str(tmp_path / "out"))
+    part = next((tmp_path / "out").glob("part-*"))
+    assert json.loads(part.read_text())["Q1"] == data["Q1"] and "Zoë" in part.read_text()
+    assert rows(files.read_entities(spark, str(tmp_path / "out"), ["P19"])) == rows(got)
+
+
+def test_plots(spark):
+    import xml.etree.ElementTree as ET
+
+    df = spark.createDataFrame([("a <x>", 0.5, None), ("b", 1.0, 0.25)], "model string, en double, fr double")
+    root = ET.fromstring(plots.heatmap(df, "model", "F1"))
+    texts = [t.text for t in root.iter("{http://www.w3.org/2000/svg}text")]
+    assert texts == ["F1", "en", "fr", "a <x>", "0.50", "b", "1.00", "0.25"] and len(list(root.iter("{http://www.w3.org/2000/svg}rect"))) == 4
+    line = spark.createDataFrame([("g", 1, 0.5), ("g", 3, 1.0), ("h", 2, 1.0)], "g string, x int, f double")
+    root = ET.fromstring(plots.curves(line, "g", "x", "f", "ECDF", steps=True))
+    assert [p.get("d") for p in root.iter("{http://www.w3.org/2000/svg}path")][1:] == ["M60.0 190.0H620.0V40.0", "M340.0 40.0"]
+
+
+def test_contracts(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(x,) for x in ('{"en": "France"}', '{"en": ["France", "Spa\\"in"]}', "broken", None, '{"en": null}', '{"match_type": "exact_match"}', '{"match_type": "x"}')], "a string")
+    assert [r[0] for r in df.select(providers.translation_of(F.col("a"), F.lit("as it was"))).collect()] == ["France", '["France", "Spa\\"in"]', *["as it was"] * 5]
+    assert [r[0] for r in df.select(providers.verdict_of(F.col("a"), providers.VERDICTS["pob"])).collect()] == [*["no_match"] * 5, "exact_match", "no_match"]
+
+
 def test_requested_properties():
     assert len(PROPERTIES) == 33 and "P21" not in requested({"sex": "P21", "place_of_birth": "P19"}).values()
