@@ -128,19 +128,17 @@ class Scanner:
     def norm(self, v: Counter[bytes]) -> float:
         return math.sqrt(sum((n * self.idf.get(w, self.rarest)) ** 2 for w, n in v.items()))
 
-    def weight(self, words: list[bytes]) -> tuple[float, int]:
-        """The summed weight of the templates' words among words, and how many others there are."""
-        known = [self.idf[w] for w in words if w in self.idf]
-        return sum(known), len(words) - len(known)
+    def inside(self, v: Counter[bytes]) -> float:
+        """The squared length in the templates' words."""
+        return sum((n * self.idf[w]) ** 2 for w, n in v.items() if w in self.idf)
 
-    def may_reach(self, v: Counter[bytes]) -> bool:
-        """False only if a candidate of these words is under the threshold for every template.
+    def may_reach(self, inside: float, others: int) -> bool:
+        """False only if a candidate of this squared length inside the templates' words, and so many others, is under the threshold for every template.
 
         Its cosine to any is at most sqrt(inside / (inside + outside)), the part of its squared length that lies in the
         templates' words; repeated words outside only lengthen it further.
         """
-        inside = sum((n * self.idf[w]) ** 2 for w, n in v.items() if w in self.idf)
-        return inside > 0 and inside >= self.price * sum(n for w, n in v.items() if w not in self.idf)
+        return inside > 0 and inside >= self.price * others
 
     def score(self, v: Counter[bytes]) -> tuple[float, str]:
         """The highest cosine and its template."""
@@ -161,20 +159,18 @@ class Scanner:
             next_seed = next(s for s in seeds if s >= a)
             for b in range(a, min(a + RUN, n)):
                 v.update(WORD.findall(raw, begin[b], end[b]))
-                if b >= next_seed and self.may_reach(v):
+                if b >= next_seed and self.may_reach(self.inside(v), sum(k for w, k in v.items() if w not in self.idf)):
                     yield a, b + 1 - a, v
         if whole and n > RUN:
-            v = Counter(w for b in range(n) for w in WORD.findall(raw, begin[b], end[b]))
-            if self.may_reach(v):
-                yield 0, n, v
+            yield 0, n, Counter(w for b in range(n) for w in WORD.findall(raw, begin[b], end[b]))
 
     def candidates(self, raw: bytes) -> Iterator[tuple[int, int, Counter[bytes]]]:
         """(first line, lines, words) of all that may reach the threshold.
 
         The squared length of RUN lines together is at most RUN times the sum of theirs, so a run that reaches the threshold holds a
-        seed: a line that would reach it if its part inside counted RUN times. A whole block is judged by its summed weight.
+        seed: a line that would reach it if its part inside counted RUN times. The summed weight squared, a simpler bound, tells most lines.
         """
-        begin, end, seeds, inside, outside, at, line, first = array("q"), array("q"), [], 0.0, 0, 0, 0, 0
+        begin, end, seeds, known, others, at, line, first, idf = array("q"), array("q"), [], Counter(), 0, 0, 0, 0, self.idf
         while at <= len(raw):
             stop = raw.find(b"\n", at)
             stop = len(raw) if stop < 0 else stop
@@ -182,17 +178,20 @@ class Scanner:
             if words:
                 if not begin:
                     first = line
-                some, other = self.weight(words)
-                if some and RUN * some * some >= self.price * other:
-                    seeds.append(len(begin))
-                inside, outside = inside + some, outside + other
+                some = [w for w in words if w in idf]
+                if some:
+                    known.update(some)
+                    left = self.price * (len(words) - len(some))
+                    if RUN * sum(map(idf.__getitem__, some)) ** 2 >= left and RUN * self.inside(Counter(some)) >= left:
+                        seeds.append(len(begin))
+                others += len(words) - len(some)
                 begin.append(at)
                 end.append(stop)
             if begin and (not words or stop == len(raw)):
-                whole = inside * inside >= self.price * outside
+                whole = self.may_reach(self.inside(known), others)
                 if seeds or whole:
                     yield from ((first + a, n, v) for a, n, v in self.runs(raw, begin, end, seeds, whole))
-                begin, end, seeds, inside, outside = array("q"), array("q"), [], 0.0, 0
+                begin, end, seeds, known, others = array("q"), array("q"), [], Counter(), 0
             at, line = stop + 1, line + 1
 
     def scan(self, raw: bytes, whole: bool) -> tuple[str | None, float | None, int | None, int | None]:
