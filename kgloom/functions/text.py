@@ -144,8 +144,8 @@ def one_line(x: Column | str) -> Column:
 
 
 def without_thoughts(x: Column | str) -> Column:
-    """What follows the first ``</think>``; without one the last line."""
-    parts = F.split(col(x), "</think>", 2)
+    """What follows the first ``</think>``, up to another; without one the last line."""
+    parts = F.split(col(x), "</think>")
     return strip(F.when(F.size(parts) > 1, parts[1]).otherwise(F.element_at(F.split(strip(x), "\n"), -1)))
 
 

@@ -145,7 +145,7 @@ ORACLES = {
     "io_entities_lines": COUNTED,
     "batch_ids": "SELECT ((row_number() OVER (ORDER BY len(q), q) - 1) // 200)::INT AS batch, q AS qid FROM (SELECT 'Q' || c_custkey AS q FROM customer) QUALIFY row_number() OVER (ORDER BY len(q), q) <= 1000",
     "text_tools": "SELECT doc_id, md5(replace(text, chr(10), ' ')) AS one_line, md5(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')) AS ascii_only, md5(text[11:]) AS without_echo FROM documents",
-    "model_output": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' </think>x' ELSE p_name END AS answer, replace(p_brand, '#', '-') AS model, 'Q' || p_partkey AS id FROM part",
+    "model_output": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name END AS answer, replace(p_brand, '#', '-') AS model, 'Q' || p_partkey AS id FROM part",
     "answer_contracts": """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN '["' || p_name || '", "' || p_type || '"]' WHEN 4 THEN '7' ELSE p_type END AS en, CASE p_partkey % 5 WHEN 0 THEN 'alias_match' ELSE 'no_match' END AS verdict FROM part""",
     "non_null_counts": "SELECT lang, count(doc_id) AS doc_id, count(text) AS text, count(source) AS source, count(n_chars) AS n_chars FROM documents GROUP BY 1",
     "bin_edges": f"{with_views('s')} SELECT unnest(range((floor(min(sitelinks) / {samples.WIDTH}.0) * {samples.WIDTH})::BIGINT, ((floor(max(sitelinks) / {samples.WIDTH}.0) + 2) * {samples.WIDTH})::BIGINT + 1, {samples.WIDTH})) AS edge FROM s",

@@ -92,7 +92,7 @@ def test_prompt_parts(spark):
 
 
 def test_model_output(spark):
-    assert column(spark, ["a</think>\n b </think>c", "x\n y", "z"], text.without_thoughts("x")) == ["b </think>c", "y", "z"]
+    assert column(spark, ["a</think>\n b </think>c", "x\n y", "z"], text.without_thoughts("x")) == ["b", "y", "z"]
     assert column(spark, ["prompt and answer"], text.without_echo("x", F.lit("prompt"))) == [" and answer"]
     assert column(spark, ["property_pob_Qwen3-8B_prov.csv", "property_pob_phi-4.csv", "other.csv"], text.model_of("x", "property_pob")) == ["Qwen3-8B", "phi-4", ""]
     assert column(spark, ["Hi {} $1"], text.fill("x", F.lit("$0 {}"))) == ["Hi $0 {} $1"]

@@ -4,7 +4,7 @@ import urllib.error
 import pytest
 
 from kgloom import providers
-from kgloom.operators import grading
+from kgloom.operators import grading, inference
 from kgloom.plans import plots
 from kgloom.schemas import ANSWERS, PROPERTIES, VERDICTS, requested
 from kgloom.sources import files, places, sparql
@@ -127,6 +127,25 @@ def test_stream_grades_each_key_once(spark, tmp_path):
     assert run([1, 2, 2]) == ["1", "2"] and run([2, 3]) == ["1", "2", "3"]
 
 
+def test_inference(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    samples = spark.createDataFrame([("Q1", "en", "dob", "fr", "['x']", "## say\n", "## when?"), ("Q2", "en", "dob", "de", "['y']", "## say ", "## where?")], "Q_number string, LoE string, property string, LoQ string, gt string, instruction string, question string")
+
+    def answer(batch):
+        return pd.Series([m[-1]["content"] + "<think>no</think> yes </think> 7 " for m in batch["input"]])
+
+    class Echo:
+        def generate(self, rows):
+            return providers.Called(answer, "llm_output", tasks=2).generate(rows).withColumn("previous", F.element_at("input", -1)["content"])
+
+    assert inference.settings("Qwen/Qwen3-14B") == {"max_new_tokens": 128, "do_sample": True, "temperature": 0.6, "batch_size": 128, "enable_thinking": False}
+    got = rows(inference.infer(samples, "google/gemma-2-9b-it", Echo()))
+    assert [r[5:] for r in got] == [("<think>no</think> yes </think> 7", "## say ## when?"), ("<think>no</think> yes </think> 7", "## say ## where?")]
+    assert [r[5] for r in rows(inference.infer(samples, "deepseek-ai/DeepSeek-R1-Distill", Echo(), "user"))] == ["yes", "yes"]
+
+
 def test_places_are_resolved_once_each(spark):
     asked = []
 
