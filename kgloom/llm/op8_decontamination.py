@@ -74,17 +74,16 @@ def postings(corpus: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def alignments(index: DataFrame, seed: DataFrame) -> DataFrame:
-    """(doc, item_id, start): where item word 0 would stand in a document in which all seeds of some window fit.
+    """(doc, item_id, start): where item word 0 would stand in a document in which both seeds of some window fit.
 
-    Lists are adjusted by offset and intersected from the rarest term; a start may be negative.
+    Lists are adjusted by offset and intersected from the rarest term, window by window; a start may be negative.
     """
-    of = lambda r: seed.where(F.col("r") == r).select("term", "item_id", "off").distinct()
-    start = (F.col("pos") - F.col("off")).alias("start")
-    first = index.join(small(of(1)), "term").select("doc", "item_id", start).distinct()
-    both = seed.where("r = 1").select("item_id", "at").join(seed.where("r = 2").select("item_id", "at", "off", "term"), ["item_id", "at"], "left")
-    alone = both.where("off is null").select("item_id").distinct()
-    then = index.join(small(of(2)), "term").select("doc", "item_id", start).distinct()
-    return first.join(then, ["doc", "item_id", "start"], "left_semi").unionByName(first.join(small(alone), "item_id", "left_semi").select("doc", "item_id", "start")).distinct()
+    of = lambda r, off: seed.where(F.col("r") == r).select("item_id", "at", "term", F.col("off").alias(off))
+    placed = lambda r, off: index.join(small(of(r, off).drop("at").distinct()), "term").select("doc", "item_id", (F.col("pos") - F.col(off)).alias("start"), off).distinct()
+    both = of(1, "off").drop("term").join(of(2, "off2").drop("term"), ["item_id", "at"], "left").select("item_id", "off", "off2").distinct()
+    first = placed(1, "off").join(small(both), ["item_id", "off"])
+    paired = first.where("off2 is not null").join(placed(2, "off2"), ["doc", "item_id", "start", "off2"], "left_semi")
+    return paired.unionByName(first.where("off2 is null")).select("doc", "item_id", "start").distinct()
 
 
 def verified(found: DataFrame, corpus: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
