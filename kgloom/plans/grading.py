@@ -49,7 +49,7 @@ def pairs(spark, d: str) -> DataFrame:
 
 def overlap(spark, d: str) -> DataFrame:
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("gt"), F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("llm_output"))
-    return rounded(scorers.score(p, "overlap"))
+    return rounded(scorers.score(p, "overlap").drop("METEOR_ordered"))
 
 
 QUERIES = {

@@ -293,3 +293,20 @@ def test_harvest_by_hand(spark):
 def test_links_count_on_wikipedia_only(spark):
     links = spark.createDataFrame([("a", u) for u in ("https://en.wikipedia.org/", "https://zh-yue.wikipedia.org/", "https://en.wikiquote.org/", "http://en.wikipedia.org/", "https://en.wikipedia.org/wiki/X", "https://www.wikidata.org/", "https://en.wikipedia.org/")], "entity string, site string")
     assert rows(kg.link_counts(links)) == [("a", 3)] and rows(kg.sitelinks(links, "a")) == [("https://en.wikipedia.org/",), ("https://zh-yue.wikipedia.org/",)]
+
+
+def test_common_subsequences_and_runs():
+    r = random.Random(8)
+    for _ in range(200):
+        a, b = (["abcd"[r.randrange(4)] for _ in range(r.randint(0, 90))] for _ in "xy")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j, x=x, row=row: row[j - 1] + 1 if b[j - 1] == x else max(row[j], left), initial=0))
+        assert scorers.common_subsequence(a, b) == row[-1]
+    assert scorers.runs("a b c d".split(), "a b x c d".split()) == 2 and scorers.runs("b a".split(), "a b".split()) == 2 and scorers.runs(["a"], ["b"]) == 0 and scorers.runs("a a b".split(), "a b a".split()) == 3
+
+
+def test_order_lowers_meteor(spark):
+    df = spark.createDataFrame([("a b c d", "a b c d"), ("a b c d", "d c b a"), ("a b c d", "")], "gt string, llm_output string")
+    got = [(round(r["METEOR"], 6), round(r["METEOR_ordered"], 6)) for r in scorers.score(df, "overlap").collect()]
+    assert got == [(1.0, round(1 - 0.5 / 64, 6)), (1.0, 0.5), (0.0, 0.0)]
