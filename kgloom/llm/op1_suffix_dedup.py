@@ -22,6 +22,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +180,7 @@ def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     yield done(held)
                     held, size = [], 0
                 continue
-            ends = np.cumsum(np.array([len(x) for x in t["bytes"].to_pylist()]))
+            ends = np.cumsum(pc.binary_length(t["bytes"]).to_numpy())
             n = min(len(t), int(np.searchsorted(ends, ARRAY_BYTES - size)) + 1)
             held.append(t.slice(0, n))
             size += int(ends[n - 1])
