@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, chunks, components, cut, mix, texts, without, words
+from .common import CHUNK, Hasher, chunks, components, cut, few, mix, texts, without, words
 
 #: The query's words a shingle and least similarity in percent; those of the pipeline's stage.
 WIDTH, PERCENT = 4, 85
 STAGE_WIDTH, STAGE_PERCENT = 5, 80
 #: Tokens in more documents than this are frequent. Tokens of a document for each subclass of frequent ones.
 RARE, SUBCLASS = 8, 32
+#: Parts of what a document shares with a pivot, in which pairs are sought.
+PARTS = 16
 #: Tasks forget the sets they have seen after so many.
 SEEN = 1 << 17
 SETS = "doc long, n long, inside long, s1 long, s2 long"
@@ -163,11 +165,20 @@ def entries(n: int, inside: int, token: np.ndarray, often: np.ndarray, percent:
 
 def entry_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, n, inside, tokens = (batch.column(c).to_pylist() for c in ("doc", "n", "inside", "tokens"))
-        for i, n_, c, t in zip(ids, n, inside, tokens, strict=True):
-            token, often = np.array([x["token"] for x in t], np.int64).view(np.uint64), np.array([x["often"] for x in t])
-            e = entries(n_, c, token, often, percent)
-            yield frame("entry long, doc long, n long", e.view(np.int64), np.full(len(e), i), np.full(len(e), n_))
+        ids, n, inside = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "n", "inside"))
+        lists = batch.column("tokens")
+        at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        flat = lists.flatten()
+        token, often = flat.field("token").to_numpy(zero_copy_only=False).view(np.uint64), flat.field("often").to_numpy(zero_copy_only=False)
+        held, size = [], 0
+        for i in range(len(ids)):
+            e = entries(int(n[i]), int(inside[i]), token[at[i] : at[i + 1]], often[at[i] : at[i + 1]], percent)
+            held.append((i, e))
+            size += len(e)
+            if size >= CHUNK or i + 1 == len(ids):
+                rows = np.repeat([k for k, _ in held], [len(x) for _, x in held]).astype(np.int64)
+                yield frame("entry long, doc long, n long", np.concatenate([x for _, x in held]).view(np.int64), ids[rows], n[rows])
+                held, size = [], 0
 
 
 def packed_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -197,8 +208,9 @@ def token_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def packed(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc, tokens): whole sets of some documents, each one binary value."""
-    return cut(docs.join(ids.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text").mapInArrow(partial(packed_sets, width=width), "doc long, tokens binary"), rebalance=False, free=True)
+    """(doc, tokens): whole sets of some documents, each one binary value. Up to half a million ids are broadcast, so that texts aren't shuffled."""
+    wanted = few(cut(ids.select(F.col("doc").alias("doc_id")).distinct()), 500_000)
+    return cut(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(packed_sets, width=width), "doc long, tokens binary"), rebalance=False, free=True)
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,7 +235,9 @@ def remaining(star: DataFrame, first: DataFrame, comp: DataFrame, sets: DataFram
     Two documents that share an index entry share its pivot. o is what a document shares with the pivot, u how many of
     its tokens no other document here has. Neither these nor more than the lesser o can be shared, so a pair shares
     min(o) + min(n - o - u) tokens at most. As a document shares n - u at most, it can only be similar to
-    documents of up to ``most`` tokens; those fall into few bands of sizes, in which pairs are sought.
+    documents of up to ``most`` tokens; and as similar documents share the percentage of the larger one at least, the smaller one's o reaches
+    that less the larger one's n - o - u. So pairs are sought inside bands of sizes and parts of o, and only where these hold
+    several components: a cluster that is connected already, beside the pivot's, is never paired with itself.
     """
     got = first.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), F.col("shared").alias("o"))
     label = star.join(comp, F.col("doc") == F.col("id"), "left").select("pivot", "doc", "n", F.coalesce("component_id", "doc").alias("c"))
@@ -233,17 +247,21 @@ def remaining(star: DataFrame, first: DataFrame, comp: DataFrame, sets: DataFram
     lone = sets.join(here, "doc").mapInArrow(token_pairs, TOKENS).groupBy("token").agg(F.count("*").alias("_k"), F.min("doc").alias("doc")).where("_k = 1").groupBy("doc").agg(F.count("*").alias("u"))
     rest = rest.join(lone, "doc", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     rest = cut(rest.withColumn("most", F.floor((F.col("n") - F.col("u")) * (100 + percent) / percent) - F.col("n")))
-    up_to = F.least("most", "n")
-    small = rest.where("most >= n").withColumn("band", band(F.col("n")))
-    least = F.ceil(F.col("n") * percent / 100)
-    large = rest.where(up_to >= least).withColumn("band", F.explode(F.sequence(band(F.greatest(F.lit(1), least)), band(up_to))))
-    mixed = small.select("pivot", "band", "c").unionByName(large.select("pivot", "band", "c")).groupBy("pivot", "band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("pivot", "band")
-    large = large.select("pivot", "band", *(F.col(c).alias("_" + c) for c in ("doc", "n", "c", "o", "u", "most")))
+    up_to, n = F.least("most", "n"), F.col("n")
+    least = F.ceil(n * percent / 100)
+    # parts of o in the size; -1 for documents that weren't compared with the pivot, which may go with any
+    part = lambda o: F.floor(o * PARTS / n).cast("int")
+    small = rest.where("most >= n").withColumns({"band": band(n), "part": F.coalesce(part(F.col("o")), F.lit(-1))})
+    parts = F.sequence(F.coalesce(part(F.greatest(F.lit(0), F.floor(n * percent / 100) - (n - F.col("o") - F.col("u")))), F.lit(0)), F.lit(PARTS))
+    large = rest.where(up_to >= least).withColumn("band", F.explode(F.sequence(band(F.greatest(F.lit(1), least)), band(up_to)))).withColumn("part", F.explode(F.array_append(parts, -1)))
+    key = ["pivot", "band", "part"]
+    mixed = small.select(*key, "c").unionByName(large.select(*key, "c")).groupBy(*key).agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select(*key)
+    large = large.select(*key, *(F.col(c).alias("_" + c) for c in ("doc", "n", "c", "o", "u", "most")))
     inside = F.least("o", "_o") + F.least(F.col("n") - F.col("o") - F.col("u"), F.col("_n") - F.col("_o") - F.col("_u"))
     bound = F.when(F.col("o").isNotNull() & F.col("_o").isNotNull(), inside).otherwise(F.least(F.col("n") - F.col("u"), F.col("_n") - F.col("_u")))
     fits_ = (F.col("c") != F.col("_c")) & (F.col("n") <= F.least("_most", "_n")) & (F.col("_n") <= F.col("most"))
-    small = cut(small.join(mixed, ["pivot", "band"]))
-    pairs = small.join(large, ["pivot", "band"]).where(fits_ & enough(bound, F.col("n"), F.col("_n"), percent))
+    small = cut(small.join(mixed, key))
+    pairs = small.join(large, key).where(fits_ & enough(bound, F.col("n"), F.col("_n"), percent))
     return pairs.select(F.least("doc", "_doc").alias("a"), F.greatest("doc", "_doc").alias("b")).distinct()
 
 

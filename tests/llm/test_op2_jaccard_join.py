@@ -137,3 +137,16 @@ def test_stage_drops_copies_of_four_fifths(spark, docs_of):
     assert [r["doc_id"] for r in out] == [1]
     out = op.stage(spark, docs_of([rows[0], rows[2]]), "").collect()
     assert sorted(r["doc_id"] for r in out) == [1, 3]
+
+
+def test_clusters_beside_the_pivots_against_brute_force(prose, docs_of):
+    """Families that share a long passage, each of copies near to one another and not to the others, with bridges between some."""
+    passage, rows = prose.words(150), []
+    for _ in range(4):
+        own = prose.words(150)
+        rows += [" ".join([*passage, *changed(prose, own, prose.r.randint(0, 8))]) for _ in range(12)]
+        rows += [" ".join([*passage[: prose.r.randint(60, 150)], *own]) for _ in range(6)]
+        rows += [" ".join([*changed(prose, passage, 12), *own]) for _ in range(4)]
+    prose.r.shuffle(rows)
+    rows = list(enumerate(rows))
+    assert got(op.classes(docs_of(rows))) == brute(rows)
