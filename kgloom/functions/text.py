@@ -41,17 +41,34 @@ def folds() -> tuple[dict[str, str], dict[str, str]]:
     return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
 
 
+def ranges(chars: str) -> str:
+    """A regular expression's class of some characters."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
 def folded(x: Column) -> Column:
-    """Unicode's full case folding: lower case, then the characters that it leaves; those that become several are rare, ß aside."""
+    """Unicode's full case folding: lower case, then the characters that it leaves.
+
+    ß aside, those are rare: a test for one range, then for all of them, spares most texts the work.
+    """
     one, several = folds()
-    low = F.translate(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), "".join(one), "".join(one.values()))
+    left = "".join({**one, **several}.keys() - {"ß"})
+    latin = "".join(c for c in left if ord(c) < 0x100)
+    beyond = min(ord(c) for c in left if ord(c) >= 0x100)
     table = F.create_map(*(F.lit(v) for kv in several.items() for v in kv))
 
     def each(t: Column) -> Column:
-        letters = F.regexp_extract_all(t, F.lit(r"(?s)."), F.lit(0))
+        letters = F.regexp_extract_all(F.translate(t, "".join(one), "".join(one.values())), F.lit(r"(?s)."), F.lit(0))
         return F.array_join(F.transform(letters, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
 
-    return let(low, lambda t: F.when(F.rlike(t, F.lit(f"[{''.join(several)}]")), each(t)).otherwise(t))
+    low = F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    return let(low, lambda t: F.when(F.rlike(t, F.lit(f"[{latin}\\x{{{beyond:x}}}-\\x{{10ffff}}]")) & F.rlike(t, F.lit(ranges(left))), each(t)).otherwise(t))
 
 
 def casefold(x: Column | str) -> Column:
