@@ -3,8 +3,8 @@
 A document is kept if it passes the base rules and both its whole ratio and those of all its chunks lie within the
 band for the length: above it text is repetitive, below it incompressible. A band is what two limits leave: fixed ones
 (``BANDS``), which hold for any corpus, and ones fitted on all the corpus, which are much narrower. Those are, for each half octave of
-lengths, the quartiles of the logarithm of the ratio, widened by FENCE times their distance and at least to WIDTH around the median, over all
-different texts that pass the base rules; whole texts and chunks apart. A class of fewer than LEAST texts has the fixed limits only.
+lengths, the quartiles of the logarithm of the ratio, widened by FENCE times their distance and at least to BELOW under and ABOVE over the median (noise compresses far less than prose, so that
+side can be wide), over all different texts that pass the base rules; whole texts and chunks apart. A class of fewer than LEAST texts has the fixed limits only.
 Every byte of a text of a chunk or more lies in a chunk: what follows the last full one is a chunk of its own or, if too
 short for a band, part of the last full one. Texts under the first length have no band.
 
@@ -32,8 +32,8 @@ from .common import Hasher, chunks, cut, texts, words
 BANDS = ((256, 1.15, 3.5), (320, 1.2, 3.5), (448, 1.25, 3.5), (512, 1.28, 4.0), (768, 1.32, 4.0), (1024, 1.4, 4.5), (2048, 1.5, 4.5), (4096, 1.5, 5.5), (16384, 1.5, 7.0))
 #: The band of each full chunk.
 CHUNK_BYTES, CHUNK_BAND, LEVEL = 4096, (1.5, 6.0), 3
-#: Of fitted limits: times the distance of the quartiles, least distance from the median, and least texts of a class.
-FENCE, WIDTH, LEAST = 2.5, 0.08, 50
+#: Of fitted limits: times the distance of the quartiles, least distances from the median, and least texts of a class.
+FENCE, BELOW, ABOVE, LEAST = 2.5, 0.2, 0.08, 50
 #: Logarithms of ratios are counted in steps of this.
 STEP = 0.001
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, in_fixed boolean, ratio double, n_chunks long, n_chunks_out long, size long, digest long, chunk_sizes array<int>, chunk_ratios array<double>"
@@ -152,7 +152,7 @@ def limits(measured: DataFrame, least: int = LEAST) -> list[tuple[bool, int, flo
     reached = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), F.col("step"))) * STEP
     fit = count.groupBy("chunk", "class").agg(F.max("_all").alias("_all"), reached(0.25).alias("a"), reached(0.5).alias("m"), reached(0.75).alias("b")).where(F.col("_all") >= least)
     wide = FENCE * (F.col("b") - F.col("a"))
-    low, high = F.least(F.col("a") - wide, F.col("m") - WIDTH), F.greatest(F.col("b") + wide, F.col("m") + WIDTH)
+    low, high = F.least(F.col("a") - wide, F.col("m") - BELOW), F.greatest(F.col("b") + wide, F.col("m") + ABOVE)
     return [tuple(r) for r in fit.select("chunk", "class", low, high).orderBy("chunk", "class").collect()]
 
 

@@ -101,7 +101,7 @@ def test_limits_against_brute_force(prose, docs_of):
     for k, v in by.items():
         if len(v) >= 5:
             a, m, b = (sorted(v)[max(0, math.ceil(q * len(v)) - 1)] for q in (0.25, 0.5, 0.75))
-            want[k] = (min(a - op.FENCE * (b - a), m - op.WIDTH), max(b + op.FENCE * (b - a), m + op.WIDTH))
+            want[k] = (min(a - op.FENCE * (b - a), m - op.BELOW), max(b + op.FENCE * (b - a), m + op.ABOVE))
     got = {(c, k): (lo, hi) for c, k, lo, hi in op.limits(measured, 5)}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=0.005) for k in want)
 
