@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,9 +96,10 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def sweep(spark: SparkSession, app: str) -> None:
-    """Deletes what an application has written to the shared folder, at its end."""
-    for path in sorted(_ours.get(app, ())):
-        drop(spark, path)
+    """Deletes what an application has written to the shared folder, at its end; nothing can be deleted once the JVM is gone."""
+    with contextlib.suppress(Py4JError, ConnectionError, AttributeError):
+        for path in sorted(_ours.get(app, ())):
+            drop(spark, path)
 
 
 def cut(df: DataFrame, rebalance: bool = True, free: bool = False) -> DataFrame:
