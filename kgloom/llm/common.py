@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 MASK = (1 << 64) - 1
 #: Text bytes that a numpy step works on at once; a single longer text is taken whole.
 CHUNK = 1 << 17
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -113,7 +114,12 @@ def cut(df: DataFrame, rebalance: bool = True, free: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark)
-    (df.hint("rebalance") if rebalance else df).write.parquet(path)
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, "8m")  # Arrow's buffers lie outside the heap, several of a batch's size for each task
+    try:
+        (df.hint("rebalance") if rebalance else df).write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_BYTES, before) if before else spark.conf.unset(BATCH_BYTES)
     out = spark.read.schema(df.schema).parquet(path)
     if free:
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
