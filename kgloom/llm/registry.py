@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import op1_suffix_dedup, op2_jaccard_join, op3_html, op4_language, op5_url_filters, op6_sharding, op7_quality, op8_decontamination, op9_mixing, op10_licenses
+from . import op1_suffix_dedup, op2_jaccard_join, op3_html, op4_language, op5_url_filters, op6_sharding, op7_quality, op8_decontamination, op9_mixing, op10_licenses, op11_prefix_trie, op12_structure_repair, oracles
 
 
 
@@ -46,6 +46,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination.query,
     "op9_mixing": op9_mixing.query,
     "op10_licenses": op10_licenses.query,
+    "op11_prefix_trie": op11_prefix_trie.query,
+    "op12_structure_repair": op12_structure_repair.query,
     # parts of the above that SQL can express
     "url_rules": lambda spark, d: op5_url_filters.query(spark, d).select("page_id", "host", "path", "rule"),
     "shard_checks": shard_checks,
@@ -62,6 +64,8 @@ WORDS_2 = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'A
 WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
 
 ORACLES = {
+    "op11_prefix_trie": oracles.TRIE,
+    "op12_structure_repair": oracles.REPAIR,
     "op1_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT doc_id, k, h[2 * k + 1:2 * k + 200] AS t FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS k FROM d WHERE len(h) >= 200)),
