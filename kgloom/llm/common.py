@@ -203,10 +203,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (bytes other than white space, never across texts), and for each text the index of its first word."""
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (bytes other than white space or other gaps, never across texts), and for each text the index of its first word."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~SPACE[data]
+    inside[1:-1] = ~gaps[data]
     first, last = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
     edge = offsets[(offsets > 0) & (offsets < len(data))]
     edge = edge[inside[edge] & inside[edge + 1]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import op1_suffix_dedup, op2_jaccard_join, op3_html, op4_language, op5_url_filters, op6_sharding, op7_quality, op8_decontamination, op9_mixing, op10_licenses, op11_prefix_trie, op12_structure_repair, oracles
+from . import op1_suffix_dedup, op2_jaccard_join, op3_html, op4_language, op5_url_filters, op6_sharding, op7_quality, op8_decontamination, op9_mixing, op10_licenses, op11_prefix_trie, op12_structure_repair, op13_toxicity, oracles
 
 
 
@@ -48,6 +48,7 @@ QUERIES = {
     "op10_licenses": op10_licenses.query,
     "op11_prefix_trie": op11_prefix_trie.query,
     "op12_structure_repair": op12_structure_repair.query,
+    "op13_toxicity": op13_toxicity.query,
     # parts of the above that SQL can express
     "url_rules": lambda spark, d: op5_url_filters.query(spark, d).select("page_id", "host", "path", "rule"),
     "shard_checks": shard_checks,
