@@ -32,7 +32,7 @@ from .common import CHUNK, Hasher, chunks, cut, few, mix, texts, words
 BITS = 24
 MASK = np.uint64((1 << BITS) - 1)
 #: The sample: rows of each label, bytes of a row, and bytes of all rows of a label at most.
-ROWS, ROW_BYTES, BYTES = 8_000, 32_768, 24 << 20
+ROWS, ROW_BYTES, BYTES = 8_000, 32_768, 16 << 20
 #: FTRL-proximal: rate, its damping, penalties on the sums of weights and of their squares, and passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 4.0, 0.01, 6
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -73,15 +73,13 @@ def key(of: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, bias: float) -> Weights:
     """rows: each example's buckets; weight: of each example. The bias, feature of every row, starts at the log odds and isn't penalised."""
-    known, flat = np.unique(np.concatenate(rows), return_inverse=True)
-    bounds = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-    z, n = np.zeros(len(known)), np.zeros(len(known))
+    z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     bias_n, order = 0.0, np.random.default_rng(13)
     weights = lambda z, n: np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)):
-            at = flat[bounds[i] : bounds[i + 1]]
-            zi, ni = z[at], n[at]
+            at = rows[i]
+            zi, ni = z[at].astype(float), n[at].astype(float)
             w = weights(zi, ni)
             p = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35)))
             g = float(weight[i] * (p - labels[i]))
@@ -90,9 +88,8 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, bias: f
             n[at] = up
             bias_n += g * g
             bias -= ALPHA / (BETA + np.sqrt(bias_n)) * g
-    w = weights(z, n)
-    some = np.flatnonzero(w)
-    return Weights(known[some], w[some], bias)
+    some = np.flatnonzero(np.abs(z) > L1)
+    return Weights(some.astype(np.uint64), weights(z[some].astype(float), n[some].astype(float)), bias)
 
 
 def fit(sample: list[tuple[str, int, float]]) -> Weights:
@@ -107,8 +104,8 @@ def fit(sample: list[tuple[str, int, float]]) -> Weights:
     for a, b in chunks(offsets):
         found = np.unique(keys(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
         at = np.searchsorted(found, np.arange(b - a + 1, dtype=np.uint64) << np.uint64(BITS))
-        found &= MASK
-        rows += [found[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        found = (found & MASK).astype(np.uint32)
+        rows += [found[x:y].copy() for x, y in zip(at[:-1], at[1:], strict=True)]
     return ftrl(rows, labels, weight, float(np.log(share / (1 - share))))
 
 
