@@ -96,7 +96,7 @@ def test_limits_against_brute_force(prose, docs_of):
         raw = t.encode()
         for chunk, part in [(False, raw)] + [(True, raw[a:b]) for a, b in op.spans(len(raw))]:
             if len(part) >= 256:
-                by.setdefault((chunk, math.floor(math.log2(len(part)) * 2)), []).append(math.log(len(part) / len(squeeze.compress(part))))
+                by.setdefault((chunk, math.floor(math.log2(len(part)) * 2) * 16 + 4 * len(part) // len(part.decode()) - 4), []).append(math.log(len(part) / len(squeeze.compress(part))))
     want = {}
     for k, v in by.items():
         if len(v) >= 5:
@@ -111,3 +111,22 @@ def test_copies_count_once_for_the_limits(prose, docs_of):
     text = prose.text(200)
     rows = [(i, text) for i in range(300)] + [(1000 + i, prose.text(200)) for i in range(100)]
     assert sum(not r["kept"] for r in op.judge(docs_of(rows)).collect()) <= 1
+
+
+def cyrillic(t):
+    """The same text, letter by letter in another script."""
+    return t.translate({**{ord("a") + i: 0x430 + i for i in range(26)}, **{ord("A") + i: 0x410 + i for i in range(26)}})
+
+
+@pytest.mark.parametrize("n", [20, 120])
+def test_a_rare_script_is_kept(prose, docs_of, n):
+    """Prose in another script, in a class of its own or too rare for one; its noise and its repeats go nevertheless."""
+    rows = [(i, prose.text(prose.r.randint(60, 900))) for i in range(500)]
+    rare = [(1000 + i, cyrillic(prose.text(prose.r.randint(60, 900)))) for i in range(n)]
+    letters = [chr(c) for c in range(0x410, 0x450)]
+    noise = " ".join("".join(prose.r.choice(letters) for _ in range(40)) for _ in range(60))
+    lines = "".join(f"{cyrillic('item number')} {i % 10} {cyrillic('of the list with the very same words')} {i}\n" for i in range(900))
+    out = {r["doc_id"]: r["kept"] for r in op.judge(docs_of(rows + rare + [(3000, noise), (3001, lines)])).collect()}
+    assert sum(not out[i] for i, _ in rare) <= n // 100
+    assert sum(not out[i] for i, _ in rows) <= 5
+    assert not out[3001]
