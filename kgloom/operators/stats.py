@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bins import left_closed
 from ..functions.ks import ks_p
+from .order import quantiles
 
 
 def summarize(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """n, mean, median, std (0 of one row), min, max, p90, p95, p99 by groups; percentiles are exact, with linear interpolation."""
-    p = F.percentile(value, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
+    """n, mean, median, std (0 of one row), min, max, p90, p95, p99 by groups; percentiles are exact, with linear interpolation, and found over counted ranges of values."""
     out = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), p.alias("_p"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
+        F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
     )
-    return out.select(*by, "n", "mean", F.col("_p")[0].alias("median"), "std", "min", "max", *(F.col("_p")[i + 1].alias(c) for i, c in enumerate(("p90", "p95", "p99"))))
+    found = quantiles(df, value, {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, *by).withColumnsRenamed({b: f"_q{i}" for i, b in enumerate(by)})
+    same = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"_q{i}")) for i, b in enumerate(by)), F.lit(True))
+    return out.join(found, same).select(*by, "n", "mean", "median", "std", "min", "max", "p90", "p95", "p99")
 
 
 def non_null_counts(df: DataFrame, *by: str) -> DataFrame:
@@ -24,8 +28,8 @@ def non_null_counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(*(F.count(c).alias(c) for c in df.columns if c not in by))
 
 
-def ranked(df: DataFrame, limit: int, *order) -> DataFrame:
-    """The first ``limit`` rows by an order, with their rank from 1: a report, never a whole table."""
+def top(df: DataFrame, limit: int, *order) -> DataFrame:
+    """The first ``limit`` rows by an order, with their rank from 1: a report of a few rows, not a way to sort a table (``order.numbered``)."""
     return df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import providers
 from ..functions import bins, text
-from ..operators import grading, stats
+from ..operators import grading, order, stats
 from ..schemas import ANSWERS, VERDICTS
-from ..sources import files, sparql
+from ..sources import files
 from . import graph, samples
 from .views import view, with_views
 
@@ -81,9 +81,21 @@ def counted(documents: DataFrame) -> DataFrame:
 
 
 def batch_ids(spark, d: str) -> DataFrame:
-    """Ids in requests of 200."""
-    named = [r[0] for r in ids(spark, d).orderBy(F.length("qid"), "qid").limit(1000).collect()]
-    return spark.createDataFrame([(i, x) for i, b in enumerate(sparql.batches(named, 200)) for x in b], "batch int, qid string")
+    """All ids in requests of 200."""
+    return order.batched(ids(spark, d), 200, F.length("qid"), "qid")
+
+
+def sorted_prompts(spark, d: str) -> DataFrame:
+    """Prompts of all entities by their number of links, the most first."""
+    asked = prompt_rows(spark, d)
+    return order.numbered(asked, F.desc("num_sitelinks"), "Q_number", "language").select("Q_number", "language", "num_sitelinks", "rank")
+
+
+def prompt_rows(spark, d: str) -> DataFrame:
+    """A prompt for each customer and language of its nation's labels, with the customer's links."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("c"), "c_custkey").alias("Q_number"), F.concat(F.lit("n"), "c_nationkey").alias("entity"), F.col("c_acctbal").cast("int").alias("num_sitelinks"))
+    said = view(spark, d, "l").where("kind = 'label'").select("entity", F.col("lang").alias("language"))
+    return c.join(said, "entity").drop("entity")
 
 
 def tools(spark, d: str) -> DataFrame:
@@ -107,7 +119,12 @@ def contracts(spark, d: str) -> DataFrame:
 
 
 def ranked_sets(spark, d: str) -> DataFrame:
-    return stats.ranked(samples.cover(spark, d), 25, F.desc("score"), F.desc("coverage"), "properties")
+    return order.numbered(samples.cover(spark, d), F.desc("score"), F.desc("coverage"), "properties")
+
+
+def sorted_entities(spark, d: str) -> DataFrame:
+    """All entities by links, the most first; entities without a count come last."""
+    return order.numbered(view(spark, d, "s"), F.desc_nulls_last("sitelinks"), "qid")
 
 
 QUERIES = {
@@ -125,12 +142,14 @@ QUERIES = {
     "answer_contracts": contracts,
     "non_null_counts": lambda spark, d: stats.non_null_counts(spark.read.parquet(f"{d}/documents.parquet"), "lang"),
     "bin_edges": lambda spark, d: spark.createDataFrame([(x,) for x in bins.edges(*view(spark, d, "s").agg(F.min("sitelinks"), F.max("sitelinks")).first(), samples.WIDTH)], "edge long"),
-    "top_entities": lambda spark, d: stats.ranked(view(spark, d, "s").select("lang", "qid", "sitelinks"), 100, F.desc_nulls_last("sitelinks"), "qid"),
-    "ranked_value_counts": lambda spark, d: stats.ranked(view(spark, d, "g").groupBy("eval_type").agg(F.count("*").alias("n")), 50, F.desc("n"), "eval_type"),
-    "ranked_names": lambda spark, d: stats.ranked(view(spark, d, "g").select("model", "LoE", "LoQ").distinct(), 1000, "model", "LoE", "LoQ"),
-    "ranked_stages": lambda spark, d: stats.ranked(samples.summary(spark, d).select("stage", "lang", "n"), 100, "stage", "lang"),
-    "ranked_bins": lambda spark, d: stats.ranked(stats.histogram(view(spark, d, "s"), "lang", "sitelinks", samples.WIDTH).select("lang", "bin_lo", "n"), 500, "bin_lo", "lang"),
+    "top_entities": lambda spark, d: stats.top(view(spark, d, "s").select("lang", "qid", "sitelinks"), 100, F.desc_nulls_last("sitelinks"), "qid"),
+    "ranked_value_counts": lambda spark, d: order.numbered(view(spark, d, "g").groupBy("eval_type").agg(F.count("*").alias("n")), F.desc("n"), "eval_type"),
+    "ranked_names": lambda spark, d: order.numbered(view(spark, d, "g").select("model", "LoE", "LoQ").distinct(), "model", "LoE", "LoQ"),
+    "ranked_stages": lambda spark, d: order.numbered(samples.summary(spark, d).select("stage", "lang", "n"), "stage", "lang"),
+    "ranked_bins": lambda spark, d: order.numbered(stats.histogram(view(spark, d, "s"), "lang", "sitelinks", samples.WIDTH).select("lang", "bin_lo", "n"), "bin_lo", "lang"),
     "ranked_sets": ranked_sets,
+    "sorted_entities": sorted_entities,
+    "sorted_prompts": sorted_prompts,
 }
 A = "SELECT " + ", ".join(COLUMNS) + " FROM a"
 COUNTED = f"{graph.DOCS} SELECT qid, labels_count, sitelinks, labels, (c IS NOT NULL)::INT AS P27, (s IS NOT NULL)::INT AS P106 FROM dl"
@@ -143,7 +162,7 @@ ORACLES = {
     "io_cache": f"{with_views('v')} SELECT llm_output, gt_raw, match_type, 0 AS before FROM v",
     "io_entities_object": COUNTED,
     "io_entities_lines": COUNTED,
-    "batch_ids": "SELECT ((row_number() OVER (ORDER BY len(q), q) - 1) // 200)::INT AS batch, q AS qid FROM (SELECT 'Q' || c_custkey AS q FROM customer) QUALIFY row_number() OVER (ORDER BY len(q), q) <= 1000",
+    "batch_ids": "SELECT ((row_number() OVER (ORDER BY len(q), q) - 1) // 200)::BIGINT AS batch, q AS qid FROM (SELECT 'Q' || c_custkey AS q FROM customer)",
     "text_tools": "SELECT doc_id, md5(replace(text, chr(10), ' ')) AS one_line, md5(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')) AS ascii_only, md5(text[11:]) AS without_echo FROM documents",
     "model_output": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name END AS answer, replace(p_brand, '#', '-') AS model, 'Q' || p_partkey AS id FROM part",
     "answer_contracts": """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN '["' || p_name || '", "' || p_type || '"]' WHEN 4 THEN '7' ELSE p_type END AS en, CASE p_partkey % 5 WHEN 0 THEN 'alias_match' ELSE 'no_match' END AS verdict FROM part""",
@@ -151,8 +170,11 @@ ORACLES = {
     "bin_edges": f"{with_views('s')} SELECT unnest(range((floor(min(sitelinks) / {samples.WIDTH}.0) * {samples.WIDTH})::BIGINT, ((floor(max(sitelinks) / {samples.WIDTH}.0) + 2) * {samples.WIDTH})::BIGINT + 1, {samples.WIDTH})) AS edge FROM s",
     "top_entities": f"{with_views('s')} SELECT lang, qid, sitelinks, row_number() OVER (ORDER BY sitelinks DESC NULLS LAST, qid) AS rank FROM s QUALIFY rank <= 100",
     "ranked_value_counts": f"{with_views('g')} SELECT *, row_number() OVER (ORDER BY n DESC, eval_type) AS rank FROM (SELECT eval_type, count(*) AS n FROM g GROUP BY 1)",
-    "ranked_names": f"{with_views('g')} SELECT *, row_number() OVER (ORDER BY model, LoE, LoQ) AS rank FROM (SELECT DISTINCT model, LoE, LoQ FROM g) QUALIFY rank <= 1000",
+    "ranked_names": f"{with_views('g')} SELECT *, row_number() OVER (ORDER BY model, LoE, LoQ) AS rank FROM (SELECT DISTINCT model, LoE, LoQ FROM g)",
     "ranked_stages": f"{samples.MATCHED}, u AS (SELECT lang, 'matched' AS stage FROM m UNION ALL SELECT lang, 'original' FROM s WHERE sitelinks IS NOT NULL), c AS (SELECT stage, lang, count(*) AS n FROM u GROUP BY 1, 2) SELECT *, row_number() OVER (ORDER BY stage, lang) AS rank FROM c",
-    "ranked_bins": f"{samples.BINS} SELECT *, row_number() OVER (ORDER BY bin_lo, lang) AS rank FROM h QUALIFY rank <= 500",
-    "ranked_sets": samples.ORACLES["property_coverage"].replace("SELECT array_to_string", "SELECT *, row_number() OVER (ORDER BY score DESC, coverage DESC, properties) AS rank FROM (SELECT array_to_string") + ") QUALIFY rank <= 25",
+    "ranked_bins": f"{samples.BINS} SELECT *, row_number() OVER (ORDER BY bin_lo, lang) AS rank FROM h",
+    "ranked_sets": samples.ORACLES["property_coverage"].replace("SELECT array_to_string", "SELECT *, row_number() OVER (ORDER BY score DESC, coverage DESC, properties) AS rank FROM (SELECT array_to_string") + ")",
+    "sorted_entities": f"{with_views('s')} SELECT lang, qid, sitelinks, row_number() OVER (ORDER BY sitelinks DESC NULLS LAST, qid) AS rank FROM s",
+    "sorted_prompts": f"""{with_views('l')}, p AS (SELECT 'c' || c_custkey AS Q_number, lang AS language, trunc(c_acctbal)::INT AS num_sitelinks FROM customer JOIN l ON entity = 'n' || c_nationkey AND kind = 'label')
+SELECT *, row_number() OVER (ORDER BY num_sitelinks DESC, Q_number, language) AS rank FROM p""",
 }

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
+import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,13 +28,43 @@ def shared(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="kgloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_ours: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new place in the shared folder."""
-    return f"{shared(spark)}/exchange-{uuid.uuid4().hex}"
+    """A new place in the shared folder, deleted when this application ends."""
+    app, path = spark.sparkContext.applicationId, f"{shared(spark)}/exchange-{uuid.uuid4().hex}"
+    if app not in _ours:
+        _ours[app] = []
+        atexit.register(sweep, spark, app)
+    _ours[app].append(path)
+    return path
+
+
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def sweep(spark: SparkSession, app: str) -> None:
+    """Deletes what an application has put in scratch places; nothing can be deleted once the JVM is gone."""
+    with contextlib.suppress(Py4JError, ConnectionError, AttributeError):
+        for path in _ours.pop(app, ()):
+            fs, at = filesystem(spark, path)
+            fs.delete(at, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, and any executor can read it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
