@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import providers
 from ..functions import bins, text
-from ..operators import grading, order, stats
+from ..operators import grading, inference, order, prompts, stats
 from ..schemas import ANSWERS, VERDICTS
-from ..sources import files
+from ..sources import caches, files
 from . import graph, samples
 from .views import view, with_views
 
@@ -63,6 +63,15 @@ def cache(spark, d: str) -> DataFrame:
     return files.read_cache(spark, path, VERDICTS).withColumn("before", F.lit(before))
 
 
+def cache_upsert(spark, d: str) -> DataFrame:
+    """Orders' states by key, put twice: the second takes the place of some rows, adds others, and of two with a key the later order counts."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("at"), F.col("o_orderstatus").alias("state"))
+    cache = caches.Cache(spark, files.scratch(spark), "k long, at long, state string", ("k",), 8)
+    cache.put(o.where("k % 3 != 0").withColumn("state", F.lit("old")), latest="at")
+    cache.put(o.where("k % 2 = 0"), latest="at")
+    return cache.read()
+
+
 def entities_object(spark, d: str) -> DataFrame:
     path = files.scratch(spark)
     files.write_entity_object(graph.documents(spark, d), path)
@@ -98,6 +107,37 @@ def prompt_rows(spark, d: str) -> DataFrame:
     return c.join(said, "entity").drop("entity")
 
 
+def model_samples(spark, d: str) -> DataFrame:
+    """A sample for each part."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return p.select(F.concat(F.lit("p"), "p_partkey").alias("Q_number"), F.lit("en").alias("LoE"), F.lit("en").alias("LoQ"), F.lit("name").alias("property"), F.col("p_brand").alias("gt"), F.concat("p_type", F.lit(". ")).alias("instruction"), F.col("p_name").alias("question"))
+
+
+MODELS = ("google/gemma-2-9b-it", "moonshotai/Moonlight-16B-A3B-Instruct")
+
+
+def inference_batches(spark, d: str) -> DataFrame:
+    """The batches that each model gets, with what padding adds."""
+
+    def of(model: str) -> DataFrame:
+        asked = model_samples(spark, d).withColumn("input", prompts.chat(F.lit(prompts.layout_of(model))))
+        found = inference.in_batches(asked, inference.settings(model)["batch_size"])
+        return inference.batch_report(found).select(F.lit(model).alias("model"), "batch", "n", "longest", "padding")
+
+    return of(MODELS[0]).unionByName(of(MODELS[1]))
+
+
+def backwards(batch: list, how: dict) -> list[str]:
+    """A model that says what it is asked backwards, and how many it is asked together."""
+    return [f"{len(batch)} {m[-1]['content'][::-1]}" for m in batch]
+
+
+def inference_answers(spark, d: str) -> DataFrame:
+    """Answers of a model that is asked in batches of the size of its settings."""
+    generator = inference.Batched(MODELS[1], backwards)
+    return inference.infer(model_samples(spark, d), MODELS[1], generator)
+
+
 def tools(spark, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", F.md5(text.one_line("text")).alias("one_line"), F.md5(text.ascii_only("text")).alias("ascii_only"), F.md5(text.without_echo("text", F.substring("text", 1, 10))).alias("without_echo"))
@@ -134,6 +174,7 @@ QUERIES = {
     "io_csv_texts": csv_texts,
     "io_split_by_property": split,
     "io_cache": cache,
+    "cache_upsert": cache_upsert,
     "io_entities_object": entities_object,
     "io_entities_lines": entities_lines,
     "batch_ids": batch_ids,
@@ -150,6 +191,8 @@ QUERIES = {
     "ranked_sets": ranked_sets,
     "sorted_entities": sorted_entities,
     "sorted_prompts": sorted_prompts,
+    "inference_batches": inference_batches,
+    "inference_answers": inference_answers,
 }
 A = "SELECT " + ", ".join(COLUMNS) + " FROM a"
 COUNTED = f"{graph.DOCS} SELECT qid, labels_count, sitelinks, labels, (c IS NOT NULL)::INT AS P27, (s IS NOT NULL)::INT AS P106 FROM dl"
@@ -160,6 +203,7 @@ ORACLES = {
     "io_csv_texts": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "io_split_by_property": f"{with_views('a')} SELECT property, 'm' || (len(llm_output) % 3) AS model, count(*) AS n, count(*) FILTER (len(llm_output) % 3 = 1) AS n_again FROM a GROUP BY 1, 2",
     "io_cache": f"{with_views('v')} SELECT llm_output, gt_raw, match_type, 0 AS before FROM v",
+    "cache_upsert": "SELECT o_custkey AS k, max(o_orderkey) AS at, CASE WHEN o_custkey % 2 = 0 THEN arg_max(o_orderstatus, o_orderkey) ELSE 'old' END AS state FROM orders WHERE o_custkey % 3 <> 0 OR o_custkey % 2 = 0 GROUP BY o_custkey",
     "io_entities_object": COUNTED,
     "io_entities_lines": COUNTED,
     "batch_ids": "SELECT ((row_number() OVER (ORDER BY len(q), q) - 1) // 200)::BIGINT AS batch, q AS qid FROM (SELECT 'Q' || c_custkey AS q FROM customer)",
@@ -177,4 +221,12 @@ ORACLES = {
     "sorted_entities": f"{with_views('s')} SELECT lang, qid, sitelinks, row_number() OVER (ORDER BY sitelinks DESC NULLS LAST, qid) AS rank FROM s",
     "sorted_prompts": f"""{with_views('l')}, p AS (SELECT 'c' || c_custkey AS Q_number, lang AS language, trunc(c_acctbal)::INT AS num_sitelinks FROM customer JOIN l ON entity = 'n' || c_nationkey AND kind = 'label')
 SELECT *, row_number() OVER (ORDER BY num_sitelinks DESC, Q_number, language) AS rank FROM p""",
+    "inference_batches": """
+WITH p AS (SELECT 'p' || p_partkey AS q, len(p_type || '. ' || p_name) AS n FROM part),
+b AS (SELECT model, n, (row_number() OVER (PARTITION BY model ORDER BY n, q) - 1) // size AS batch FROM p, (VALUES ('google/gemma-2-9b-it', 256), ('moonshotai/Moonlight-16B-A3B-Instruct', 64)) m(model, size))
+SELECT model, batch, count(*) AS n, max(n)::INT AS longest, (max(n) * count(*) - sum(n))::BIGINT AS padding FROM b GROUP BY 1, 2""",
+    "inference_answers": """
+WITH p AS (SELECT 'p' || p_partkey AS Q_number, p_brand AS gt, p_type || '. ' AS i, p_name AS q FROM part),
+b AS (SELECT *, (row_number() OVER (ORDER BY len(i || q), Q_number) - 1) // 64 AS batch FROM p)
+SELECT Q_number, 'en' AS LoE, 'en' AS LoQ, 'name' AS property, gt, rtrim(count(*) OVER (PARTITION BY batch) || ' ' || reverse(q)) AS llm_output, i || q AS prompt FROM b""",
 }

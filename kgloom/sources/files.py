@@ -103,11 +103,49 @@ def read_model_answers(spark: SparkSession, path: str, prefix: str, schema: str
     return found if not found.isEmpty() else some("*.csv")
 
 
+def members(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value): the members of a JSON object in one file or in the parts of a folder, taken in the order of their names; values are JSON texts.
+
+    The file is read in splits, by as many tasks as it has blocks. A JSON text holds no line break, so each line tells by itself
+    how many brackets it opens and closes; sums over each split and then over the splits give the depth at which it starts. A
+    member begins on a line that starts at depth 1 with a key, and has all lines up to the next one. Only the lines of a
+    member meet in a task. An object on a single line is a split of its own.
+    """
+    lines = spark.read.text(path).withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+    bare = F.regexp_replace("value", r'"(?:[^"\\\\]|\\\\.)*"', "")
+    opened = F.length(F.translate(bare, "}]", "")) - F.length(F.translate(bare, "{[}]", ""))
+    closed = F.length(F.translate(bare, "{[", "")) - F.length(F.translate(bare, "{[}]", ""))
+    lines = kept(lines.where(F.trim("value") != "").withColumn("_net", opened - closed))
+    part = W.partitionBy("_file", "_block")
+    so_far = lambda c: F.coalesce(F.sum(c).over(part.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = lines.groupBy("_file", "_block").agg(F.sum("_net").alias("_net")).orderBy("_file", "_block").collect()  # a row for each split
+    depth, at = [], 0
+    for k, r in enumerate(blocks):
+        depth.append((r["_file"], r["_block"], k, at))
+        at += r["_net"]
+    before = F.broadcast(spark.createDataFrame(depth, "_file string, _block long, _split int, _depth long"))
+    placed = lines.withColumn("_own", so_far("_net")).join(before, ["_file", "_block"]).withColumn("_depth", F.col("_depth") + F.col("_own"))
+    # the object's own brackets go; what a line opens before its first member stands at depth 0
+    text = F.when(F.col("_depth") == 0, F.regexp_replace("value", r"^\s*[{]", "")).otherwise(F.col("value"))
+    starts = ((F.col("_depth") == 1) & F.rlike("value", F.lit(r'^[\s,]*"'))) | ((F.col("_depth") == 0) & F.rlike(text, F.lit(r'^\s*"')))
+    placed = kept(placed.select("_split", "_file", "_block", "_at", text.alias("value"), starts.cast("int").alias("_new")))
+    own = F.sum("_new").over(part.orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
+    numbers, upto = [], 0
+    for r in placed.groupBy("_split").agg(F.sum("_new").alias("n")).orderBy("_split").collect():
+        numbers.append((r["_split"], upto))
+        upto += r["n"]
+    number = F.broadcast(spark.createDataFrame(numbers, "_split int, _members long"))
+    each = placed.withColumn("_own", own).join(number, "_split").withColumn("_member", F.col("_members") + F.col("_own")).where("_member > 0")
+    joined = each.groupBy("_member").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_split", "_at", "value"))), lambda x: x["value"]), "\n").alias("_text"))
+    body = F.regexp_replace(F.regexp_replace("_text", r"^[\s,]+", ""), r"[\s,]+\z", "")
+    last = F.regexp_replace(body, r"\s*\}\z", "")  # the object's own end, on the last member only
+    text = F.when(F.col("_member") == upto, last).otherwise(body)
+    return joined.select(F.explode(F.from_json(F.concat(F.lit("{"), text, F.lit("}")), "map<string,string>")).alias("key", "value"))
+
+
 def read_entities(spark: SparkSession, path: str, properties: list[str]) -> DataFrame:
     """A JSON object of entities by id, each with labels and one member a property -> rows like those of entities.documents."""
-    whole = spark.read.text(path, wholetext=True)  # one object a file; large collections are better kept as lines (read_entity_lines)
-    each = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("qid", "_json"))
-    each = each.select("qid", F.from_json("_json", ENTITY_JSON).alias("e"), F.from_json("_json", "map<string,string>").alias("_all"))
+    each = members(spark, path).select(F.col("key").alias("qid"), F.from_json("value", ENTITY_JSON).alias("e"), F.from_json("value", "map<string,string>").alias("_all"))
 
     def prop(p: str) -> Column:
         of = F.from_json(F.try_element_at("_all", F.lit(p)), PROPERTY_JSON)
@@ -129,16 +167,20 @@ def read_entity_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_entity_object(entities: DataFrame, path: str) -> None:
-    """One JSON object of all entities by id, one a line, as read_entities reads it. It is one file, so one task writes it: for exchange, not for large collections."""
+    """One JSON object of all entities by id, in the parts of a folder: put end to end in the order of their names they are the object.
+
+    Entities are dealt out by ranges of ids, so the parts follow one another; the first begins and the last ends the object.
+    """
     inner = lambda x: F.regexp_replace(x, r"(?s)^\{(.*)\}\z", "$1")
     value = lambda v: F.struct(v["value"].alias("qid"), v["labels"].alias("labels"), v["labels_count"].alias("labels_count"))
     props = F.transform_values("props", lambda _, p: F.struct(F.transform(p["values"], value).alias("values"), p["count"].alias("count")))
-    members = F.filter(F.array(inner(F.to_json(F.struct("labels", "labels_count", "sitelinks"))), inner(F.to_json(props))), lambda x: x != "")
+    parts = F.filter(F.array(inner(F.to_json(F.struct("labels", "labels_count", "sitelinks"))), inner(F.to_json(props))), lambda x: x != "")
     key = F.regexp_replace(F.to_json(F.array("qid")), r"^\[|\]\z", "")
-    line = entities.select("qid", F.concat(key, F.lit(": {"), F.array_join(members, ", "), F.lit("}")).alias("value"))
-    first = F.row_number().over(W.orderBy("qid")) == 1
-    text = line.select("qid", F.concat(F.when(first, "{").otherwise(","), "value").alias("value")).unionByName(entities.sparkSession.createDataFrame([(None, "}")], "qid string, value string"))
-    text.coalesce(1).sortWithinPartitions(F.asc_nulls_last("qid")).select("value").write.mode("overwrite").text(path)
+    line = kept(entities.select("qid", F.concat(key, F.lit(": {"), F.array_join(parts, ", "), F.lit("}")).alias("value")))
+    ends = line.agg(F.min("qid").alias("_least"), F.max("qid").alias("_most"))
+    framed = F.concat(F.when(F.col("qid") == F.col("_least"), "{\n").otherwise(","), "value", F.when(F.col("qid") == F.col("_most"), "\n}").otherwise(""))
+    out = line.join(F.broadcast(ends)).repartitionByRange("qid").sortWithinPartitions("qid").select(framed.alias("value"))
+    (out if not line.isEmpty() else entities.sparkSession.createDataFrame([("{}",)], "value string")).write.mode("overwrite").text(path)
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:

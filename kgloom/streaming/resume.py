@@ -1,8 +1,9 @@
-"""Grading that goes on where it stopped: a stream over a folder of answer files, each row graded once.
+"""Grading that goes on where it stopped: a stream over a folder of answer files, each key graded once.
 
-The checkpoint remembers which files are done, the output which keys are: each micro-batch leaves out the keys that the
-output has, so no state grows with the stream, and a batch that is run again after a failure adds nothing twice.
-``availableNow`` ends when all files present are done.
+The stream's state holds the keys that it has seen (RocksDB, in the checkpoint), so what a micro-batch costs depends on the
+batch alone, not on what has been graded before. Each batch writes a folder of its own; one that is run again
+after a failure replaces it, so nothing is added twice. Keys that other runs have graded (``done``) come first, as rows
+that are seen and not graded. ``availableNow`` ends when all files present are done.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import ANSWERS
-from ..sources.files import CSV, append_cache, read_cache
+from ..sources.files import CSV
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+KEYS = ("Q_number", "LoQ", "LoE", "property")
 
 
 def answer_stream(spark: SparkSession, path: str, schema: str = ANSWERS, files_per_batch: int = 100) -> DataFrame:
@@ -22,13 +26,21 @@ def answer_stream(spark: SparkSession, path: str, schema: str = ANSWERS, files_p
     return df.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns))
 
 
-def grade_stream(answers: DataFrame, grade: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: tuple[str, ...] = ("Q_number", "LoQ", "LoE", "property")) -> StreamingQuery:
-    """Starts grading of each key's first row to Parquet."""
+def grade_stream(answers: DataFrame, grade: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: tuple[str, ...] = KEYS, done: DataFrame | None = None) -> StreamingQuery:
+    """Starts grading of each key's first row to Parquet: a folder ``batch=n`` for each micro-batch (``graded`` reads them).
+
+    ``done``, a table of keys graded elsewhere, is left out by a join on each batch's keys; give it only where there is one.
+    """
+    spark = answers.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+    def step(batch: DataFrame, number: int) -> None:
+        fresh = batch if done is None else batch.join(done.select(*keys), list(keys), "left_anti").select(batch.columns)
+        grade(fresh).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return answers.dropDuplicates(list(keys)).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def step(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(list(keys))
-        known = read_cache(spark, out, ", ".join(f"{c} {t}" for c, t in batch.select(*keys).dtypes))
-        append_cache(grade(fresh.join(known, list(keys), "left_anti").select(batch.columns)), out)
 
-    return answers.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def graded(spark: SparkSession, out: str) -> DataFrame:
+    """All batches."""
+    return spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
