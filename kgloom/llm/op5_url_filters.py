@@ -53,7 +53,7 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, parts))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_rows: int = 5) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_rows: int = 3) -> DataFrame:
     """labelled (tokens, block boolean) -> rules (rule_id, antecedent, confidence, support) for block.
 
     Support is the share of blocked URLs; a rule also needs min_rows of them, so that a few chance ones don't make one.
@@ -92,7 +92,7 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return hits(urls, rules.select("rule_id", "antecedent")).join(few(rules.select("rule_id", "confidence"), MAX_BROADCAST_ROWS), "rule_id").groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str] = RULES, min_support: float = 0.002, min_confidence: float = 0.8, min_rows: int = 5) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str] = RULES, min_support: float = 0.002, min_confidence: float = 0.8, min_rows: int = 3) -> DataFrame:
     """pages (page_id, url), labels (page_id, block boolean) -> page_id, host, path, rule, verdict, confidence."""
     of = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     known = labels.where("block is not null").groupBy(F.col("page_id").alias("_id")).agg(F.max("block").alias("block"))
@@ -105,15 +105,20 @@ def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str] = RULES, mi
 
 
 def weak_labels(pages: DataFrame, rules: dict[str, str] = RULES, one_in: int = LABELLED) -> DataFrame:
-    """pages (page_id, url) -> (page_id, block): labels that bear on URLs, for one in ``one_in`` by hash of the URL.
+    """pages (page_id, url) -> (page_id, block): labels of hosts, for one in ``one_in`` of the URLs that no given rule judges, by hash.
 
-    Blocked are URLs that a given rule blocks and hosts with a word of SPAM_WORDS; the others are allowed, as all URLs are unless something
-    speaks against them. The URLs without a label are held out: rules judge them by what they share with labelled ones.
+    Blocked are hosts with a word of SPAM_WORDS; the others are allowed, as all URLs are unless something speaks against
+    them. What a given rule judges isn't learnt from, as rules would be restated without the place where the path must begin. The URLs without a label are held
+    out: mined rules judge them by what they share with labelled ones.
     """
     h = host(F.col("url"))
-    spam = F.arrays_overlap(F.split(h, r"[^a-z0-9]+"), F.array(*map(F.lit, SPAM_WORDS)))
-    verdict = rule(h, path(F.col("url")), rules)["verdict"]
-    return pages.where(F.pmod(F.xxhash64("url"), F.lit(one_in)) == 0).select("page_id", (F.coalesce(verdict == "block", F.lit(False)) | F.coalesce(spam & verdict.isNull(), F.lit(False))).alias("block"))
+    open_ = rule(h, path(F.col("url")), rules).isNull() & (h != "")
+    return pages.where(open_ & (F.pmod(F.xxhash64("url"), F.lit(one_in)) == 0)).select("page_id", spammy(h).alias("block"))
+
+
+def spammy(host: Column) -> Column:
+    """Whether a host has a word of SPAM_WORDS."""
+    return F.coalesce(F.arrays_overlap(F.split(host, r"[^a-z0-9]+"), F.array(*map(F.lit, SPAM_WORDS))), F.lit(False))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -85,3 +85,23 @@ def test_very_long_urls(spark):
     urls = ["http://a.b/" + "x/" * 50_000, "http://" + "h." * 50_000 + "com/en/", "http://" + "a" * 200_000]
     out = {r["page_id"]: (len(r["host"]), r["rule"]) for r in op.judge(pages(spark, urls), op.weak_labels(pages(spark, urls))).collect()}
     assert out == {0: (3, None), 1: (100_003, "com/en/"), 2: (200_000, None)}
+
+
+def test_plain_paths_are_not_blocked_by_what_given_rules_say(spark):
+    """A rule's path must begin so; pages elsewhere that hold its words aren't learnt to be bad."""
+    urls = [f"http://h{i % 9}.example.com/{('fr', 'en')[i % 2]}/x{i}" for i in range(100)] + [f"http://spam-farm.example.net/fr/{i}" for i in range(20)] + [f"https://site{i % 50}.com/blog/{('en', 'es', 'de')[i % 3]}/{i}" for i in range(400)]
+    df = pages(spark, urls)
+    out = {r["page_id"]: (r["rule"], r["verdict"]) for r in op.judge(df, op.weak_labels(df.where("page_id < 120"))).collect()}
+    assert all(out[i] == (None, "allow") for i in range(120, 520))
+    assert [out[i] for i in range(100)] == [(None, "allow"), ("com/en/", "block")] * 50
+    assert all(out[i] == (None, "block") for i in range(100, 120))
+
+
+def test_null_urls_beside_mined_rules_and_ties(spark):
+    """Odd URLs have no tokens that a rule could hold; rules of equal confidence block alike."""
+    urls = [f"http://free-bets.x.net/a/b/{i}" for i in range(30)] + [f"http://good.net/a/{i}" for i in range(30)] + [None, "", "no scheme", "http://", "://free-bets.x.net"]
+    df = pages(spark, urls)
+    out = {r["page_id"]: (r["host"], r["path"], r["verdict"]) for r in op.judge(df, op.weak_labels(df)).collect()}
+    assert [out[60 + i] for i in range(4)] == [("", "", "allow")] * 4
+    assert out[64] == ("free-bets.x.net", "", "block")
+    assert [out[i][2] for i in range(60)] == ["block"] * 30 + ["allow"] * 30
