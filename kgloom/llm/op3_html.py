@@ -9,12 +9,13 @@ copies weighs no more than one page in it, so a site's copies don't make its art
 Sites of ``MANY`` pages and more are judged by importance, relative to the site's most important node: menus,
 headers, footers, sidebars and notices that vary little, whatever they are called, go. What a branch is called only shifts its
 threshold: furniture (by tag, role or words of class or id) and what stands outside the page's articles and main parts goes under ``HIGH``,
-other branches under ``LOW``, and articles with what is in or around them stay. A host of fewer pages is judged by the tree of its domain
+other branches under ``LOW``; articles and what is around them stay, and inside them blocks of text under ``LOW`` go, but no headings. A host of fewer pages is judged by the tree of its domain
 (last two labels), which has more. Where there are too few pages for both, or all are alike, importance tells little: there branches go that are called
 furniture, or that have hardly any importance on ``PAGES`` pages or more, and the articles and main parts are the text, if there are any. Scripts, forms, hidden parts, adverts and readers'
 comments always go, as they differ from page to page.
 
-Words of class or id alone never remove html, body, main or article, nor what holds most of the page's text with its title or article, nor a
+Inside articles and main parts, words of compound names (``share-price``, ``comment-on-law``) remove nothing: there only what is
+called by a name of ``ALWAYS`` goes. Words of class or id alone never remove html, body, main or article, nor what holds most of the page's text with its title or article, nor a
 page's whole text. A removal by importance that would leave nothing isn't made.
 
 Null html gives an empty text; null or odd URLs belong to one host without a name, which is never judged; repeated rows
@@ -62,6 +63,10 @@ NOISE_TAGS = frozenset("nav footer aside form button select option textarea dial
 FURNITURE_TAGS = frozenset("nav footer aside header menu".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription popup modal overlay sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus share sharing social related recommended widget widgets pagination pager masthead toolbar login signup search skip".split())
 FURNITURE_WORDS = frozenset("cookie cookies consent gdpr notice notices alert sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar banner pagination pager widget widgets related recommended share sharing social skip".split())
+#: Names of parts that differ from page to page and stand in articles without being of them.
+ALWAYS = frozenset("ad ads advert adverts advertisement adbox sponsored comments comment-list disqus".split())
+#: Blocks inside an article or main part that importance may remove: what holds text of its own, but no headings and no parts of lists and tables.
+BODY = frozenset("address aside blockquote center details div dl fieldset figure footer header ol p pre section table ul".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary menu menubar".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
@@ -85,9 +90,11 @@ class Node:
         if len(self.path) > MAX_PATH:
             self.path = f"#{hash64(self.path):x}"
         self.depth = parent.depth + 1 if parent else 0
-        said = {w.lower() for k in ("class", "id") for w in WORD.findall(attrs.get(k, ""))} if attrs else ()
-        role = attrs.get("role", "").lower()
         inside = bool(parent and parent.main)
+        # of compound names outside of articles each word counts; inside, a name has to be one of a few words as a whole
+        named_as = " ".join(attrs.get(k, "") for k in ("class", "id")) if attrs else ""
+        said = ALWAYS & set(named_as.lower().split()) if inside else {w.lower() for w in WORD.findall(named_as)} if named_as else ()
+        role = attrs.get("role", "").lower()
         part = tag in ("article", "main") or role in ("main", "article") or attrs.get("itemprop") == "articleBody"
         self.noise = bool(tag in NOISE_TAGS or tag == "header" and not inside or attrs and (role in NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I)))
         self.soft = bool(said and not self.noise and not part and tag not in ("html", "body") and (NOISE_WORDS & said or "header" in said and not inside))
@@ -197,7 +204,7 @@ def unmark(page: Node, any_part: bool = False) -> bool:
 def judged(tree: Node, importance: dict[str, float]) -> str:
     """The page without branches of too little importance (those under HIGH are given by path)."""
     parts = [x for x in roots(tree) if x.main]
-    around = {tree}
+    around, tops = {tree}, set(parts)
     for x in parts:
         while x.parent:
             x = x.parent
@@ -206,8 +213,10 @@ def judged(tree: Node, importance: dict[str, float]) -> str:
     def gone(x: Node) -> bool:
         if x.noise and not (x.furniture and x.tag in COUNTED):
             return True
-        if not x.noise and (x.main or x in around):
+        if not x.noise and x in around:
             return False
+        if not x.noise and x.main:
+            return x not in tops and x.tag in BODY and importance.get(x.path, 1.0) < LOW
         return importance.get(x.path, 1.0) < (HIGH if x.noise or parts else LOW)
 
     return text_of(tree, gone)
@@ -222,7 +231,7 @@ def extract(page: str, low: dict[str, float] | None = None, by_importance: bool
         return text
 
     def chosen(low: dict[str, float]) -> str:
-        return " ".join(t for t in (text_of(x, lambda n: n.noise or n.path in low) for x in found) if t)
+        return " ".join(t for t in (text_of(x, lambda n: n.noise or n.path in low and (not n.main or n.tag in BODY and n is not x)) for x in found) if t)  # noqa: B023
 
     found = roots(tree)
     whole = chosen({})
@@ -235,9 +244,7 @@ def extract(page: str, low: dict[str, float] | None = None, by_importance: bool
     if not whole and unmark(tree, any_part=True):
         found = roots(tree)
         whole = chosen({})
-    if by_importance or found != [tree]:
-        return whole
-    return chosen(low) or whole
+    return whole if by_importance else chosen(low) or whole
 
 
 def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,3 +121,62 @@ def test_clashing_names_and_repeated_rows(spark, prose):
     rows, want = site(prose, 12)
     df = pages(spark, rows + rows[:3]).withColumns({c: op.F.lit(1) for c in ("_host", "judged", "paths", "importances", "path", "site")})
     assert len(op.main_text(df).collect()) == 15
+
+
+CLASSES = "social-contract search-algorithms share-price comment-on-law subscription-model related-work promo-history widget-factory notice alert".split()
+
+
+def test_class_words_remove_nothing_inside_articles():
+    for name in CLASSES:
+        for part in ("article", "main"):
+            assert op.extract(f"<nav>n</nav><{part}><h1>T</h1><section class='{name}'><p>kept</p></section><div id='{name}'>too</div></{part}>") == "T kept too", name
+    assert op.extract("<article>a<div class='comments x'>c</div><div class='ad'>b</div>d</article>") == "a d"
+    assert op.extract("<div class='share-price'>out</div><article>a</article>") == "a"
+
+
+def test_unnamed_boilerplate_inside_main_parts_goes(spark, prose):
+    """On a site with enough pages, and on a small host from PAGES pages on; headings that all pages share stay."""
+    line = "<div class='q7'><p>Reprinted by kind permission of nobody</p></div>"
+    rows = [(i, f"http://m.example.org/{i}", f"<body><nav>x</nav><main><h1>Head</h1><p>{prose.text(20)}</p>{line}<p>end {i} {prose.word()}</p></main></body>") for i in range(60)]
+    for many, n in ((50, 60), (1000, 60), (1000, op.PAGES)):
+        out = op.main_text(pages(spark, rows[:n]), many=many).collect()
+        assert all(r["text"].startswith("Head ") and "Reprinted" not in r["text"] and f"end {r['page_id']} " in r["text"] for r in out)
+    assert all("Reprinted" in r["text"] for r in op.main_text(pages(spark, rows[: op.PAGES - 1])).collect())
+    assert all("Reprinted" in r["text"] for r in op.main_text(pages(spark, rows), 0, 0, 50, 0).collect())
+
+
+def entropies_by_hand(rows):
+    """A plain reading of the tree's importance: pages of a host, nodes by path, the share of different shapes or contents."""
+    import collections
+
+    seen = collections.defaultdict(lambda: (collections.Counter(), collections.Counter()))
+    for html in rows:
+        merged = {}
+
+        def content(x, merged=merged):
+            """Own text of a block with that of its inline elements, shapes by path."""
+            own = []
+            for p in x.parts:
+                if isinstance(p, str):
+                    own.append(p)
+                elif p.tag not in op.RAW:
+                    own += content(p)
+            if x.tag in op.COUNTED:
+                shape, text = merged.setdefault(x.path, ([], []))
+                shape.append(tuple(dict.fromkeys(c.style for c in x.parts if not isinstance(c, str))))
+                text.append("|".join(own))
+            return own
+
+        content(op.parse(html))
+        for path, (shape, text) in merged.items():
+            seen[path][0][tuple(shape)] += 1
+            seen[path][1]["\n".join(sorted(text))] += 1
+    return {p: max(len(c) / sum(c.values()) for c in both) for p, both in seen.items()}
+
+
+def test_importance_against_brute_force(spark, prose):
+    rows, _ = site(prose, 14)
+    df = pages(spark, rows + rows[:2]).withColumn("host", op.host(op.F.col("url")))
+    got = {r["path"]: r["importance"] for r in op.importance(df.where("host = 'big.example.org'")).where("site = 'big.example.org'").collect()}
+    want = entropies_by_hand([h for _, _, h in rows + rows[:2]])
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
