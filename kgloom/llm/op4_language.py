@@ -5,7 +5,10 @@ sample of labelled rows; every language that has any is fitted. The models' gram
 probabilities for each language; contexts likewise with their back-off weights. Languages beyond ``TOGETHER`` have further arrays. A text goes to the language of the lowest
 cross-entropy per character; it is rejected if that lies above a limit calibrated on rows of the sample that weren't fitted.
 
-Null texts and texts without a letter are ``und`` with score 0 and rejected. Without any labelled row all are ``und``.
+Letters are told apart by 16 bits each, four to a 64-bit key, so large alphabets keep theirs; beyond the ``ALPHABET`` most frequent of the sample they are one unknown letter.
+
+Null texts and texts without a letter are ``und`` with score 0 and rejected. Without any labelled row there is no model: all are ``und``, and
+none is rejected, so that the stage keeps a corpus that nothing can judge.
 Repeated rows are each judged; ties go to the first language by name; an empty table gives an empty result; further columns are left
 alone. One pass over the rows, without a shuffle; whole texts count.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK, chunks, cut, few, texts
 
-ORDER, ALPHABET, SPREAD = 4, 254, np.uint32(0x9E3779B1)
+ORDER, BITS, ALPHABET, SPREAD = 4, 16, 65_000, np.uint64(0x9E3779B97F4A7C15)
 #: The sample: rows of each language, bytes of a row, and bytes of all rows at most, shared out equally among the languages (one row of each in any case).
 ROWS, ROW_BYTES, BYTES = 400, 32_768, 64 << 20
 #: Languages whose grams share arrays.
@@ -40,37 +43,52 @@ class Tables:
     n: int
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by order - 1: sorted hashes, log2 p by language
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by length: sorted hashes, log2 back-off by language
+    least: float = -8.0  # log2 of the share of a character that was never seen
 
 
 @dataclass
 class Model:
     languages: list[str]
     alphabet: dict[int, int]
+    #: For each code point 0 if it is no letter, 1 for an unknown letter, else its number; made once, as it takes a while.
+    numbers: np.ndarray = field(default_factory=lambda: np.zeros(0x110000, np.uint16))
     tables: list[Tables] = field(default_factory=list)
     sharpness: float = 1.0
     limit: float = 1e9
 
-    def ids(self) -> np.ndarray:
-        """For each code point 0 if it is no letter, 1 for an unknown letter, else its number."""
-        of = np.array([chr(i).isalpha() for i in range(0x110000)], np.uint8)
+    def __post_init__(self):
+        self.numbers[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
         for c, i in self.alphabet.items():
-            of[c] = i
-        return of
+            self.numbers[c] = i
+
+    def ids(self) -> np.ndarray:
+        return self.numbers
 
     def evaluate(self, seq: np.ndarray) -> np.ndarray:
         """log2 p of each place's character after those before it, by language."""
-        key = seq.astype(np.uint32)
-        for k in range(1, ORDER):
-            key[k:] |= seq[:-k].astype(np.uint32) << np.uint32(8 * k)
+        key = keyed(seq)
         return np.concatenate([looked_up(t, key) for t in self.tables], axis=1)
 
 
+def keyed(seq: np.ndarray) -> np.ndarray:
+    """Each place's last ORDER characters in one number, the last one lowest."""
+    key = seq.astype(np.uint64)
+    for k in range(1, ORDER):
+        key[k:] |= seq[:-k].astype(np.uint64) << np.uint64(BITS * k)
+    return key
+
+
+def low(k: int) -> np.uint64:
+    """A mask of k characters."""
+    return np.uint64((1 << BITS * k) - 1)
+
+
 def looked_up(tables: Tables, key: np.ndarray) -> np.ndarray:
     """log2 p of each key's last character by language, from the longest known gram, or a shorter one after backing off."""
     out = np.zeros((len(key), tables.n), np.float32)
     open_ = np.arange(len(key))
     for k in range(ORDER, 0, -1):
-        part = key[open_] & np.uint32((1 << 8 * k) - 1)
+        part = key[open_] & low(k)
         hashes, logs = tables.grams[k - 1]
         at, hit = find(hashes, part)
         out[open_[hit]] += logs[at[hit]]
@@ -78,9 +96,9 @@ def looked_up(tables: Tables, key: np.ndarray) -> np.ndarray:
         if not len(open_):
             break
         hashes, logs = tables.contexts[k - 1]
-        at, hit = find(hashes, part >> np.uint32(8))
+        at, hit = find(hashes, part >> np.uint64(BITS))
         out[open_[hit]] += logs[at[hit]]
-    out[open_] += np.float32(-8)  # every character has this share at least
+    out[open_] += np.float32(tables.least)  # every character has this share at least
     return out
 
 
@@ -119,28 +137,28 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
     ids = model.ids()
     by = {lang: [t for x, t in sample if x == lang] for lang in languages}
     for at in range(0, len(languages), TOGETHER):
-        model.tables.append(tabulated([ngrams([t for i, t in enumerate(by[lang]) if i % 5 or len(by[lang]) < 5], ids) for lang in languages[at : at + TOGETHER]]))
+        model.tables.append(tabulated([ngrams([t for i, t in enumerate(by[lang]) if i % 5 or len(by[lang]) < 5], ids) for lang in languages[at : at + TOGETHER]], max(256, len(common) + 2)))
     calibrate(model, [(lang, t) for lang in languages for i, t in enumerate(by[lang]) if i % 5 == 0])
     return model
 
 
-def tabulated(count: list[list[tuple[np.ndarray, np.ndarray]]]) -> Tables:
-    """The models of languages from their counts (``ngrams``): interpolated Kneser-Ney, each language with discounts of its own."""
-    tables = Tables(len(count))
+def tabulated(count: list[list[tuple[np.ndarray, np.ndarray]]], letters: int) -> Tables:
+    """The models of languages from their counts (``ngrams``) over so many letters: interpolated Kneser-Ney, each language with discounts of its own."""
+    tables = Tables(len(count), least=-float(np.log2(letters)))
     for k in range(1, ORDER + 1):
         keys = np.unique(np.concatenate([c[k - 1][0] for c in count]))
-        ctx = np.unique(keys >> np.uint32(8))
+        ctx = np.unique(keys >> np.uint64(BITS))
         p, back = np.zeros((len(keys), len(count))), np.zeros((len(ctx), len(count)))
         for j, c in enumerate(count):
             own, n = c[k - 1]
             ones, twos = (n == 1).sum(), (n == 2).sum()
             discount = ones / (ones + 2 * twos) if ones else 0.5
-            at = np.searchsorted(ctx, own >> np.uint32(8))
+            at = np.searchsorted(ctx, own >> np.uint64(BITS))
             total, kinds = np.bincount(at, n, len(ctx)), np.bincount(at, minlength=len(ctx))
             back[:, j] = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1)
             p[np.searchsorted(keys, own), j] = np.maximum(n - discount, 0)
-            at = np.searchsorted(ctx, keys >> np.uint32(8))
-            p[:, j] = p[:, j] / np.maximum(total[at], 1) + back[at, j] * (below[np.searchsorted(lower, keys & np.uint32((1 << 8 * (k - 1)) - 1)), j] if k > 1 else 1 / 256)
+            at = np.searchsorted(ctx, keys >> np.uint64(BITS))
+            p[:, j] = p[:, j] / np.maximum(total[at], 1) + back[at, j] * (below[np.searchsorted(lower, keys & low(k - 1)), j] if k > 1 else 1 / letters)
         lower, below = keys, p
         for table, key, value in ((tables.grams, keys, p), (tables.contexts, ctx, back)):
             h = key * SPREAD
@@ -152,12 +170,9 @@ def ngrams(parts: list[str], ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     """By order - 1: grams and their counts; below the highest order the number of different grams that end so."""
     raw = [p.encode("utf-8", "replace") for p in parts]
     seq, bounds, _ = sequences(b"".join(raw), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(int), ids)
-    key = seq.astype(np.uint32)
-    for k in range(1, ORDER):
-        key[k:] |= seq[:-k].astype(np.uint32) << np.uint32(8 * k)
-    out = [np.unique(key, return_counts=True)]
+    out = [np.unique(keyed(seq), return_counts=True)]
     for k in range(ORDER - 1, 0, -1):
-        out.append(np.unique(out[-1][0] & np.uint32((1 << 8 * k) - 1), return_counts=True))
+        out.append(np.unique(out[-1][0] & low(k), return_counts=True))
     return out[::-1]
 
 
@@ -217,7 +232,7 @@ class Judge:
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """Language, score, entropy and rejection of each text."""
         n, m = len(offsets) - 1, self.model
-        best, score, h, reject = np.full(n, len(self.names) - 1), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
+        best, score, h, reject = np.full(n, len(self.names) - 1), np.zeros(n), np.full(n, np.nan), np.full(n, m is not None)
         if m:
             seq, at, ok = sequences(data[offsets[0] : offsets[-1]].tobytes(), offsets - offsets[0], self.ids)
             e = entropies(m, seq, at)

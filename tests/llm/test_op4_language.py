@@ -128,3 +128,19 @@ def test_stage_filters_rows_by_their_own_text(spark, prose, docs_of):
     out = op.stage(spark, df, "")
     got = [r["doc_id"] for r in out.collect()]
     assert out.columns == df.columns and sorted(got, key=lambda i: -1 if i is None else i) == [None, *range(60)]
+
+
+def test_languages_of_large_alphabets_are_told_apart(prose, docs_of):
+    """Two languages of 1,500 letters each beside one of few: all their letters count."""
+    r = prose.r
+    word = lambda k: "".join(chr(0x4E00 + 2 * r.randrange(1500) + k) for _ in range(r.randint(1, 3)))
+    rows = [(i, " ".join(word(i % 3) for _ in range(60)) if i % 3 < 2 else prose.text(60)) for i in range(300)]
+    lang = lambda i: ("x", "y", "en")[i % 3]
+    held = [r for r in op.identify(docs_of(rows, lang=lang)).collect() if r["held_out"]]
+    assert len(held) > 50 and sum(r["lang_pred"] == lang(r["doc_id"]) for r in held) >= 0.95 * len(held)
+
+
+def test_a_corpus_without_labels_passes_whole(spark, prose, docs_of):
+    df = docs_of([(1, prose.text(30)), (2, None), (3, "--")])
+    assert op.stage(spark, df, "").count() == 3
+    assert not any(r["rejected"] for r in op.identify(df).collect())
