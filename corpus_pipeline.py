@@ -1,7 +1,7 @@
 """A corpus pipeline over documents (doc_id, text, lang, source, n_chars): five operators, one after another.
 
-Each stage works on all rows that its predecessor kept. Rows without a text go in the first stage, as they have no language;
-rows without an id are never dropped for an id of others; ties, repeated rows and further columns, whatever their names, are handled as each stage
+Each stage works on all rows that its predecessor kept. Rows without a text go in the first stage, as they have no language
+(where no row has a label there is no model, and all rows stay); rows without an id are never dropped for an id of others; ties, repeated rows and further columns, whatever their names, are handled as each stage
 says. Empty tables give empty results. All stages but the last return the columns of documents; the last one returns the
 places of documents in shards.
 """
