@@ -66,7 +66,7 @@ def folded(x: Column) -> Column:
 
 def with_verdict(df: DataFrame, kind: Column, missed: Column, verdicts: DataFrame, output: str, gt: str, known: list[str]) -> DataFrame:
     """eval, eval_type, provenance: the rules' match; else the verdict on (output, truth), both trimmed; an unknown verdict is no match."""
-    table = verdicts.select(F.col("llm_output").alias("_vo"), F.col("gt_raw").alias("_vg"), F.col("match_type").alias("_v")).dropDuplicates(["_vo", "_vg"])
+    table = verdicts.select(F.col("llm_output").alias("_vo"), F.col("gt_raw").alias("_vg"), F.col("match_type").alias("_v")).groupBy("_vo", "_vg").agg(F.min("_v").alias("_v"))
     df = df.withColumns({"_kind": kind, "_missed": missed, "_ko": strip(output), "_kg": strip(gt)})
     df = df.join(table, (F.col("_ko") == F.col("_vo")) & (F.col("_kg") == F.col("_vg")), "left")
     judged = F.coalesce(F.when(F.col("_v").isin(known), F.col("_v")), F.lit("no_match"))

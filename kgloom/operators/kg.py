@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import shared
+from ..sources.files import kept
 
 #: Fixed value: the sites of Wikipedia's languages.
 WIKIPEDIA = r"^https://[a-z-]+\.wikipedia\.org/$"
@@ -108,30 +108,37 @@ def vocabulary(labels: DataFrame, demonyms: DataFrame, languages: list[str]) ->
 def closure(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
     """(root, node): all nodes that one edge (a, b) or more lead to from a root. Cycles end, as known pairs aren't followed again.
 
-    Each round follows the new pairs only; every round's pairs are checkpointed, so that the plan doesn't grow.
+    Each round follows the new pairs only; every round's pairs are written, so that the plan doesn't grow.
     """
     edges = edges.select(F.col("a").alias("node"), F.col("b").alias("_next")).distinct()
     front = roots.select(F.col("node").alias("root"), "node").distinct().join(edges, "node").select("root", F.col("_next").alias("node")).distinct()
-    known = front = durable(front)
+    known = front = kept(front)
     for _ in range(most):
-        front = durable(front.join(edges, "node").select("root", F.col("_next").alias("node")).distinct().join(known, ["root", "node"], "left_anti"))
+        front = kept(front.join(edges, "node").select("root", F.col("_next").alias("node")).distinct().join(known, ["root", "node"], "left_anti"))
         if front.isEmpty():
             return known
-        known = durable(known.unionByName(front))
+        known = kept(known.unionByName(front))
     raise ValueError(f"a path is longer than {most}")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpointed in the cluster's shared folder (spark.checkpoint.dir); a folder of our own only where none is set and all runs on this machine."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared(df.sparkSession))
-    return df.checkpoint()
-
-
 def terminals(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node): successors over one edge or more that have no edge of their own."""
-    return closure(edges, roots).join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select("root", "node")
+    """(root, node): successors over one edge or more that have no edge of their own.
+
+    Paths are doubled: after k rounds ``reach`` holds the ends within 2 ** k steps of each node and ``jump`` the nodes
+    exactly 2 ** k steps on, so rounds grow with the logarithm of the longest chain. On a cycle jumps go on for ever; no
+    shortest path has more steps than there are nodes, which bounds the rounds.
+    """
+    edges = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    inner = edges.select(F.col("a").alias("b")).distinct()
+    jump = kept(edges.join(inner, "b", "left_semi").select("a", "b"))
+    reach = kept(edges.join(inner, "b", "left_anti").select("a", F.col("b").alias("end")))
+    nodes, steps = inner.count(), 1
+    while steps <= nodes and not jump.isEmpty():
+        further = jump.join(reach.withColumnRenamed("a", "b"), "b").select("a", "end")
+        reach = kept(reach.unionByName(further).distinct())
+        jump = kept(jump.join(jump.select(F.col("a").alias("b"), F.col("b").alias("_next")), "b").select("a", F.col("_next").alias("b")).distinct())
+        steps *= 2
+    return roots.select(F.col("node").alias("a")).distinct().join(reach, "a").select(F.col("a").alias("root"), F.col("end").alias("node"))
 
 
 def with_successors(vocab: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ for order as a column beside it; CIDEr's document frequencies are those of the t
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +105,46 @@ def cider(df: DataFrame, key: str, gt: str = "gt", output: str = "llm_output", s
     return length.join(score, key, "left").select(key, (10 * F.coalesce("_c", F.lit(0.0)) * F.col("_g")).alias("CIDEr"))
 
 
+def bert_score(truth: DataFrame, output: DataFrame, weighted: bool = False, block: int = 256) -> DataFrame:
+    """truth and output (key, pos, token, vector) -> (key, precision, recall, f1): each token against the likest of the other side by cosine.
+
+    With ``weighted``, tokens weigh by the inverse document frequency over all truths, log((n + 1) / (df + 1)). Tokens of a key
+    are compared in blocks, a matrix product for each pair of blocks, so that long texts take more tasks, not more memory. A
+    key with no tokens on one side scores 0; vectors of length 0 are like none.
+    """
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        at = F.array_sort(F.collect_list(F.struct("pos", F.col("vector").cast("array<double>").alias("vector"))))
+        return side.groupBy("key", F.floor(F.col("pos") / block).alias(f"{name}_block")).agg(at.alias("_at")).select("key", F.col("_at.pos").alias(f"{name}_pos"), F.col("_at.vector").alias(name))
+
+    def unit(vectors) -> np.ndarray:
+        x = np.array([np.asarray(v, float) for v in vectors])
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def likest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                like = unit(r.t) @ unit(r.o).T
+                n, m = like.shape
+                yield pd.DataFrame({"key": [r.key] * (n + m), "side": ["t"] * n + ["o"] * m, "pos": [*r.t_pos, *r.o_pos], "like": np.concatenate([like.max(1), like.max(0)])})
+
+    kind = dict(truth.dtypes)["key"]
+    best = blocks(truth, "t").join(blocks(output, "o"), "key").mapInPandas(likest, f"key {kind}, side string, pos long, like double")
+    best = best.groupBy("key", "side", "pos").agg(F.max("like").alias("like"))
+    each = truth.select("key", F.lit("t").alias("side"), F.col("pos").cast("long").alias("pos"), "token").unionByName(output.select("key", F.lit("o").alias("side"), F.col("pos").cast("long").alias("pos"), "token"))
+    weight = F.lit(1.0)
+    if weighted:
+        n = truth.agg(F.countDistinct("key").alias("_n"))
+        df = truth.groupBy("token").agg(F.countDistinct("key").alias("_df"))
+        each = each.join(df, "token", "left").join(F.broadcast(n))
+        weight = F.log((F.col("_n") + 1) / (F.coalesce("_df", F.lit(0)) + 1))
+    each = each.withColumn("_w", weight).join(best, ["key", "side", "pos"], "left")
+    share = lambda side: F.coalesce(F.try_divide(F.sum(F.when(F.col("side") == side, F.col("_w") * F.coalesce("like", F.lit(0.0)))), F.sum(F.when(F.col("side") == side, F.col("_w")))), F.lit(0.0))
+    both = each.groupBy("key").agg(share("o").alias("precision"), share("t").alias("recall"))
+    p, r = F.col("precision"), F.col("recall")
+    return both.withColumn("f1", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))
+
+
 #: Metric by name; model scores are added with register(name, function of a DataFrame).
 METRICS: dict[str, Callable[..., DataFrame]] = {"overlap": overlap_scores}
 

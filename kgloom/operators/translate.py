@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import EMPTY_WORD, is_empty, json_list, split_list, unwrap_one
+from ..sources.files import kept
+from .order import numbered
 
 
 def lookup(answers: DataFrame, table: DataFrame, output: str = "llm_output", loq: str = "LoQ") -> DataFrame:
@@ -35,9 +37,13 @@ def misses(translated: DataFrame, output: str = "llm_output", loq: str = "LoQ")
 
 
 def translate(answers: DataFrame, table: DataFrame, provider, output: str = "llm_output", loq: str = "LoQ") -> tuple[DataFrame, DataFrame]:
-    """The answers, all translated, and the table with what the provider added; a text that it can't translate stays as it is."""
+    """The answers, all translated, and the table with what the provider added; a text that it can't translate stays as it is.
+
+    The provider is asked once; its rows follow those of the table in the order of text and language, so that a rerun finds the same first one.
+    """
     first = lookup(answers, table, output, loq)
-    new = provider.translate(misses(first, output, loq)).select("loq", "text", F.coalesce("en", "text").alias("en"))
-    merged = table.unionByName(new.withColumn("pos", F.lit((1 << 62)).cast("long")))
+    new = kept(provider.translate(misses(first, output, loq)).select("loq", "text", F.coalesce("en", "text").alias("en")))
+    upto = table.agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0]
+    merged = table.unionByName(numbered(new, "text", "loq", name="pos", first=upto + 1))
     out = first.join(new.withColumnsRenamed({"loq": "_l", "text": "_t", "en": "_e"}), (F.col(loq) == F.col("_l")) & (F.col(output) == F.col("_t")), "left")
     return out.withColumn("llm_output_en", F.coalesce("llm_output_en", "_e")).drop("_l", "_t", "_e"), merged

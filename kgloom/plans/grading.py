@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import providers
 from ..functions import text
 from ..operators import failure, grading, kg, scorers, translate
 from .graph import vocab
@@ -52,7 +53,37 @@ def overlap(spark, d: str) -> DataFrame:
     return rounded(scorers.score(p, "overlap").drop("METEOR_ordered"))
 
 
+def vectors(spark, d: str, weighted: bool) -> DataFrame:
+    """Embeddings as token vectors: of ten in a row five are the truth and five, in part the same tokens, the output."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.expr("vec_id div 10").alias("key"), (F.col("vec_id") % 5).alias("pos"), (F.col("vec_id") % 10 < 5).alias("_t"), F.concat(F.lit("l"), "label").alias("token"), F.col("embedding").alias("vector"))
+    return rounded(scorers.bert_score(e.where("_t").drop("_t"), e.where("NOT _t").drop("_t"), weighted))
+
+
+def judge_prompts(spark, d: str) -> DataFrame:
+    """What a judge is asked on answers about countries, with up to SHOWN of many names."""
+    c = view(spark, d, "a").select("Q_number", "llm_output", "gt")
+    n = F.regexp_replace("Q_number", "c", "").cast("int")
+    names = lambda word: F.transform(F.sequence(F.lit(1), 1 + n % 30), lambda i: F.concat(F.lit(word), i))
+    return c.select("Q_number", providers.asked_of_judge("country", output=F.col("llm_output"), truth=F.col("gt"), demonyms=names("d"), aliases=names("a{")).alias("asked"))
+
+
+class Doubles:
+    """A provider that knows every second text."""
+
+    def translate(self, misses: DataFrame) -> DataFrame:
+        return misses.withColumn("en", F.when(F.length("text") % 2 == 0, F.concat(F.lit("en "), "text")))
+
+
+def translated_table(spark, d: str) -> DataFrame:
+    """The table of translations with what a provider has added, each row at a place of its own."""
+    return translate.translate(view(spark, d, "a"), view(spark, d, "tr"), Doubles())[1]
+
+
 QUERIES = {
+    "bert_score_vectors": lambda spark, d: vectors(spark, d, False),
+    "bert_score_weighted": lambda spark, d: vectors(spark, d, True),
+    "judge_prompts": judge_prompts,
+    "translate_table": translated_table,
     "dob_grade": lambda spark, d: dob(spark, d).select("l_orderkey", "l_linenumber", "eval", "eval_type", "eval_score"),
     "dob_summary": lambda spark, d: rounded(grading.summary(dob(spark, d), "model")),
     "dob_weighted_avg": lambda spark, d: rounded(dob(spark, d).groupBy("model").agg(F.avg("eval_score").alias("mean_score"), F.avg((F.col("eval") == "TP").cast("int")).alias("hit_share"))),
@@ -104,7 +135,23 @@ f AS (SELECT *, {FOLD.format('t')} AS tf, {FOLD.format('g')} AS gf FROM c), j AS
 r AS (SELECT *, CASE WHEN upper(trim(o)) IN ('', 'NONE') OR t = '' THEN '' WHEN tf = gf OR (len(tf) >= 4 AND len(gf) >= 4 AND (contains(tf, gf) OR contains(gf, tf))) THEN 'exact_match' WHEN oq = gq THEN 'exact_match' WHEN oc = gc THEN 'country_match' ELSE 'no_match' END AS eval_type FROM j)"""
 TOKENS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
 GRAMS = ", ".join(f"{t} AS (SELECT p_partkey, n, array_to_string({c}[i:i + n - 1], chr(1)) AS x, count(*) AS c FROM (SELECT p_partkey, {c}, n, unnest(range(1, len({c}) - n + 2)) AS i FROM w, k WHERE len({c}) >= n) GROUP BY ALL)" for t, c in (("go", "o"), ("gg", "g")))
+def vector_scores(weighted: bool) -> str:
+    weight = "ln(((SELECT count(DISTINCT key) FROM e WHERE t) + 1) / (coalesce(df, 0) + 1)::DOUBLE)" if weighted else "1.0"
+    return f"""WITH e AS (SELECT vec_id // 10 AS key, vec_id % 5 AS pos, vec_id % 10 < 5 AS t, 'l' || label AS token, embedding::DOUBLE[] AS v FROM embeddings),
+df AS (SELECT token, count(DISTINCT key) AS df FROM e WHERE t GROUP BY 1),
+b AS (SELECT x.key, x.t, x.pos, any_value(x.token) AS token, max(list_cosine_similarity(x.v, y.v)) AS l FROM e x LEFT JOIN e y ON x.key = y.key AND x.t <> y.t GROUP BY 1, 2, 3),
+w AS (SELECT b.*, {weight} AS w FROM b LEFT JOIN df USING (token)),
+s AS (SELECT key, coalesce(sum(w * coalesce(l, 0)) FILTER (NOT t) / nullif(sum(w) FILTER (NOT t), 0), 0) AS p, coalesce(sum(w * coalesce(l, 0)) FILTER (t) / nullif(sum(w) FILTER (t), 0), 0) AS r FROM w GROUP BY 1)
+SELECT key, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM s"""
+
+
 ORACLES = {
+    "bert_score_vectors": vector_scores(False),
+    "bert_score_weighted": vector_scores(True),
+    "judge_prompts": f"""{with_views('a')}, n AS (SELECT Q_number, llm_output, gt, range(1, least(20, 1 + Q_number[2:]::INT % 30) + 1) AS k FROM a)
+SELECT Q_number, 'Does the answer name the same country as the truth? Say one of: exact_match, alias_match, substring_match, demonym_match, historical_match, no_match.' || chr(10) || 'Answer: ' || llm_output || chr(10) || 'Truth: ' || gt || chr(10)
+ || 'Demonyms: ' || array_to_string(list_transform(k, lambda i: 'd' || i), ', ') || chr(10) || 'Aliases: ' || array_to_string(list_transform(k, lambda i: 'a{{' || i), ', ') AS asked FROM n""",
+    "translate_table": f"{TABLE}, ms AS (SELECT DISTINCT LoQ AS loq, llm_output AS text FROM lk WHERE llm_output_en IS NULL) SELECT loq, text, en, pos FROM tr UNION ALL SELECT loq, text, CASE WHEN len(text) % 2 = 0 THEN 'en ' || text ELSE text END, (SELECT max(pos) FROM tr) + row_number() OVER (ORDER BY text, loq) FROM ms",
     "dob_grade": f"{DOB} SELECT l_orderkey, l_linenumber, eval, eval_type, eval_score FROM dob",
     "dob_summary": f"{DOB} SELECT model, eval, eval_type, count(*) AS n, round(avg(eval_score), 6) AS mean_score FROM dob GROUP BY ALL",
     "dob_weighted_avg": f"{DOB} SELECT model, round(avg(eval_score), 6) AS mean_score, round(avg((eval = 'TP')::INT), 6) AS hit_share FROM dob GROUP BY ALL",

@@ -5,6 +5,7 @@ a Python function or a remote service can stand in for another.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from string import Formatter
 from typing import Protocol
 
 import pandas as pd
@@ -27,6 +28,17 @@ JUDGE_PROMPTS = {
 SHOWN = 20
 
 
+def asked_of_judge(property_: str, **parts: Column) -> Column:
+    """The judge's question on a row: the property's wording with verdicts, output, truth and, where it has them, the first SHOWN demonyms and aliases.
+
+    ``output`` and ``truth`` are texts, the others arrays; braces in them mean nothing.
+    """
+    shown = {k: v if k in ("output", "truth") else F.array_join(F.slice(F.coalesce(v, F.array().cast("array<string>")), 1, SHOWN), ", ") for k, v in parts.items()}
+    shown["verdicts"] = F.lit(", ".join(VERDICTS[property_]))
+    said = [x for text, name, *_ in Formatter().parse(JUDGE_PROMPTS[property_]) for x in (F.lit(text), *([F.coalesce(shown[name], F.lit(""))] if name else []))]
+    return F.concat(*said)
+
+
 def translation_of(answer: Column, text: Column) -> Column:
     """What a translator's JSON ``{"en": text or list}`` says, a list as JSON; the text itself if it is no such answer."""
     one, several = F.from_json(answer, "struct<en:string>")["en"], F.from_json(answer, "struct<en:array<string>>")["en"]

@@ -310,3 +310,59 @@ def test_order_lowers_meteor(spark):
     df = spark.createDataFrame([("a b c d", "a b c d"), ("a b c d", "d c b a"), ("a b c d", "")], "gt string, llm_output string")
     got = [(round(r["METEOR"], 6), round(r["METEOR_ordered"], 6)) for r in scorers.score(df, "overlap").collect()]
     assert got == [(1.0, round(1 - 0.5 / 64, 6)), (1.0, 0.5), (0.0, 0.0)]
+
+
+def test_a_long_chain_ends_in_few_rounds(spark, monkeypatch):
+    """10,000 successors one after another, with a cycle beside them: rounds go by the logarithm."""
+    rounds, write = [], kg.kept
+    monkeypatch.setattr(kg, "kept", lambda df: rounds.append(1) or write(df))
+    n = 10_000
+    edges = spark.range(n).selectExpr("concat('x', id) AS a", "concat('x', id + 1) AS b").union(spark.createDataFrame([("p", "q"), ("q", "p"), ("q", "z"), ("r", None)], "a string, b string"))
+    roots = spark.createDataFrame([("x0",), ("x7",), ("p",), (f"x{n}",), ("nowhere",)], "node string")
+    assert rows(kg.terminals(edges, roots)) == [("p", "z"), ("x0", f"x{n}"), ("x7", f"x{n}")]
+    assert len(rounds) <= 2 + 2 * 14
+
+
+def test_bert_score_against_plain_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    sides = {k: [(int(key), p, f"w{r.integers(4)}", [float(x) for x in r.normal(size=5)]) for key in range(4) for p in range(int(r.integers(1, 9)))] for k in "to"}
+    sides["t"].append((9, 0, "w1", [1.0, 0.0, 0.0, 0.0, 0.0]))
+    frames = [spark.createDataFrame(sides[k], "key long, pos int, token string, vector array<double>") for k in "to"]
+    for weighted in (False, True):
+        df = {w: len({x[0] for x in sides["t"] if x[2] == w}) for w in "w0 w1 w2 w3".split()}
+        n = len({x[0] for x in sides["t"]})
+        want = {}
+        for key in (0, 1, 2, 3, 9):
+            t, o = ([x for x in sides[k] if x[0] == key] for k in "to")
+            unit = lambda rows_: np.array([np.array(x[3]) / np.linalg.norm(x[3]) for x in rows_]).reshape(-1, 5)
+            like = unit(t) @ unit(o).T if t and o else np.zeros((len(t), len(o)))
+            w = lambda rows_: np.array([np.log((n + 1) / (df[x[2]] + 1)) if weighted else 1.0 for x in rows_])
+            share = lambda rows_, best: float((w(rows_) * best).sum() / w(rows_).sum()) if len(rows_) and w(rows_).sum() else 0.0
+            p, q = share(o, like.max(0) if like.size else 0), share(t, like.max(1) if like.size else 0)
+            want[key] = (p, q, 2 * p * q / (p + q) if p + q else 0.0)
+        for block in (256, 3):
+            got = {x["key"]: tuple(x)[1:] for x in scorers.bert_score(*frames, weighted, block).collect()}
+            assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_labels_of_one_language(spark):
+    from pyspark.sql import functions as F
+
+    schema = "qid string, labels map<string,string>, props map<string, struct<values: array<struct<value:string, value_id:string, labels: map<string,string>, labels_count:int>>, count:int>>"
+    value = lambda labels: ("u", "v", labels, len(labels))
+    df = spark.createDataFrame([("a", {"en": "A"}, {"P1": ([value({}), value({"fr": "x"})], 2)}), ("b", {}, {}), ("c", None, {"P1": ([], 0)})], schema)
+    got = df.select("qid", F.coalesce(entities.has_label("en"), F.lit(False)), entities.has_value_in("P1", "fr"), entities.has_value_in("P1", "de"), entities.has_value_in("P2", "fr")).collect()
+    assert [tuple(r) for r in got] == [("a", True, True, False, False), ("b", False, False, False, False), ("c", False, False, False, False)]
+
+
+def test_what_a_judge_is_asked(spark):
+    from pyspark.sql import functions as F
+
+    from kgloom import providers
+
+    df = spark.createDataFrame([("{truth}", "['x']", [f"d{i}" for i in range(30)], None)], "o string, t string, d array<string>, a array<string>")
+    said = df.select(providers.asked_of_judge("country", output=F.col("o"), truth=F.col("t"), demonyms=F.col("d"), aliases=F.col("a"))).first()[0]
+    assert "Answer: {truth}\nTruth: ['x']\n" in said and "d19" in said and "d20" not in said and said.endswith("Aliases: ") and "historical_match" in said
+    assert df.select(providers.asked_of_judge("pob", output=F.col("o"), truth=F.col("t"))).first()[0].endswith("Truth: ['x']")
