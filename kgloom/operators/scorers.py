@@ -1,8 +1,8 @@
 """Scores of free text against its truth: overlap scores from one linear pass over both texts' words, model scores through a provider.
 
 BLEU is a sentence's geometric mean of clipped n-gram precisions with the brevity penalty and a tiny floor;
-ROUGE-L is the F measure (beta 1.2) of the longest common subsequence; METEOR here is its exact-match part, with the penalty
-for order as a column beside it; CIDEr's document frequencies are those of the truths in the frame.
+ROUGE-L is the F measure (beta 1.2) of the longest common subsequence; METEOR among the overlap scores is its exact-match part, with the penalty
+for order as a column beside it, and ``meteor`` the whole: stages of matches (word, stem, synonym) in the alignment of fewest chunks; CIDEr's document frequencies are those of the truths in the frame.
 """
 
 from __future__ import annotations
@@ -105,6 +105,80 @@ def cider(df: DataFrame, key: str, gt: str = "gt", output: str = "llm_output", s
     return length.join(score, key, "left").select(key, (10 * F.coalesce("_c", F.lit(0.0)) * F.col("_g")).alias("CIDEr"))
 
 
+def s_stem(word: str) -> str:
+    """A word without the ending of an English plural (the three rules of the S-stemmer)."""
+    w = word.lower()
+    if w.endswith("ies") and not w.endswith(("eies", "aies")):
+        return w[:-3] + "y"
+    if w.endswith("es") and not w.endswith(("aes", "ees", "oes")):
+        return w[:-1]
+    return w[:-1] if w.endswith("s") and not w.endswith(("us", "ss")) else w
+
+
+#: What a match of each stage is worth: the same word, the same stem, words of a synonym set.
+STAGES = {"exact": 1.0, "stem": 0.6, "synonym": 0.8}
+
+
+def alignment(pred: list[str], truth: list[str], kinds: list[tuple[float, Callable[[str], frozenset]]], beam: int = 40) -> tuple[int, float, int]:
+    """(matches, their worth, chunks) of the alignment of most words, of those of the fewest chunks, of those of most worth.
+
+    kinds: worth and keys of a word; words match by the first kind in which they share a key. Partial alignments that leave the same truth words for what
+    follows, and end alike, are one; of the others the best ``beam`` go on, so the result is exact unless more are alike.
+    """
+    worth: list[dict[int, float]] = [{} for _ in pred]
+    for value, keys in kinds:
+        places: dict = {}
+        for j, y in enumerate(truth):
+            for k in keys(y):
+                places.setdefault(k, []).append(j)
+        for i, x in enumerate(pred):
+            for k in keys(x):
+                for j in places.get(k, ()):
+                    worth[i].setdefault(j, value)
+    later, ahead = [0] * (len(pred) + 1), 0
+    for i in range(len(pred) - 1, -1, -1):
+        for j in worth[i]:
+            ahead |= 1 << j
+        later[i] = ahead
+    states = {(0, -2): (0, 0, 0.0)}  # used truth words that still matter, the last match if it stands right before -> -matches, chunks, -worth
+    for i, ways in enumerate(worth):
+        found: dict = {}
+        for (used, last), (m, chunks, w) in states.items():
+            options = [(used & later[i + 1], -2, m, chunks, w)]
+            options += [((used | 1 << j) & later[i + 1], j, m - 1, chunks + (j != last + 1), w - v) for j, v in ways.items() if not used >> j & 1]
+            for mask, at, *score_ in options:
+                score_ = tuple(score_)
+                if (mask, at) not in found or score_ < found[mask, at]:
+                    found[mask, at] = score_
+        states = dict(sorted(found.items(), key=lambda x: (x[1], x[0]))[:beam])
+    m, chunks, w = min(states.values())
+    return -m, -w, chunks
+
+
+def meteor(df: DataFrame, gt: str = "gt", output: str = "llm_output", stages: tuple[str, ...] = ("exact", "stem", "synonym"), stem: Callable[[str], str] = s_stem, synonyms: DataFrame | None = None, most: int = 200_000) -> DataFrame:
+    """With METEOR_full: words matched by stages in the alignment of fewest chunks; recall weighs nine to one, less half the cube of chunks by matches.
+
+    synonyms: (word, synset), at most ``most`` rows, which are counted, as every task holds them.
+    """
+    sets: dict[str, set] = {}
+    if synonyms is not None and "synonym" in stages:
+        if synonyms.count() > most:
+            raise ValueError(f"more than {most} synonyms")
+        for word, synset in synonyms.select("word", F.col("synset").cast("string")).collect():
+            sets.setdefault(word, set()).add(synset)
+    keys = {"exact": lambda x: frozenset([x]), "stem": lambda x: frozenset([stem(x)]), "synonym": lambda x: frozenset(sets.get(x, ()))}
+    kinds = [(STAGES[s], keys[s]) for s in stages]
+
+    @F.pandas_udf("matches int, worth double, chunks int")
+    def aligned(pred: pd.Series, truth: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([alignment(list(p), list(t), kinds) for p, t in zip(pred, truth, strict=True)], columns=["matches", "worth", "chunks"])
+
+    both = df.withColumns({"_p": tokens(output), "_t": tokens(gt)}).withColumn("_m", aligned("_p", "_t"))
+    prec, rec, m = F.col("_m.worth") / F.size("_p"), F.col("_m.worth") / F.size("_t"), F.col("_m.matches")
+    full = F.when(m > 0, 10 * prec * rec / (rec + 9 * prec) * (1 - 0.5 * F.pow(F.col("_m.chunks") / m, F.lit(3)))).otherwise(0.0)
+    return both.withColumn("METEOR_full", full).drop("_p", "_t", "_m")
+
+
 def bert_score(truth: DataFrame, output: DataFrame, weighted: bool = False, block: int = 256) -> DataFrame:
     """truth and output (key, pos, token, vector) -> (key, precision, recall, f1): each token against the likest of the other side by cosine.
 
@@ -146,7 +220,7 @@ def bert_score(truth: DataFrame, output: DataFrame, weighted: bool = False, bloc
 
 
 #: Metric by name; model scores are added with register(name, function of a DataFrame).
-METRICS: dict[str, Callable[..., DataFrame]] = {"overlap": overlap_scores}
+METRICS: dict[str, Callable[..., DataFrame]] = {"overlap": overlap_scores, "meteor": meteor}
 
 
 def register(name: str, scorer: Callable[..., DataFrame]) -> None:

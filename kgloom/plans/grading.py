@@ -79,7 +79,16 @@ def translated_table(spark, d: str) -> DataFrame:
     return translate.translate(view(spark, d, "a"), view(spark, d, "tr"), Doubles())[1]
 
 
+def meteor_words(spark, d: str) -> DataFrame:
+    """METEOR by words, of texts in which each word stands once."""
+    words = lambda *c: F.array_distinct(F.filter(F.split(F.concat_ws(" ", *c), " "), lambda w: w != ""))
+    p = spark.read.parquet(f"{d}/part.parquet")
+    p = p.select("p_partkey", F.array_join(words("p_name", "p_type"), " ").alias("gt"), F.array_join(F.concat(F.slice(words("p_type", "p_name"), 2, 99), F.slice(words("p_type", "p_name"), 1, 1)), " ").alias("llm_output"))
+    return rounded(scorers.score(p, "meteor", stages=("exact",)))
+
+
 QUERIES = {
+    "meteor_words": meteor_words,
     "bert_score_vectors": lambda spark, d: vectors(spark, d, False),
     "bert_score_weighted": lambda spark, d: vectors(spark, d, True),
     "judge_prompts": judge_prompts,
@@ -146,6 +155,12 @@ SELECT key, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 *
 
 
 ORACLES = {
+    "meteor_words": f"""WITH d AS (SELECT p_partkey, list_filter(string_split(p_name || ' ' || p_type, ' '), lambda w: w <> '') AS a, list_filter(string_split(p_type || ' ' || p_name, ' '), lambda w: w <> '') AS b FROM part),
+e AS (SELECT p_partkey, list_filter(a, lambda w, i: list_position(a, w) = i) AS g, list_filter(b, lambda w, i: list_position(b, w) = i) AS r FROM d),
+w AS (SELECT p_partkey, g, list_concat(r[2:], r[:1]) AS o FROM e),
+k AS (SELECT p_partkey, i, list_position(g, o[i]) AS j FROM (SELECT *, unnest(range(1, len(o) + 1)) AS i FROM w)),
+c AS (SELECT p_partkey, count(*) AS m, count(*) FILTER (coalesce(j <> b + 1, true)) AS c FROM (SELECT *, lag(j) OVER (PARTITION BY p_partkey ORDER BY i) AS b FROM k) WHERE j > 0 GROUP BY 1)
+SELECT p_partkey, array_to_string(g, ' ') AS gt, array_to_string(o, ' ') AS llm_output, round(10 * (m / len(o)) * (m / len(g)) / (m / len(g) + 9 * (m / len(o))) * (1 - 0.5 * (c / m) ^ 3), 6) AS METEOR_full FROM w JOIN c USING (p_partkey)""",
     "bert_score_vectors": vector_scores(False),
     "bert_score_weighted": vector_scores(True),
     "judge_prompts": f"""{with_views('a')}, n AS (SELECT Q_number, llm_output, gt, range(1, least(20, 1 + Q_number[2:]::INT % 30) + 1) AS k FROM a)

@@ -366,3 +366,48 @@ def test_what_a_judge_is_asked(spark):
     said = df.select(providers.asked_of_judge("country", output=F.col("o"), truth=F.col("t"), demonyms=F.col("d"), aliases=F.col("a"))).first()[0]
     assert "Answer: {truth}\nTruth: ['x']\n" in said and "d19" in said and "d20" not in said and said.endswith("Aliases: ") and "historical_match" in said
     assert df.select(providers.asked_of_judge("pob", output=F.col("o"), truth=F.col("t"))).first()[0].endswith("Truth: ['x']")
+
+
+def all_alignments(pred, truth, worth):
+    """Every way to match words one to one, with its matches, chunks and worth."""
+    out = []
+
+    def go(i, used, last, m, chunks, w):
+        if i == len(pred):
+            out.append((-m, chunks, -w))
+            return
+        go(i + 1, used, None, m, chunks, w)
+        for j in range(len(truth)):
+            v = worth(pred[i], truth[j])
+            if v and j not in used:
+                go(i + 1, used | {j}, j, m + 1, chunks + (last is None or j != last + 1), w + v)
+
+    go(0, frozenset(), None, 0, 0, 0.0)
+    m, chunks, w = min(out)
+    return -m, pytest.approx(-w), chunks
+
+
+def test_alignment_of_fewest_chunks_against_all():
+    import random
+
+    r = random.Random(8)
+    sets = {"cat": {"1"}, "kitty": {"1", "2"}, "pet": {"2"}}
+    kinds = [(1.0, lambda x: frozenset([x])), (0.6, lambda x: frozenset([scorers.s_stem(x)])), (0.8, lambda x: frozenset(sets.get(x, ())))]
+    worth = lambda x, y: next((v for v, k in kinds if k(x) & k(y)), 0)
+    words = ["cat", "cats", "kitty", "pet", "the", "dog", "dogs"]
+    for _ in range(300):
+        pred, truth = ([r.choice(words) for _ in range(r.randint(0, 6))] for _ in range(2))
+        assert scorers.alignment(pred, truth, kinds) == all_alignments(pred, truth, worth), (pred, truth)
+    assert scorers.alignment("a b a b c".split(), "b c a b a".split(), kinds[:1]) == (5, 5.0, 2)
+    assert [scorers.s_stem(x) for x in "ponies cats glass bus toes plates".split()] == ["pony", "cat", "glass", "bus", "toe", "plate"]
+
+
+def test_meteor_with_stems_and_synonyms(spark):
+    df = spark.createDataFrame([("the cat sat", "the kitty sat"), ("dogs run", "dog run"), ("a b", "c"), ("", "x"), (None, None)], "gt string, llm_output string")
+    synonyms = spark.createDataFrame([("cat", 1), ("kitty", 1)], "word string, synset int")
+    full = [r["METEOR_full"] for r in scorers.meteor(df, synonyms=synonyms).collect()]
+    f = lambda w, n, m, c: 10 * (w / n) ** 2 / (10 * w / n) * (1 - 0.5 * (c / m) ** 3)
+    assert full == pytest.approx([f(2.8, 3, 3, 1), f(1.6, 2, 2, 1), 0, 0, 0])
+    assert [r["METEOR_full"] for r in scorers.score(df, "meteor", stages=("exact",)).collect()][0] == pytest.approx(f(2, 3, 2, 2))
+    with pytest.raises(ValueError):
+        scorers.meteor(df, synonyms=synonyms, most=1)
