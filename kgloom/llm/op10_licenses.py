@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
 Candidates are all runs of up to ``RUN`` lines inside a block (lines with words, up to one without), so headers may be wrapped
-and stand in comments; whole blocks, whatever their length; and of licence files the whole text. Each is a sparse vector of its
+and stand in comments; the best of these carried on as long as its cosine rises, so that headers wrapped to more lines are met in full;
+whole blocks, whatever their length; and of licence files the whole text. Each is a sparse vector of its
 words, weighted by inverse document frequency over the corpus (words outside the templates weigh like the rarest). Templates are
 statements, the headers that licences ask for, and the texts or title blocks of licence files. Candidates that an exact
 bound keeps under the threshold aren't compared; how frequent a word is rules out nothing. A document's own licence is
@@ -87,7 +88,7 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.", UNLICENSE_TEXT),
 }
 WORD = re.compile(rb"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
-#: Least cosine; lines of a run at most (longer headers are blocks); names of licence files.
+#: Least cosine; lines of a run to begin with, and of each step that carries one on; names of licence files.
 THRESHOLD, RUN = 0.6, 12
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.\-][^/]*)?$"
 
@@ -194,14 +195,42 @@ class Scanner:
                 begin, end, seeds, known, others = array("q"), array("q"), [], Counter(), 0
             at, line = stop + 1, line + 1
 
+    def grown(self, raw: bytes, best: tuple[float, str, int, int]) -> tuple[float, str, int, int]:
+        """The best run carried on line by line, down or up within its block, to wherever the cosine is highest within RUN further lines, as long as it rises."""
+        lines = raw.split(b"\n")
+        _, _, at, n = best
+        own = Counter(w for x in lines[at : at + n] for w in WORD.findall(x))
+        rises = True
+        while rises:
+            rises = False
+            for step in (1, -1):
+                v, k = own.copy(), at + n if step == 1 else at - 1
+                for more in range(1, RUN + 1):
+                    words = WORD.findall(lines[k]) if 0 <= k < len(lines) else []
+                    if not words:
+                        break
+                    v.update(words)
+                    s, name = self.score(v)
+                    if s > best[0] + 1e-12:
+                        best, rises = (s, name, at if step == 1 else at - more, n + more), True
+                        own = v.copy()
+                    k += step
+                at, n = best[2:]
+        return best
+
     def scan(self, raw: bytes, whole: bool) -> tuple[str | None, float | None, int | None, int | None]:
         """(licence, cosine, first line from 0, lines; -1 for the whole text) or nothing."""
         raw = raw.lower()
         best: tuple[float, str, int, int] = (0.0, "", 0, 0)
+        run = best
         for a, n, v in self.candidates(raw):
             s, name = self.score(v)
             if s > best[0] + 1e-12:
                 best = (s, name, a, n)
+            if n <= RUN and s > run[0] + 1e-12:
+                run = (s, name, a, n)
+        if run[0] and (more := self.grown(raw, run))[0] > best[0] + 1e-12:
+            best = more
         if whole:
             s, name = self.score(Counter(WORD.findall(raw)))
             if s > best[0] + 1e-12:

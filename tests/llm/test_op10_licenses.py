@@ -142,3 +142,21 @@ def test_ties_and_nulls(spark):
     rows = [("a/LICENSE", "Released under the MIT License.\n\nReleased under the MIT License."), (None, None), ("a/b", None), ("", "")]
     out = {r["id"]: (r["own"], r["line"], r["lines"], r["license"]) for r in op.licenses(files(spark, rows)).collect()}
     assert out == {0: ("MIT", 0, 1, "MIT"), 1: (None, None, None, None), 2: (None, None, None, "MIT"), 3: (None, None, None, None)}
+
+
+def test_headers_wrapped_to_many_lines_are_met_in_full(spark):
+    """Headers of some 21 and 40 lines with code right above and below: the version that the whole header names."""
+    texts, want = [], []
+    for name in ("GPL-3.0", "GPL-2.0", "AGPL-3.0", "Apache-2.0"):
+        header = max(op.TEMPLATES[name][:3], key=len)
+        words = header.split()
+        for each in (len(words) // 20, len(words) // 38):
+            lines = [f"# {' '.join(words[k : k + each])}" for k in range(0, len(words), each)]
+            assert len(lines) > op.RUN
+            texts.append("\n".join(["import os", *lines, "x = compute(value)", "print(x)"]))
+            want.append((name, len(lines)))
+    df = spark.createDataFrame([(i, f"a/{i}.py", t) for i, t in enumerate(texts)] + [(100 + i, f"b/{i}.py", "plain words here " * 30) for i in range(50)], "id long, path string, text string")
+    out = {r["id"]: r for r in op.licenses(df).collect()}
+    for i, (name, n) in enumerate(want):
+        assert out[i]["own"] == name and out[i]["cosine"] > 0.95 and (abs(out[i]["lines"] - n) <= 2 or name == "Apache-2.0"), (name, out[i])  # Apache's first sentence is a template too
+    assert all(out[100 + i]["own"] is None for i in range(50))
