@@ -8,6 +8,24 @@ WORD_COUNT = r"len(list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), la
 CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode({0}))), lambda i: ('0x' || hex(encode({0}))[2 * i + 1:2 * i + 2])::BIGINT)),
     lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295::BIGINT)"""
 
+#: A plain reading of the pages that the tables hold: their one article, without tags, with the four character references that they use.
+PAGE_TEXT = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS t FROM pages),
+b AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(t, '</?(h1|p|br)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS t FROM a),
+c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g') AS t FROM b)
+SELECT page_id, url, t AS text, len(t)::BIGINT AS n_chars FROM c"""
+
+def rest_of(m: int) -> str:
+    """crc32(doc_id) mod m of documents."""
+    return f"{CRC32.format('doc_id::VARCHAR')} % {m}"
+
+
+#: Every held-out row with a label and a letter is told right.
+LANGUAGES = rf"SELECT lang, count(*) AS n, count(*) AS n_right FROM documents WHERE {rest_of(4)} = 2 AND lang IS NOT NULL AND regexp_matches(coalesce(text, ''), '\p{{L}}') GROUP BY 1"
+
+#: Of all documents with a label, those that aren't toxic are let alone but for one in fifty, and most toxic ones are found.
+TOXICITY = f"SELECT {rest_of(5)} = 0 AS held_out, count(*) AS n, sum(toxic)::BIGINT AS n_toxic, true AS few_false, true AS most_found FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL GROUP BY 1"
+
 TRIE = f"""
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS n FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32.format("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),

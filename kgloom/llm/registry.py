@@ -35,6 +35,20 @@ def page_sizes(spark, d: str) -> DataFrame:
     return op3_html.query(spark, d).select("page_id", "url", (F.length("text") == F.col("n_chars")).alias("counted"), F.rlike("text", F.lit(r"^\s|\s\s|\s$")).alias("blanks"))
 
 
+def language_held_out(spark, d: str) -> DataFrame:
+    """Of each language the held-out rows and how many are told right."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id"), "lang").where("lang IS NOT NULL")
+    told = op4_language.query(spark, d).where("held_out AND lang_pred != 'und'").select("doc_id", "lang_pred")
+    return docs.join(told, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("lang_pred")).alias("n_right"))
+
+
+def toxicity_found(spark, d: str) -> DataFrame:
+    """Documents with a label, held out or not: whether few that aren't toxic are called so, and most that are."""
+    labels = spark.read.parquet(f"{d}/labels.parquet").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    by = op13_toxicity.query(spark, d).join(labels, "doc_id").groupBy("held_out").agg(F.count("*").alias("n"), F.sum("toxic").alias("n_toxic"), F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 0)).alias("_wrong"), F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 1)).alias("_found"))
+    return by.select("held_out", "n", "n_toxic", (50 * F.col("_wrong") <= F.col("n")).alias("few_false"), (2 * F.col("_found") >= F.col("n_toxic")).alias("most_found"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup.query,
     "op2_jaccard_join": op2_jaccard_join.query,
@@ -56,6 +70,8 @@ QUERIES = {
     "mix_targets": mix_targets,
     "language_folds": language_folds,
     "page_sizes": page_sizes,
+    "language_held_out": language_held_out,
+    "toxicity_found": toxicity_found,
 }
 
 WORDS_8 = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
@@ -67,6 +83,9 @@ WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0
 ORACLES = {
     "op11_prefix_trie": oracles.TRIE,
     "op12_structure_repair": oracles.REPAIR,
+    "op3_html": oracles.PAGE_TEXT,
+    "language_held_out": oracles.LANGUAGES,
+    "toxicity_found": oracles.TOXICITY,
     "op1_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT doc_id, k, h[2 * k + 1:2 * k + 200] AS t FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS k FROM d WHERE len(h) >= 200)),
