@@ -2,7 +2,9 @@
 
 A shard of weight w draws -ln(u) / w from the hash u of (key, shard). A rack's draw is the least of its shards', a
 region's the least of its racks'; as draws are exponential, that is a weighted draw by the summed weight of what lies below. A key
-descends from level to level to the child of least draw. If a shard's weight grows, or a shard is added anywhere, only
+goes to the child of least draw at each level. The law ties the levels to one another: were their draws apart, a region that wins a
+key by a new shard's weight would draw again among its old racks. So a key's shard doesn't depend on how shards are
+grouped; the levels say what regions and racks hold together, and where moves can go. If a shard's weight grows, or a shard is added anywhere, only
 that shard's draws get less: the ones above it follow, and keys that the grown region, rack and shard win go on to
 this shard alone. So for every number of shards, one more takes rows only into itself, and a weight that falls sends away
 only rows of its own.
