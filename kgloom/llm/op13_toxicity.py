@@ -10,8 +10,8 @@ over the whole table. Toxic and other rows are drawn apart (a bound each, so tha
 table is); examples are weighted back to the shares that the labels have. Every text is scored whole.
 
 Null texts and texts without a word are scored by the bias alone. Without labels of both kinds nothing can be learnt:
-every score is then the share of toxic labels, 0 without any. Rows with a null or unknown label aren't learnt from; several
-labels of one document count as so many examples; documents without an id are scored, never learnt from. Repeated rows are each scored; an empty table gives an empty
+every score is then the share of toxic labels, 0 without any. Rows with a null or unknown label aren't learnt from; a document
+with both labels is an example of both, repeated rows and labels are one example, however many; documents without an id are scored, never learnt from. Repeated rows are each scored; an empty table gives an empty
 result; further columns are left alone. One pass over the texts, without a shuffle.
 """
 
@@ -141,7 +141,7 @@ def sampled(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int, float]]:
     share = F.when(F.col("_y") == 1, min(1.0, (2 * ROWS + 20) / count.get(1, 1))).otherwise(min(1.0, (2 * ROWS + 20) / count.get(0, 1)))
     near = few(cut(known.where(rank < share * 1_000_003)), 5 * ROWS)
     usable = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= ROW_BYTES)).select(F.col("doc_id").alias("_id"), "text")
-    joined = cut(usable.join(near, "_id").withColumn("_r", F.xxhash64("_id", F.xxhash64("text"), F.lit(13))))
+    joined = cut(usable.join(near, "_id").dropDuplicates(["_id", "_y", "text"]).withColumn("_r", F.xxhash64("_id", F.xxhash64("text"), F.lit(13))))
     up = W.partitionBy("_y").orderBy("_r", "_id").rowsBetween(W.unboundedPreceding, 0)
     some = joined.withColumns({"_n": F.count("*").over(up), "_bytes": F.sum(F.octet_length("text")).over(up)}).where((F.col("_n") <= ROWS) & (F.col("_bytes") <= BYTES))
     rows = [tuple(x) for x in some.select("text", "_y").orderBy("_y", "_n").collect()]

@@ -107,6 +107,12 @@ def test_without_labels_and_without_rows(spark, docs_of):
     assert op.score(docs_of([]), learnt(spark, [(1, 1, 1, "", 1, "")])).collect() == []
 
 
+def test_repeated_rows_and_labels_are_one_example(spark, docs_of):
+    docs = docs_of([(1, "same text")] * 30 + [(2, "other")])
+    got = op.sampled(docs, learnt(spark, [(1, 1, 1, "", 1, "")] * 5 + [(1, 0, 1, "", 1, ""), (2, 0, 1, "", 1, "")]))
+    assert sorted((t, y) for t, y, _ in got) == [("other", 0), ("same text", 0), ("same text", 1)]
+
+
 def test_the_sample_is_bounded_and_weighted_back(spark, docs_of, monkeypatch):
     monkeypatch.setattr(op, "ROWS", 40)
     docs = docs_of([(i, f"text {i}") for i in range(2000)])
