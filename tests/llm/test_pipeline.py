@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from kgloom.llm import registry
 from kgloom.llm.common import components
@@ -19,8 +21,21 @@ def test_stages_and_run(spark, prose, docs_of, tmp_path):
     assert {r["doc_id"] for r in out} <= {*range(40), 50} and all(0 <= r["shard"] < 24 for r in out)
 
 
-def test_ten_operators_are_registered():
-    assert [sum(q.startswith(f"op{n}_") for q in registry.QUERIES) for n in range(1, 11)] == [1] * 10
+def test_odd_tables_run_through(spark, prose, docs_of, tmp_path):
+    """No rows; and rows with null and repeated ids, further columns of clashing names and no label at all."""
+    item = prose.text(25)
+    for name, rows in (("none", []), ("odd", [(None, prose.text(40)), (None, None), (3, prose.text(50)), (3, prose.text(50)), (4, "x " + item), (5, "")] + [(i, prose.text(40)) for i in range(10, 20)])):
+        at = tmp_path / name
+        docs = docs_of(rows).withColumns({c: F.lit(1) for c in ("_id", "law", "shard", "slot", "grown_shard", "entropy", "component_id", "taken")})
+        docs.write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([(1, item)] if rows else [], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(at)).collect()
+        ids = [r["doc_id"] for r in out]
+        assert set(ids) <= {i for i, _ in rows} - {4} and (not rows or {3, 10, 19} <= set(ids))
+
+
+def test_every_operator_is_registered():
+    assert [sum(q.startswith(f"op{n}_") for q in registry.QUERIES) for n in range(1, 14)] == [1] * 13
 
 
 def test_components_against_union_find(spark, prose):
