@@ -160,10 +160,28 @@ def test_coverage_is_all_subsets(spark):
     want = {", ".join(s): n for k in (3, 4, 5) for s in itertools.combinations("abcdefgh", k) if (n := sum(set(s) <= set(b) for b in baskets)) >= 12}
     assert {x["properties"]: x["coverage"] for x in coverage.property_coverage(df, 12, 3, 5).collect()} == want
     assert coverage.property_coverage(df.limit(0), 1).collect() == []
+    assert coverage.property_coverage(df, 61, 1, 2).collect() == []
     table = coverage.coverage_table(spark.createDataFrame([("x", "a, b", 2, 200), ("y", "a, b", 2, 100), ("x", "c", 1, 500)], "lang string, properties string, num_properties int, coverage long"), ["x", "y"])
     assert rows(table) == [("a, b", 2, 200, 100, 150.0, 600.0)]
 
 
+@pytest.mark.parametrize(("least", "most", "threshold"), [(1, 2, 3), (2, 9, 2), (4, 22, 1), (5, 5, 4)])
+def test_coverage_of_odd_baskets(spark, least, most, threshold):
+    """Nulls, repeats, empty baskets and more properties than a word has bits."""
+    r = random.Random(least)
+    names = [f"P{i}" for i in range(80)]
+    common = names[::20] + names[5::30]
+    baskets = [[p for p in common if r.random() < 0.7] + r.sample(names, 2) for _ in range(40)]
+    baskets += [[], None, [None], ["P1", "P1", None], common, common, list(reversed(common))]
+    got = coverage.property_coverage(spark.createDataFrame([(b,) for b in baskets], "props array<string>"), threshold, least, most)
+    want = {}
+    for b in baskets:
+        for k in range(least, most + 1):
+            for s in itertools.combinations(sorted({p for p in b or [] if p}), k):
+                want[", ".join(s)] = want.get(", ".join(s), 0) + 1
+    assert sorted((x["properties"], x["num_properties"], x["coverage"], x["score"]) for x in got.collect()) == sorted((s, s.count(",") + 1, n, n * (s.count(",") + 1)) for s, n in want.items() if n >= threshold)
+
+
 # graph
 def edges(spark, pairs):
     return spark.createDataFrame(pairs, "a string, b string")
