@@ -56,8 +56,11 @@ def windows(items: DataFrame, width: int = 10) -> DataFrame:
 
 
 def counted(corpus: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): how often each test term occurs in the corpus (doc, words); 0 for those that don't."""
-    found = corpus.select(F.explode("words").alias("term")).join(small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n): how often each test term occurs in the corpus (doc, words); 0 for those that don't.
+
+    An outer explode, whose nulls the join drops: before a plain one Spark filters by the size of the array, and so makes the words twice.
+    """
+    found = corpus.select(F.explode_outer("words").alias("term")).join(small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
@@ -69,8 +72,8 @@ def seeds(window: DataFrame, counts: DataFrame, k: int = 2) -> DataFrame:
 
 
 def postings(corpus: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: (term, doc, pos) of all occurrences of the terms."""
-    return corpus.select("doc", F.posexplode("words").alias("pos", "term")).join(small(terms), "term").select("term", "doc", "pos")
+    """The index: (term, doc, pos) of all occurrences of the terms; exploded as in ``counted``."""
+    return corpus.select("doc", F.posexplode_outer("words").alias("pos", "term")).join(small(terms), "term").select("term", "doc", "pos")
 
 
 def alignments(index: DataFrame, seed: DataFrame) -> DataFrame:
@@ -100,7 +103,7 @@ def verified(found: DataFrame, corpus: DataFrame, items: DataFrame, width: int =
     # runs of equal words lie between the places where words differ
     between = lambda at: F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda k: F.struct((start + F.get(at, k - 1) + 1).alias("begin"), (start + F.get(at, k)).alias("end")))
     runs = F.filter(let(F.concat(F.array(F.lit(-1)), other), between), lambda r: r["end"] - r["begin"] >= F.least(F.lit(width), n))
-    return each.select("doc", "h", "item_id", F.explode(runs).alias("r")).select("doc", "h", "item_id", "r.begin", "r.end")
+    return each.select("doc", "h", "item_id", F.explode_outer(runs).alias("r")).where("r is not null").select("doc", "h", "item_id", "r.begin", "r.end")
 
 
 def covered(runs: Column) -> Column:
